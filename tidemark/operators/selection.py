@@ -57,7 +57,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
-    """Keep features in rank order unless correlated with a better kept one.
+    """Keep features in rank order unless correlated with a better kept one (REDUNDANT_WITH, the best such).
 
     Decided in parallel rounds: an open feature whose better neighbours are all rejected is kept; an open
     feature with a kept better neighbour is rejected. Equivalent to the sequential rule, one row per feature.
@@ -67,19 +67,18 @@ def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> Dat
     r = ranking.select("FEATURE", "RANK")
     better = settle(sym.join(r.select(F.col("FEATURE").alias("a"), F.col("RANK").alias("ra")), "a")
                     .join(r.select(F.col("FEATURE").alias("b"), F.col("RANK").alias("rb")), "b").filter("rb < ra").select("a", "b", "rb"))
-    state = settle(r.withColumn("STATE", F.lit("open")).withColumn("REDUNDANT_WITH", F.lit(None).cast("string")))
+    state = settle(r.withColumn("STATE", F.lit("open")))
     for _ in range(rounds):
-        n = better.join(state.select(F.col("FEATURE").alias("b"), F.col("STATE").alias("sb")), "b").groupBy("a").agg(
-            F.min_by("b", F.when(F.col("sb") == "kept", F.col("rb"))).alias("by"), F.count_if(F.col("sb") == "kept").alias("k"),
-            F.count_if(F.col("sb") == "open").alias("o")).withColumnRenamed("a", "FEATURE")
-        j = state.join(n, "FEATURE", "left")
+        around = better.join(state.select(F.col("FEATURE").alias("b"), F.col("STATE").alias("sb")), "b").groupBy(F.col("a").alias("FEATURE")).agg(
+            F.min_by("b", F.when(F.col("sb") == "kept", F.col("rb"))).alias("BY"), F.count_if(F.col("sb") == "kept").alias("k"),
+            F.count_if(F.col("sb") == "open").alias("o"))
+        if state.filter("STATE = 'open'").limit(1).count() == 0:
+            return state.join(around.select("FEATURE", "BY"), "FEATURE", "left").select(
+                "FEATURE", "RANK", "STATE", F.when(F.col("STATE") == "redundant", F.col("BY")).alias("REDUNDANT_WITH"))
         is_open = F.col("STATE") == "open"
         kept, waiting = F.coalesce("k", F.lit(0)) > 0, F.coalesce("o", F.lit(0)) > 0
-        state = settle(j.select(
-            "FEATURE", "RANK", F.when(is_open & kept, "redundant").when(is_open & ~waiting, "kept").otherwise(F.col("STATE")).alias("STATE"),
-            F.when(is_open & kept, F.col("by")).otherwise(F.col("REDUNDANT_WITH")).alias("REDUNDANT_WITH")))
-        if state.filter("STATE = 'open'").limit(1).count() == 0:
-            return state
+        state = settle(state.join(around, "FEATURE", "left").select(
+            "FEATURE", "RANK", F.when(is_open & kept, "redundant").when(is_open & ~waiting, "kept").otherwise(F.col("STATE")).alias("STATE")))
     raise ValueError("pruning did not settle")
 
 

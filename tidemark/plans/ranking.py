@@ -301,14 +301,14 @@ def k13(t):
     return per.agg(F.count("*").alias("ENTITIES"), F.sum("y").alias("POSITIVE_ENTITIES"))
 
 
-@query("k14_model_comparison", "MODEL:s PERCENT:i LIFT:f DELTA:f RELATIVE_DELTA:f MODEL_RANK:i", "model_scores", f"""SELECT a.MODEL, a.PERCENT, a.LIFT, a.LIFT - b.LIFT AS DELTA, (a.LIFT - b.LIFT) / b.LIFT AS RELATIVE_DELTA,
+@query("k14_model_comparison", "MODEL:s PERCENT:i LIFT:f DELTA:f RELATIVE_DELTA:f MODEL_RANK:i", "model_scores", f"""SELECT a.MODEL, a.PERCENT, a.LIFT, a.LIFT - b.LIFT AS DELTA, (a.LIFT - b.LIFT) / nullif(b.LIFT, 0) AS RELATIVE_DELTA,
   rank() OVER (PARTITION BY a.PERCENT ORDER BY a.LIFT DESC) AS MODEL_RANK FROM ({top_sql("(SELECT * FROM model_scores WHERE SPLIT = 'test')", "SCORE", "PATIENT_ID, END_DT", (10, 20, 30), "MODEL")}) a
   JOIN ({top_sql("(SELECT * FROM model_scores WHERE SPLIT = 'test')", "SCORE", "PATIENT_ID, END_DT", (10, 20, 30), "MODEL")}) b ON b.MODEL = 'gamma' AND b.PERCENT = a.PERCENT""")
 def k14(t):
     lifts = model_lifts(t, (10, 20, 30))
     base = lifts.filter("MODEL = 'gamma'").select("PERCENT", F.col("LIFT").alias("B"))
     delta = F.col("LIFT") - F.col("B")
-    return lifts.join(base, "PERCENT").select("MODEL", "PERCENT", "LIFT", delta.alias("DELTA"), (delta / F.col("B")).alias("RELATIVE_DELTA"),
+    return lifts.join(base, "PERCENT").select("MODEL", "PERCENT", "LIFT", delta.alias("DELTA"), (delta / F.nullif(F.col("B"), F.lit(0.0))).alias("RELATIVE_DELTA"),
                                               F.rank().over(W.partitionBy("PERCENT").orderBy(F.desc("LIFT"))).alias("MODEL_RANK"))
 
 
