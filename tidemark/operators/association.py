@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.ordering import attach, mid_ranks, value_table, weighted_quantiles
+from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 # Quality thresholds, scale floors and flags of the feature contracts.
@@ -233,7 +234,8 @@ def gram(vectors: DataFrame, column: str, size: int) -> DataFrame:
 
 def correlated_pairs(vectors: DataFrame, column: str, names: list[str], threshold: float) -> DataFrame:
     """Feature pairs with |Pearson r| at or above the threshold (pass rank vectors for Spearman)."""
-    g = gram(vectors, column, len(names))
+    # A matrix over the declared vocabulary, read several times below: kept once instead of recomputed.
+    g = settle(gram(vectors, column, len(names)))
     n = g.filter("I = 0 AND J = 0").select(F.col("S").alias("n"))
     mean = g.filter("I = 0").select("J", "S")
     diag = g.filter("I = J").select("I", "S")

@@ -62,12 +62,12 @@ def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> Dat
     Decided in parallel rounds: an open feature whose better neighbours are all rejected is kept; an open
     feature with a kept better neighbour is rejected. Equivalent to the sequential rule, one row per feature.
     """
-    sym = pairs.select(F.col("FEATURE_A").alias("a"), F.col("FEATURE_B").alias("b"))
+    sym = settle(pairs.select(F.col("FEATURE_A").alias("a"), F.col("FEATURE_B").alias("b")))
     sym = sym.unionByName(sym.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    r = ranking.select("FEATURE", "RANK")
+    r = settle(ranking.select("FEATURE", "RANK"))
     better = settle(sym.join(r.select(F.col("FEATURE").alias("a"), F.col("RANK").alias("ra")), "a")
                     .join(r.select(F.col("FEATURE").alias("b"), F.col("RANK").alias("rb")), "b").filter("rb < ra").select("a", "b", "rb"))
-    state = settle(r.withColumn("STATE", F.lit("open")))
+    state = r.withColumn("STATE", F.lit("open"))
     for _ in range(rounds):
         around = better.join(state.select(F.col("FEATURE").alias("b"), F.col("STATE").alias("sb")), "b").groupBy(F.col("a").alias("FEATURE")).agg(
             F.min_by("b", F.when(F.col("sb") == "kept", F.col("rb"))).alias("BY"), F.count_if(F.col("sb") == "kept").alias("k"),

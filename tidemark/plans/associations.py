@@ -193,7 +193,7 @@ def _pairs_sql(value, threshold):
       JOIN (SELECT *, {value} AS v, list_position({sql_list(VOCABULARY)}, FEATURE) AS i FROM dense WHERE SPLIT = 'train') b ON a.PATIENT_ID = b.PATIENT_ID AND a.END_DT = b.END_DT AND a.i < b.i GROUP BY 1, 2 HAVING abs(corr(a.v, b.v)) >= {threshold}"""
 
 
-_GREEDY = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT FEATURE, row_number() OVER (ORDER BY round(MI, 9) DESC, FEATURE) AS RANK FROM ({_DMI})), e AS MATERIALIZED (SELECT FEATURE_A AS a, FEATURE_B AS b FROM ({_pairs_sql(_R, 0.45)})),
+_GREEDY = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT FEATURE, row_number() OVER (ORDER BY round(MI, 9) DESC, FEATURE) AS RANK FROM ({_DMI})), e AS MATERIALIZED (SELECT FEATURE_A AS a, FEATURE_B AS b FROM ({_pairs_sql(_R, 0.3)})),
   s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), nb AS MATERIALIZED (SELECT o.FEATURE, o.RANK, coalesce((SELECT list(b) FROM s WHERE a = o.FEATURE), []) AS n FROM o),
   g(r, kept, FEATURE, STATE, REDUNDANT_WITH) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) UNION ALL
   SELECT nb.RANK, CASE WHEN list_has_any(g.kept, nb.n) THEN g.kept ELSE list_append(g.kept, nb.FEATURE) END, nb.FEATURE, CASE WHEN list_has_any(g.kept, nb.n) THEN 'redundant' ELSE 'kept' END, list_filter(g.kept, lambda x: list_contains(nb.n, x))[1] FROM g JOIN nb ON nb.RANK = g.r + 1)
@@ -203,7 +203,7 @@ _GREEDY = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT FEATURE, row_number() OVE
 @query("j16_greedy_redundancy", "FEATURE:s RANK:i STATE:s REDUNDANT_WITH:s", "dense", _GREEDY)
 def j16(t):
     order = mi_ranking(t).select("FEATURE", F.col("POSITION").alias("RANK"))
-    return sel.greedy_prune(order, rank_pairs(t, 0.45))
+    return sel.greedy_prune(order, rank_pairs(t, 0.3))
 
 
 @query("j17_correlated_pairs", "METHOD:s FEATURE_A:s FEATURE_B:s CORRELATION:f", "dense", f"SELECT 'spearman' AS METHOD, * FROM ({_pairs_sql(_R, 0.35)}) UNION ALL SELECT 'pearson', * FROM ({_pairs_sql('VALUE', 0.35)})")
