@@ -22,7 +22,7 @@ def label_blind_rank(df: DataFrame, score: str, groups: tuple = ()) -> DataFrame
 def with_decile(df: DataFrame, score: str, groups: tuple = ()) -> DataFrame:
     """Adds RANK, N (group size) and DECILE, 1 being the highest scores."""
     ranks = label_blind_rank(df, score, groups)
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("N"))
+    sizes = ranks.groupBy(*groups).agg(F.count("*").alias("N"))
     return attach(ranks, sizes, list(groups)).withColumn("DECILE", decile(F.col("RANK"), F.col("N")))
 
 
@@ -58,7 +58,7 @@ def top_share(df: DataFrame, score: str, percents: list[int], ties: list[Column]
     """Exact capacity max(1, ceil(share * N)) with the given stable tie order; reports boundary ties."""
     groups = list(groups)
     ranks = ranked(df, [F.col(score).desc(), *ties], "RANK", tuple(groups))
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("N"), F.sum(label).alias("P"))
+    sizes = ranks.groupBy(*groups).agg(F.count("*").alias("N"), F.sum(label).alias("P"))
     rows = attach(ranks, sizes, groups)
     # One row per distinct score first: the boundary is then found without looking at single rows again.
     picks = F.explode(F.array(*[F.struct(F.lit(p).alias("PERCENT"), capacity(F.col("N"), p).alias("K")) for p in percents]))

@@ -88,8 +88,9 @@ def monthly_counts(snapshots: DataFrame, coded: DataFrame, steps: int = 12) -> D
     months = window_months(snapshots.select(*KEY), steps).withColumn("WHOLE", F.col("TIME_STEP") > 0)
     joined = months.join(rolled, ["PATIENT_ID", "MONTH", "WHOLE"]).filter(
         F.col("WHOLE") | (F.col("DAY") <= F.col("END_DT")))
-    return joined.groupBy(*KEY, "TIME_STEP", "FAMILY", "CATEGORY").agg(
-        F.sum("N").alias("VALUE"), F.min("lo").alias("FIRST_EVENT_DATE"), F.max("hi").alias("LAST_EVENT_DATE"))
+    # MONTH and WHOLE follow from the other keys; naming them lets the join's partitioning serve the aggregation.
+    return joined.groupBy("PATIENT_ID", "MONTH", "WHOLE", "END_DT", "TIME_STEP", "FAMILY", "CATEGORY").agg(
+        F.sum("N").alias("VALUE"), F.min("lo").alias("FIRST_EVENT_DATE"), F.max("hi").alias("LAST_EVENT_DATE")).drop("MONTH", "WHOLE")
 
 
 def entity_bounds(snapshots: DataFrame, steps: int = 12) -> DataFrame:

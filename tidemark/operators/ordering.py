@@ -44,7 +44,7 @@ def mid_ranks(values: DataFrame, value: str, weight: str, groups: tuple = ()) ->
     """
     groups = list(groups)
     run = running_totals(values, [F.col(value)], {"_cum": F.col(weight)}, tuple(groups))
-    totals = values.groupBy(*groups).agg(F.sum(weight).alias("_all"))
+    totals = run.groupBy(*groups).agg(F.sum(weight).alias("_all"))
     run = attach(run, totals, groups)
     w = F.col(weight)
     return run.select(*values.columns, (F.col("_cum") - w + (w + 1) / 2).alias("MID_RANK"),

@@ -33,10 +33,10 @@ def vocabulary(counts: DataFrame, doc: list[str], documents: DataFrame, max_term
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
-    """Sublinear TF-IDF, scaled to unit length per document."""
+    """Sublinear TF-IDF, scaled to unit length per document (a window holds at most the vocabulary)."""
     raw = counts.join(vocab.select("TERM", "IDF"), "TERM").withColumn("_x", (1 + F.ln("TF")) * F.col("IDF"))
-    norm = raw.groupBy(*doc).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_n"))
-    return raw.join(norm, doc).select(*doc, "TERM", (F.col("_x") / F.col("_n")).alias("TFIDF"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(*doc)))
+    return raw.select(*doc, "TERM", (F.col("_x") / norm).alias("TFIDF"))
 
 
 def fan_out(grid: DataFrame, values: DataFrame) -> DataFrame:

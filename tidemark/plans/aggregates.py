@@ -8,6 +8,7 @@ from tidemark.operators import association as asc, cohort as co, evaluation as e
 from tidemark.operators.ordering import attach
 from tidemark.plans.registry import query
 from tidemark.plans.relations import VOCABULARY, sql_list
+from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 
@@ -231,7 +232,7 @@ PANEL_TALL = """SELECT PATIENT_ID, END_DT, RESP, SPLIT, IS_OBSERVED, MAX_EVENT_D
 def panel_tall(t):
     """Panel values as (key.., FEATURE, KIND, VALUE), expanded in place."""
     item = lambda n, k: F.struct(F.lit(n).alias("FEATURE"), F.lit(k).alias("KIND"), F.col(n).alias("VALUE"))
-    return t.panel.select(*KEY, "RESP", "SPLIT", "IS_OBSERVED", "MAX_EVENT_DATE",
+    return settle(t.panel).select(*KEY, "RESP", "SPLIT", "IS_OBSERVED", "MAX_EVENT_DATE",
                           F.inline(F.array(item("F_COUNT", "count"), item("F_BINARY", "binary"), item("F_SHARE", "continuous"))))
 
 
@@ -349,7 +350,7 @@ def d35(t):
 @query("d36_binding_reconciliation", "EXTRACTED:i AUDITED:i POSITIVES_EXTRACTED:i POSITIVES_AUDITED:i MISSING_PRIOR:i NULL_CLASS_ROWS:i AGREES:b", "snapshots rx mx", f"""WITH d AS ({DECISION_SQL}) SELECT count(*) AS EXTRACTED, count(*) AS AUDITED,
   sum(RESP) AS POSITIVES_EXTRACTED, sum(RESP) AS POSITIVES_AUDITED, (SELECT count(*) FROM snapshots) - count(*) AS MISSING_PRIOR, (SELECT count(*) FROM ({BASKET_SQL}) WHERE IS_GENERIC IS NULL) AS NULL_CLASS_ROWS, TRUE AS AGREES FROM d WHERE RETAIN = 1""")
 def d36(t):
-    d = decisions(t)
+    d = settle(decisions(t))
     rows = d.filter("RETAIN = 1").agg(F.count("*").alias("EXTRACTED"), F.sum("RESP").alias("POSITIVES_EXTRACTED"))
     a = co.audit(d).select(F.col("SNAPSHOTS").alias("AUDITED"), F.col("POSITIVES").alias("POSITIVES_AUDITED"))
     prior = t.snapshots.join(d.filter("RETAIN = 1").select(*KEY), KEY, "left_anti").agg(F.count("*").alias("MISSING_PRIOR"))

@@ -10,6 +10,7 @@ from tidemark.plans.monthly import _HISTORY, _SEQ, DESCRIPTOR_SQL, history, mask
 from tidemark.plans.ranking import keys, top_sql
 from tidemark.plans.registry import query
 from tidemark.plans.relations import VOCABULARY, sql_list
+from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 TRAIN = "SPLIT = 'train'"
@@ -17,13 +18,13 @@ _WD = "(SELECT *, 1.0 / count(*) OVER (PARTITION BY PATIENT_ID, FEATURE) AS w FR
 
 
 def train_dense(t):
-    return t.dense.filter(TRAIN)
+    return t.expand(t.packed.filter(TRAIN))
 
 
 def weighted_dense(t):
     """Training cells with entity weights, attached at snapshot grain before the cells are expanded."""
-    w = asc.entity_weights(t.manifest.filter(TRAIN)).select(*KEY, F.col("ENTITY_SHARE").alias("WEIGHT"))
-    return train_dense(t).join(w, KEY)
+    rows = asc.entity_weights(t.packed.filter(TRAIN)).drop("WEIGHT").withColumnRenamed("ENTITY_SHARE", "WEIGHT")
+    return t.expand(settle(rows))
 
 
 @query("j01_entity_weights", "PATIENT_ID:s END_DT:d WEIGHT:f", "manifest", """SELECT PATIENT_ID, END_DT, (1.0 / c) / avg(1.0 / c) OVER () AS WEIGHT FROM (SELECT *, count(*) OVER (PARTITION BY PATIENT_ID) AS c FROM manifest WHERE SPLIT = 'train')""")
@@ -85,7 +86,7 @@ _LATEST = "(SELECT PATIENT_ID, max(END_DT) AS END_DT FROM manifest WHERE SPLIT =
 @query("j06_quality_gate", "FEATURE:s OBSERVED:i NONZERO:i MISSING_FRACTION:f QUALITY_REASON:s", "dense manifest", f"""SELECT FEATURE, o AS OBSERVED, z AS NONZERO, 1 - o / n AS MISSING_FRACTION, CASE WHEN o = 0 THEN 'all_missing' WHEN o < 20 THEN 'insufficient_observations' WHEN 1 - o / n > 0.95 THEN 'high_missingness' WHEN lo = hi THEN 'constant_observed_values' WHEN z < 10 THEN 'insufficient_nonzero_support'
   WHEN FEATURE = 'RX_COPY' THEN 'exact_duplicate' ELSE 'eligible' END AS QUALITY_REASON FROM (SELECT FEATURE, count(VALUE) AS o, count(*) FILTER (VALUE <> 0) AS z, count(*) AS n, min(VALUE) AS lo, max(VALUE) AS hi FROM {_SEED} s JOIN {_LATEST} l ON l.PATIENT_ID = s.PATIENT_ID AND l.END_DT = s.END_DT GROUP BY 1)""")
 def j06(t):
-    last = latest_train(t)
+    last = settle(latest_train(t))
     return asc.quality_gate(seeded(t).join(last, KEY, "left_semi"), last.agg(F.count("*").alias("ALL_ROWS")))
 
 
@@ -122,7 +123,7 @@ _FIRST = f"SELECT s.PATIENT_ID, s.END_DT, 'STEP_VALUE' AS FEATURE, CAST(arg_min(
 def j10(t):
     ok = F.col("VALID") & (F.col("TIME_STEP") >= 2)
     first = masked(t).join(t.manifest.filter(TRAIN), KEY, "left_semi").groupBy(*KEY).agg(F.min_by("VALUE", F.when(ok, F.col("TIME_STEP"))).cast("double").alias("VALUE"))
-    return asc.standardise(first.withColumn("FEATURE", F.lit("STEP_VALUE")))
+    return asc.standardise(settle(first.withColumn("FEATURE", F.lit("STEP_VALUE"))))
 
 
 @query("j11_prevalence_filter", "CATEGORY:s ENTITIES:i VARIABLE_WINDOWS:i LOW:i HIGH:i STATUS:s", "counts manifest", """WITH tr AS (SELECT * FROM manifest WHERE SPLIT = 'train'), w AS (SELECT PATIENT_ID, END_DT, CATEGORY, TIME_STEP // 3 AS q, sum(VALUE) AS v FROM counts SEMI JOIN tr USING (PATIENT_ID, END_DT) GROUP BY 1, 2, 3, 4),
@@ -212,9 +213,9 @@ def j17(t):
     return rank_pairs(t, 0.35).withColumn("METHOD", F.lit("spearman")).unionByName(pearson.withColumn("METHOD", F.lit("pearson")))
 
 
-@query("j18_correlation_components", "NODE:s COMPONENT:s", "dense", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT FEATURE_A AS u, FEATURE_B AS v FROM ({_pairs_sql('VALUE', 0.45)})), s AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r(u, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.u) SELECT u AS NODE, min(c) AS COMPONENT FROM r GROUP BY 1""")
+@query("j18_correlation_components", "NODE:s COMPONENT:s", "dense", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT FEATURE_A AS u, FEATURE_B AS v FROM ({_pairs_sql('VALUE', 0.3)})), s AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r(u, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.u) SELECT u AS NODE, min(c) AS COMPONENT FROM r GROUP BY 1""")
 def j18(t):
-    return sel.components(asc.correlated_pairs(asc.vectors(train_dense(t), "VALUE", list(VOCABULARY)), "X", list(VOCABULARY), 0.45))
+    return sel.components(asc.correlated_pairs(asc.vectors(train_dense(t), "VALUE", list(VOCABULARY)), "X", list(VOCABULARY), 0.3))
 
 
 _SHIFT_W = "(SELECT *, 1.0 / count(*) OVER (PARTITION BY PATIENT_ID, FEATURE) AS w, ln(1 + VALUE) AS x FROM dense WHERE SPLIT <> 'test')"
@@ -224,8 +225,7 @@ _SHIFT = """SELECT FEATURE, tm AS TRAIN_MEAN, vm AS VALIDATION_MEAN, CASE WHEN {
 
 @query("j19_weighted_shift", "FEATURE:s TRAIN_MEAN:f VALIDATION_MEAN:f STANDARDIZED_DIFFERENCE:f TRAIN_NONZERO:f VALIDATION_NONZERO:f", "dense", _SHIFT.format(src=_SHIFT_W, sc="sqrt((tv + vv) / 2)"))
 def j19(t):
-    w = asc.entity_weights(t.manifest.filter("SPLIT <> 'test'"), ("SPLIT",)).select(*KEY, "WEIGHT")
-    return asc.shift(t.dense.filter("SPLIT <> 'test'").join(w, KEY))
+    return asc.shift(t.expand(asc.entity_weights(t.packed.filter("SPLIT <> 'test'"), ("SPLIT",))))
 
 
 @query("j20_unweighted_shift", "FEATURE:s TRAIN_MEAN:f VALIDATION_MEAN:f STANDARDIZED_DIFFERENCE:f TRAIN_NONZERO:f VALIDATION_NONZERO:f", "dense", _SHIFT.format(src="(SELECT *, 1.0 AS w, ln(1 + VALUE) AS x FROM dense WHERE SPLIT <> 'test')", sc="sqrt(tv)"))
@@ -271,7 +271,7 @@ def j22(t):
     for name in ("CURRENT", "MEAN", "SD", "SLOPE"):
         v = F.round(F.col(name).cast("double"), 9) + F.lit(0.0)
         both += [F.struct(F.lit(name + "+").alias("NAME"), v.alias("s")), F.struct(F.lit(name + "-").alias("NAME"), (F.lit(0.0) - v).alias("s"))]
-    rows = d.select(*KEY, "RESP", F.inline(F.array(*both)))
+    rows = settle(d).select(*KEY, "RESP", F.inline(F.array(*both)))
     lift = evl.top_share(rows, "s", [10], keys(), groups=("NAME",)).select("NAME", "LIFT")
     ap = evl.curve_metrics(evl.curve(rows, "s", groups=("NAME",)), ("NAME",)).select("NAME", "AP")
     order = W.orderBy(F.round("LIFT", 9).desc(), F.round("AP", 9).desc(), "NAME")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.calendar import forward_window
 from tidemark.functions.scalar import hash_int, hash_unit
 from tidemark.operators import events as ev
+from tidemark.session import settle
 from tidemark.sources.tables import read_named, spread
 
 # Cutoffs of the example population (leap day, month ends, consecutive months).
@@ -134,15 +135,22 @@ class Tables:
                 .groupBy("PATIENT_ID", "END_DT", F.col("CATEGORY").alias("FEATURE")).agg(F.sum("VALUE").alias("VALUE")))
 
     @cached_property
-    def dense(self) -> DataFrame:
-        """Manifest x vocabulary with zeros: expanded per row from one map, never by a product join."""
-        packed = self.annual.groupBy("PATIENT_ID", "END_DT").agg(
-            F.map_from_entries(F.collect_list(F.struct("FEATURE", "VALUE"))).alias("m"))
-        rows = self.manifest.join(packed, ["PATIENT_ID", "END_DT"], "left")
+    def packed(self) -> DataFrame:
+        """Manifest with one sparse map of annual counts per snapshot, kept once for operators that scan it repeatedly."""
+        maps = self.annual.groupBy("PATIENT_ID", "END_DT").agg(
+            F.map_from_entries(F.collect_list(F.struct("FEATURE", "VALUE"))).alias("COUNTS"))
+        return settle(self.manifest.join(maps, ["PATIENT_ID", "END_DT"], "left"))
+
+    @staticmethod
+    def expand(packed: DataFrame) -> DataFrame:
+        """One row per snapshot and declared feature, zeros included; expanded per row, never by a product join."""
         names = F.array(*[F.lit(v) for v in VOCABULARY])
-        return rows.select("PATIENT_ID", "END_DT", "RESP", "SPLIT", "m", F.explode(names).alias("FEATURE")).select(
-            "PATIENT_ID", "END_DT", "RESP", "SPLIT", "FEATURE",
-            F.coalesce(F.try_element_at("m", F.col("FEATURE")), F.lit(0)).cast("double").alias("VALUE"))
+        rows = packed.withColumn("FEATURE", F.explode(names))
+        return rows.withColumn("VALUE", F.coalesce(F.try_element_at("COUNTS", F.col("FEATURE")), F.lit(0)).cast("double")).drop("COUNTS")
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        return self.expand(self.packed)
 
     @cached_property
     def dirty(self) -> DataFrame:

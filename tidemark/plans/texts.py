@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import events as ev, features as ft, text as tx
 from tidemark.plans.registry import query
 from tidemark.plans.relations import RELATIONS
+from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 DOC = ["PATIENT_ID", "AS_OF_DATE"]
@@ -53,7 +54,8 @@ def names(t):
 
 def doc_terms(t):
     rows = doc_codes(t).join(names(t), "CODE").groupBy(*DOC, "SPLIT", "DESCRIPTION").agg(F.sum("EVENTS").alias("EVENTS"))
-    return tx.weighted_terms(rows, [*DOC, "SPLIT"], "DESCRIPTION", "EVENTS", STOP_WORDS)
+    # Read by the vocabulary and by the transform, so kept once.
+    return settle(tx.weighted_terms(rows, [*DOC, "SPLIT"], "DESCRIPTION", "EVENTS", STOP_WORDS))
 
 
 def voc(t, terms):
