@@ -75,22 +75,19 @@ def asof_join(snapshots: DataFrame, events: DataFrame, date: str, steps: int = 1
 def monthly_counts(snapshots: DataFrame, coded: DataFrame, steps: int = 12) -> DataFrame:
     """Long monthly counts per (snapshot, step, family, category) with first and last event date.
 
-    `coded` holds mapped occurrences. They are rolled up once to entity-months (for the older steps, where
-    the whole month counts) and to entity-days (for step 0, which ends at the cutoff), so overlapping
-    windows join small monthly totals rather than events, and a hot entity is reduced before it is shuffled.
+    `coded` holds mapped occurrences. They are reduced to entity-days first, partially before the shuffle,
+    so a hot entity arrives as at most its days times categories. The range condition becomes an equi-join on
+    (entity, calendar month); the last aggregation reuses that partitioning, so overlapping windows multiply
+    rows only inside a task and never in a shuffle.
     """
     day = F.col("EVENT_DATE")
-    grain = F.explode(F.array(F.lit(None).cast("date"), day)).alias("DAY")
-    rolled = (coded.select("PATIENT_ID", month_start(day).alias("MONTH"), "FAMILY", "CATEGORY", "EVENT_DATE", grain)
-              .groupBy("PATIENT_ID", "MONTH", "FAMILY", "CATEGORY", "DAY")
-              .agg(F.count("*").alias("N"), F.min("EVENT_DATE").alias("lo"), F.max("EVENT_DATE").alias("hi"))
-              .withColumn("WHOLE", F.col("DAY").isNull()))
-    months = window_months(snapshots.select(*KEY), steps).withColumn("WHOLE", F.col("TIME_STEP") > 0)
-    joined = months.join(rolled, ["PATIENT_ID", "MONTH", "WHOLE"]).filter(
-        F.col("WHOLE") | (F.col("DAY") <= F.col("END_DT")))
-    # MONTH and WHOLE follow from the other keys; naming them lets the join's partitioning serve the aggregation.
-    return joined.groupBy("PATIENT_ID", "MONTH", "WHOLE", "END_DT", "TIME_STEP", "FAMILY", "CATEGORY").agg(
-        F.sum("N").alias("VALUE"), F.min("lo").alias("FIRST_EVENT_DATE"), F.max("hi").alias("LAST_EVENT_DATE")).drop("MONTH", "WHOLE")
+    daily = coded.groupBy("PATIENT_ID", "EVENT_DATE", "FAMILY", "CATEGORY").agg(F.count("*").alias("N"))
+    joined = (window_months(snapshots.select(*KEY), steps)
+              .join(daily.withColumn("MONTH", month_start(day)), ["PATIENT_ID", "MONTH"])
+              .filter((F.col("TIME_STEP") > 0) | (day <= F.col("END_DT"))))
+    # MONTH follows from the other keys; naming it lets the join's partitioning serve the aggregation.
+    return joined.groupBy("PATIENT_ID", "MONTH", "END_DT", "TIME_STEP", "FAMILY", "CATEGORY").agg(
+        F.sum("N").alias("VALUE"), F.min(day).alias("FIRST_EVENT_DATE"), F.max(day).alias("LAST_EVENT_DATE")).drop("MONTH")
 
 
 def entity_bounds(snapshots: DataFrame, steps: int = 12) -> DataFrame:

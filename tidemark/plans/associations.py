@@ -240,10 +240,11 @@ _STEP01 = f"""SELECT m.PATIENT_ID, m.END_DT, RESP, FEATURE, m.TIME_STEP, coalesc
   a AS (SELECT FEATURE, TIME_STEP, sum(p / tp * cp / (cp + cn)) AS ap, max(tz) / max(tp) AS rt FROM c GROUP BY 1, 2) SELECT FEATURE, STEP0_AP, STEP1_AP, STEP0_AP - STEP1_AP AS AP_DIFFERENCE, r0 - r1 AS RATE_DIFFERENCE, CASE WHEN STEP0_AP > STEP1_AP AND r0 > r1 THEN 'CORROBORATED' ELSE 'INCONCLUSIVE' END AS STATUS FROM (
   SELECT FEATURE, max(ap) FILTER (TIME_STEP = 0) AS STEP0_AP, max(ap) FILTER (TIME_STEP = 1) AS STEP1_AP, max(rt) FILTER (TIME_STEP = 0) AS r0, max(rt) FILTER (TIME_STEP = 1) AS r1 FROM a GROUP BY 1)""")
 def j21(t):
-    train = asc.entity_weights(t.manifest.filter(TRAIN))
+    train = settle(asc.entity_weights(t.manifest.filter(TRAIN)))
     w, y = F.col("ENTITY_SHARE"), F.col("RESP")
     seen = t.counts.filter((F.col("TIME_STEP") < 2) & F.col("CATEGORY").isin(*VOCABULARY)).join(train.select(*KEY, "RESP", "ENTITY_SHARE"), KEY)
-    hist = seen.groupBy(F.col("CATEGORY").alias("FEATURE"), "TIME_STEP", F.col("VALUE").cast("double").alias("VALUE")).agg(F.sum(w * y).alias("P"), F.sum(w * (1 - y)).alias("N"))
+    hist = settle(seen.groupBy(F.col("CATEGORY").alias("FEATURE"), "TIME_STEP", F.col("VALUE").cast("double").alias("VALUE")).agg(
+        F.sum(w * y).alias("P"), F.sum(w * (1 - y)).alias("N")))
     # Zeros are implied: their weight is the remainder of the totals.
     whole = train.agg(F.sum(w * y).alias("TP"), F.sum(w * (1 - y)).alias("TN"))
     nonzero = hist.groupBy("FEATURE", "TIME_STEP").agg(F.sum("P").alias("ZP"), F.sum("N").alias("ZN"))
