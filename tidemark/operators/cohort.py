@@ -4,23 +4,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import total
 from tidemark.operators.events import with_followup
+from tidemark.operators.ordering import attach
 
 KEY = ["PATIENT_ID", "END_DT"]
 
 
 def bounds(candidate: DataFrame, basket: DataFrame, activity: DataFrame, months: int, horizon: int = 90) -> DataFrame:
     """One row: OBSERVED_THROUGH, UPPER_END and the exclusive LOWER_END. All inputs are single aggregates."""
-    last = (candidate.agg(F.max("END_DT").alias("c")).crossJoin(F.broadcast(basket.agg(F.max("FILL_DATE").alias("b"))))
-            .crossJoin(F.broadcast(activity.agg(F.max("SERVICE_DATE").alias("m")))))
+    last = attach(attach(candidate.agg(F.max("END_DT").alias("c")), basket.agg(F.max("FILL_DATE").alias("b")), []),
+                  activity.agg(F.max("SERVICE_DATE").alias("m")), [])
     seen = F.least("b", "m")
     upper = F.least(F.col("c"), F.date_add(seen, -horizon))
     return last.select(seen.alias("OBSERVED_THROUGH"), upper.alias("UPPER_END"), F.add_months(upper, -months).alias("LOWER_END"))
 
 
 def bounded(candidate: DataFrame, limits: DataFrame) -> DataFrame:
-    """Candidates with LOWER_END < END_DT <= UPPER_END; the one-row bounds are broadcast."""
+    """Candidates with LOWER_END < END_DT <= UPPER_END."""
     inside = (F.col("END_DT") > F.col("LOWER_END")) & (F.col("END_DT") <= F.col("UPPER_END"))
-    return candidate.join(F.broadcast(limits), inside, "inner").select(*candidate.columns)
+    return attach(candidate, limits, []).filter(inside).select(*candidate.columns)
 
 
 def first_event(basket: DataFrame, entities: DataFrame) -> DataFrame:

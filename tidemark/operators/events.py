@@ -102,11 +102,10 @@ def prune_by_bounds(events: DataFrame, bounds: DataFrame, date: str) -> DataFram
 
 
 def prune_by_global_bounds(events: DataFrame, snapshots: DataFrame, date: str, steps: int = 12) -> DataFrame:
-    """Keep events inside the one overall window; the single bounds row is an aggregate, so its size is fixed."""
-    bounds = snapshots.agg(F.min(count_window_start(F.col("END_DT"), steps)).alias("MIN_START"),
-                           F.max("END_DT").alias("MAX_END"))
-    inside = F.col(date).between(F.col("MIN_START"), F.col("MAX_END"))
-    return events.join(F.broadcast(bounds), inside, "inner").drop("MIN_START", "MAX_END")
+    """Keep events inside the one overall window; its bounds are scalar subqueries of the fact filter."""
+    low = snapshots.agg(F.min(count_window_start(F.col("END_DT"), steps))).scalar()
+    high = snapshots.agg(F.max("END_DT")).scalar()
+    return events.filter((F.col(date) >= low) & (F.col(date) <= high))
 
 
 def interval_overlap(periods: DataFrame, intervals: DataFrame, start: str, end: str) -> DataFrame:

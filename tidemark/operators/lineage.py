@@ -9,16 +9,17 @@ def relation_hash(df: DataFrame) -> DataFrame:
                   F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("HASH"))
 
 
-def digest(df: DataFrame, line: Column, bucket: Column) -> DataFrame:
-    """Ordered canonical digest in two levels: sorted lines per bucket, then the sorted bucket digests.
+def digest(df: DataFrame, line: Column) -> DataFrame:
+    """Ordered canonical digest of unique lines, as a tree over the first 6 and 3 hex digits of the line hash.
 
-    `bucket` must keep a bucket small (a hash prefix of the unique line); every line counts.
+    A leaf sorts about rows / 16.7 million lines, an inner node and the root at most 4096 digests each.
     """
-    lines = df.select(line.alias("l"), bucket.alias("b"))
-    inner = lines.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("h"),
-                                   F.count("*").alias("n"))
-    return inner.agg(F.sum("n").alias("ROWS"), F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("DIGEST"))
+    def fold(name):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", name))), lambda x: x[name]), "\n"), 256)
+    lines = df.select(line.alias("l")).withColumn("b", F.substring(F.sha2("l", 256), 1, 6))
+    leaf = lines.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    node = leaf.groupBy(F.substring("b", 1, 3).alias("c")).agg(fold("h").alias("h"), F.sum("n").alias("n"))
+    return node.withColumnRenamed("c", "b").agg(F.sum("n").alias("ROWS"), fold("h").alias("DIGEST"))
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -85,8 +85,11 @@ def weighted_quantiles(values: DataFrame, value: str, points: list[float], group
 
 
 def attach(df: DataFrame, totals: DataFrame, groups: list) -> DataFrame:
-    """Join per-group totals; with no groups the single total row is attached as such."""
-    return df.join(totals, list(groups)) if groups else df.crossJoin(F.broadcast(totals))
+    """Join per-group totals; with no groups the single total row is read as one scalar subquery."""
+    if groups:
+        return df.join(totals, list(groups))
+    one = totals.select(F.struct(*totals.columns)).scalar()
+    return df.withColumn("_one", one).select("*", *[F.col(f"_one.{c}").alias(c) for c in totals.columns]).drop("_one")
 
 
 def decile(rank: Column, rows: Column) -> Column:

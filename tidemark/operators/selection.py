@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalar import hash_int
 from tidemark.operators import evaluation as evl
-from tidemark.operators.ordering import ranked
+from tidemark.operators.ordering import attach, ranked
 from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
@@ -93,11 +93,11 @@ def one_standard_error(table: DataFrame) -> DataFrame:
     """Choices from (CANDIDATE, FEATURES, MEAN_AP, SE_AP): best, smallest within one SE, next smaller, all."""
     row = F.struct("CANDIDATE", "FEATURES", "MEAN_AP", "SE_AP")
     best = table.agg(F.min_by(row, F.struct(-F.col("MEAN_AP"), F.col("FEATURES"), F.col("CANDIDATE"))).alias("b"))
-    near = table.crossJoin(F.broadcast(best)).filter(F.col("MEAN_AP") >= F.col("b.MEAN_AP") - F.col("b.SE_AP"))
+    near = attach(table, best, []).filter(F.col("MEAN_AP") >= F.col("b.MEAN_AP") - F.col("b.SE_AP"))
     one = near.agg(F.min_by(row, F.struct(F.col("FEATURES"), -F.col("MEAN_AP"))).alias("o"), F.max("b").alias("b"))
-    small = table.crossJoin(F.broadcast(one)).filter(F.col("FEATURES") < F.col("o.FEATURES")).agg(
+    small = attach(table, one, []).filter(F.col("FEATURES") < F.col("o.FEATURES")).agg(
         F.max_by("CANDIDATE", "FEATURES").alias("s"))
-    done = one.crossJoin(F.broadcast(small))
+    done = attach(one, small, [])
     pick = lambda n, c: F.struct(F.lit(n).alias("CHOICE"), c.alias("CANDIDATE"))
     return done.select(F.inline(F.array(pick("proxy_best", F.col("b.CANDIDATE")), pick("proxy_one_se", F.col("o.CANDIDATE")),
                                         pick("one_smaller", F.col("s")), pick("all_eligible", F.lit("all_eligible"))))).filter("CANDIDATE IS NOT NULL")

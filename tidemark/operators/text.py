@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators.ordering import attach
+
 WORD = r"[\p{L}\p{N}_]+"  # fixed value: a token is a run of letters, digits and underscores
 
 
@@ -29,7 +31,7 @@ def vocabulary(counts: DataFrame, doc: list[str], documents: DataFrame, max_term
     """
     top = counts.groupBy("TERM").agg(F.sum("TF").alias("FREQUENCY"), F.count("*").alias("DF")).orderBy(F.desc("FREQUENCY"), "TERM").limit(max_terms)
     n = documents.select(*doc).distinct().agg(F.count("*").alias("DOCS"))
-    return top.crossJoin(F.broadcast(n)).withColumn("IDF", F.ln((1 + F.col("DOCS")) / (1 + F.col("DF"))) + 1)
+    return attach(top, n, []).withColumn("IDF", F.ln((1 + F.col("DOCS")) / (1 + F.col("DF"))) + 1)
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
@@ -48,7 +50,7 @@ def salience(positions: DataFrame, snapshots: DataFrame, steps: int = 12) -> Dat
     """Mean TF-IDF over all positions, zeros included, and number of non-zero positions per term."""
     n = snapshots.agg(F.count("*").alias("_s"))
     g = positions.groupBy("TERM").agg(F.sum("TFIDF").alias("_t"), F.count("*").alias("NONZERO_POSITIONS"))
-    return g.crossJoin(F.broadcast(n)).select("TERM", (F.col("_t") / (F.col("_s") * steps)).alias("MEAN_TFIDF"), "NONZERO_POSITIONS")
+    return attach(g, n, []).select("TERM", (F.col("_t") / (F.col("_s") * steps)).alias("MEAN_TFIDF"), "NONZERO_POSITIONS")
 
 
 def trend(positions: DataFrame, snapshots: DataFrame, steps: int = 12) -> DataFrame:
@@ -68,6 +70,6 @@ def trend(positions: DataFrame, snapshots: DataFrame, steps: int = 12) -> DataFr
     size = snapshots.agg(F.count("*").alias("_s"))
     g = per.groupBy("TERM").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("o").alias("o"))
     n = F.col("_s")
-    return g.crossJoin(F.broadcast(size)).select(
+    return attach(g, size, []).select(
         "TERM", (100 * F.col("k") / n).alias("SNAPSHOT_COVERAGE_PCT"), (100 * F.col("m") / (n * steps)).alias("MONTH_COVERAGE_PCT"),
         (F.col("c") / (n * (steps - 1))).alias("MEAN_ABS_CHANGE"), ((F.col("n") - F.col("o")) / (n * 3)).alias("RECENT_MINUS_EARLY"))

@@ -244,7 +244,7 @@ _SEL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY MODEL ORDER B
 def selected(t, models=("alpha", "beta")):
     rows = t.model_scores.filter(TEST).filter(F.col("MODEL").isin(*models))
     r = od.ranked(rows, [F.desc("SCORE"), *keys()], "RANK", ("MODEL",))
-    sizes = rows.groupBy("MODEL").agg(F.count("*").alias("N"))
+    sizes = r.groupBy("MODEL").agg(F.count("*").alias("N"))
     return r.join(sizes, "MODEL").filter(F.col("RANK") <= evl.capacity(F.col("N"), 10))
 
 

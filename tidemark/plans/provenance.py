@@ -18,13 +18,13 @@ def n01(t):
     return parts
 
 
-_DIGEST = """SELECT sum(n) AS ROWS, sha256(string_agg(h, chr(10) ORDER BY b)) AS DIGEST FROM (SELECT substr(sha256(l), 1, 3) AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) AS n FROM ({0}) GROUP BY 1)"""
+_DIGEST = """SELECT sum(n) AS ROWS, sha256(string_agg(h, chr(10) ORDER BY c)) AS DIGEST FROM (SELECT substr(b, 1, 3) AS c, sha256(string_agg(h, chr(10) ORDER BY b)) AS h, sum(n) AS n FROM (
+  SELECT substr(sha256(l), 1, 6) AS b, sha256(string_agg(l, chr(10) ORDER BY l)) AS h, count(*) AS n FROM ({0}) GROUP BY 1) GROUP BY 1)"""
 _LINES = """SELECT PATIENT_ID || '|' || CAST(END_DT AS VARCHAR) || '|' || RESP AS l FROM snapshots"""
 
 
 def line_digest(df, *cols):
-    line = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
-    return ln.digest(df, line, F.substring(F.sha2(line, 256), 1, 3))
+    return ln.digest(df, F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
 
 
 @query("n02_ordered_digest", "ROWS:i DIGEST:s", "snapshots", _DIGEST.format(_LINES))

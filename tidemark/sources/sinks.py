@@ -71,16 +71,17 @@ def to_chunks(df: DataFrame, name: str, payload: str, size: int = CHUNK_CHARACTE
 
 
 def from_chunks(chunks: DataFrame) -> DataFrame:
-    """Re-assemble payloads; VERIFIED is false when a chunk is missing, repeated or altered."""
+    """Re-assemble payloads; VERIFIED is false, and the payload null, when a chunk is missing, repeated or altered."""
     parts = chunks.groupBy("ARTIFACT_NAME").agg(
         F.array_sort(F.collect_list(F.struct("CHUNK_INDEX", "PAYLOAD_BASE64"))).alias("parts"),
         F.count("*").alias("n"), F.count_distinct("CHUNK_INDEX").alias("d"), F.max("CHUNK_COUNT").alias("want"),
         F.min("SHA256").alias("SHA256"), F.max("SHA256").alias("h2"), F.max("BYTE_LENGTH").alias("BYTE_LENGTH"))
-    data = F.unbase64(F.array_join(F.col("parts.PAYLOAD_BASE64"), ""))
+    data = F.try_to_binary(F.array_join(F.col("parts.PAYLOAD_BASE64"), ""), F.lit("base64"))
     parts = parts.withColumn("data", data)
     good = ((F.col("n") == F.col("want")) & (F.col("d") == F.col("want")) & (F.col("SHA256") == F.col("h2"))
             & (F.sha2("data", 256) == F.col("SHA256")) & (F.octet_length("data") == F.col("BYTE_LENGTH")))
-    return parts.select("ARTIFACT_NAME", F.decode("data", "UTF-8").alias("PAYLOAD"), good.alias("VERIFIED"))
+    good = F.coalesce(good, F.lit(False))
+    return parts.select("ARTIFACT_NAME", F.when(good, F.decode("data", "UTF-8")).alias("PAYLOAD"), good.alias("VERIFIED"))
 
 
 def chunk_inventory(chunks: DataFrame) -> DataFrame:
