@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh_path, keep
 
 END_ID = 0
-SCALE = 20
+SCALE = 18
 BLOCK_TOKENS = 1 << 19
 LANES = 2048
 CHECKPOINT = 128
@@ -36,7 +36,9 @@ _MAGIC = b"TRA1"
 #: Two spaces around any white space: there a space may belong to the token before it, so such texts are encoded whole.
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 _ODD = f"{_BLANK} {_BLANK}"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_300_000
+#: The byte-level alphabet writes bytes 127 to 160 and 173 as code points from 289 on, other bytes over 127 as they are.
+BYTE_LETTERS = {b: 289 + b - 127 for b in range(127, 161)} | {173: 323}
 
 
 class WordEncoder:
@@ -60,7 +62,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache: tuple[dict[str, int], dict[str, int]] = ({}, {})  # first words, others
         self.pool: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
         self.known = 0
@@ -68,56 +70,59 @@ class WordEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces into the cache.
+    def _learn(self, words: list[str], spaced: bool) -> None:
+        """Put words into the cache, as pieces that begin with a space or (first words of texts) without.
 
-        A space and ASCII letters are one piece of the tokenizer, and a stop or comma after them another: these go to its model
-        at once. Other pieces that begin with a space and hold no edge white space are encoded many at a time, the rest singly.
+        Latin letters are one piece of the tokenizer, and a stop or comma after them another: these go to its model at once. Other
+        spaced pieces without edge white space are encoded many at a time, the rest singly.
         """
+        lead, lead_model = (" ", "Ġ") if spaced else ("", "")
+        tokenize, tails = self.model.tokenize, self.tails
         plain, ids, lengths, joint, single = [], [], [], [], []
-        for piece in pieces:
-            tail = self.tails.get(piece[-1:])
-            body = piece[1:] if tail is None else piece[1:-1]
-            if piece[:1] == " " and body.isascii() and body.isalpha():
-                found = [t.id for t in self.model.tokenize("Ġ" + body)]
+        for word in words:
+            tail = tails.get(word[-1:])
+            body = word if tail is None else word[:-1]
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(BYTE_LETTERS)
+                found = [t.id for t in tokenize(lead_model + body)]
                 if tail is not None:
                     found.append(tail)
-                plain.append(piece)
+                plain.append(word)
                 ids += found
                 lengths.append(len(found))
-            elif piece[:1] == " " and len(piece) > 1 and not piece[1].isspace() and not piece[-1].isspace():
-                joint.append(piece)
+            elif spaced and word and not word[0].isspace() and not word[-1].isspace():
+                joint.append(word)
             else:
-                single.append(piece)
+                single.append(word)
         if plain:
-            self._add(plain, np.array(ids, np.uint32), np.array(lengths))
+            self._add(plain, np.array(ids, np.uint32), np.array(lengths), spaced)
         for i in range(0, len(joint), 300):
             part = joint[i:i + 300]
-            found = np.array(self._whole("".join(part)), np.uint32)
+            found = np.array(self._whole(" " + " ".join(part)), np.uint32)
             begins = np.flatnonzero(self.spaced[found])
             if len(begins) == len(part) and begins[0] == 0:
-                self._add(part, found, np.diff(np.append(begins, len(found))))
+                self._add(part, found, np.diff(np.append(begins, len(found))), spaced)
             else:
                 single += part
-        for piece in single:
-            found = np.array(self._whole(piece), np.uint32)
-            self._add([piece], found, np.array([len(found)]))
-
-    def _add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        for piece in pieces:
-            self.cache[piece] = self.known
-            self.known += 1
+        for word in single:
+            found = np.array(self._whole(lead + word), np.uint32)
+            self._add([word], found, np.array([len(found)]), spaced)
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, spaced: bool) -> None:
+        self.cache[spaced].update(zip(words, range(self.known, self.known + len(words))))
+        self.known += len(words)
         self.pool.append(ids)
         self.lengths.append(lengths)
 
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        get = self.cache.get
-        codes = np.array([get(p, -1) for p in pieces], np.int64)
+    def _codes(self, words: list[str], spaced: bool) -> np.ndarray:
+        get = self.cache[spaced].get
+        codes = np.array([get(w, -1) for w in words], np.int64)
         new = np.flatnonzero(codes < 0)
         if len(new):
-            unknown = [pieces[i] for i in new]
-            self._learn(list(dict.fromkeys(unknown)))
-            codes[new] = [get(p) for p in unknown]
+            unknown = [words[i] for i in new]
+            self._learn(list(dict.fromkeys(unknown)), spaced)
+            codes[new] = [get(w) for w in unknown]
         return codes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -136,11 +141,14 @@ class WordEncoder:
         heads = lists.values.take(pa.array(bounds[:-1])).to_pylist() if len(texts) else []
         used = np.zeros(len(distinct), bool)
         used[index[~first]] = True
-        wanted = np.flatnonzero(used)
-        of = np.zeros(len(distinct), np.int64)
-        of[wanted] = self._codes([" " + distinct[i] for i in wanted])
-        codes = of[index]
-        codes[first] = self._codes(heads)
+        if used.all():
+            codes = self._codes(distinct, True)[index]
+        else:
+            wanted = np.flatnonzero(used)
+            of = np.zeros(len(distinct), np.int64)
+            of[wanted] = self._codes([distinct[i] for i in wanted], True)
+            codes = of[index]
+        codes[first] = self._codes(heads, False)
         pool, lengths = np.concatenate(self.pool or [np.empty(0, np.uint32)]), np.concatenate(self.lengths or [np.empty(0, np.int64)])
         self.pool, self.lengths = [pool], [lengths]
         begins = np.concatenate(([0], np.cumsum(lengths)))
