@@ -151,7 +151,8 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0,
     slots = (parts.where("slots > 0").repartition("source_no", "part")
              .mapInPandas(_slots(seed), "source_no long, shard long, slot long, block long"))
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = pieces.join(times, ["source_no", "block"]).select(
+    # Both sides grow with the input. Sizes after Python are guesses, so the planner is told not to broadcast.
+    taken = pieces.join(times.hint("merge"), ["source_no", "block"]).select(
         "row_key", "first", (F.col("end") - F.col("first")).alias("words"), "times")
     described = sizes.join(targets, "source_key").select("row_key", "doc_id", "source", "size", "source_size", "target")
     return described, taken, slots
