@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, token_output, warc
+from tidemark.llm import decontaminate, exact_dedup, mixing, secret_scan, token_output, warc
 from tidemark.llm.common import table
 
 
@@ -26,6 +26,15 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_revisits, op6_token_output, op7_exact_dedup, op10_source_mix)}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_secret_scan, op4_warc_revisits, op5_decontamination, op6_token_output, op7_exact_dedup, op10_source_mix)}
 
 ORACLES: dict[str, str] = {}
