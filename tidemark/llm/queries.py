@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing, secret_scan, token_output, warc
+from tidemark.llm import decontaminate, exact_dedup, mixing, ngram_join, secret_scan, substring_dedup, token_output, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -34,7 +34,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scan, op4_warc_revisits, op5_decontamination, op6_token_output, op7_exact_dedup, op10_source_mix)}
+    op2_substring_dedup, op3_secret_scan, op4_warc_revisits, op5_decontamination, op6_token_output, op7_exact_dedup,
+    op8_toxicity, op9_ngram_join, op10_source_mix)}
 
 ORACLES: dict[str, str] = {}
