@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing, ngram_join, secret_scan, substring_dedup, token_output, toxicity, warc
+from tidemark.llm import decontaminate, exact_dedup, line_dedup, mixing, ngram_join, oracles, secret_scan, substring_dedup, token_output, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -47,8 +47,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_substring_dedup, op3_secret_scan, op4_warc_revisits, op5_decontamination, op6_token_output, op7_exact_dedup,
-    op8_toxicity, op9_ngram_join, op10_source_mix)}
+    op1_line_dedup, op2_substring_dedup, op3_secret_scan, op4_warc_revisits, op5_decontamination, op6_token_output,
+    op7_exact_dedup, op8_toxicity, op9_ngram_join, op10_source_mix)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": oracles.LINES, "op2_substring_dedup": oracles.SUBSTRINGS, "op4_warc_revisits": oracles.WARC,
+    "op7_exact_dedup": oracles.EXACT, "op9_ngram_join": oracles.JACCARD}
