@@ -62,16 +62,16 @@ def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     marked = F.transform(chunks, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(chunk_text(c)).alias("hash")))
     places = keep(rows.select("doc_id", "text_key", F.explode(marked).alias("c")).select("doc_id", "text_key", "c.first", "c.n", "c.hash"), "line-chunks")
     often = keep(places.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "line-often")
-    wanted = (places.join(often, "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n", "hash")).alias("chunks"))
+    wanted = (places.join(often.hint("merge"), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n", "hash")).alias("chunks"))
               .withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    texts = keyed(docs).join(wanted, same).withColumn("lines", F.split("text", "\n"))
+    texts = keyed(docs).join(wanted.hint("merge"), same).withColumn("lines", F.split("text", "\n"))
     fetched = keep(texts.select("doc_id", "text_key", F.explode(F.transform("chunks", lambda c: F.struct(
         c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), chunk_text(c).alias("body")))).alias("c"))
         .select("doc_id", "text_key", "c.first", "c.n", "c.hash", "c.body"), "line-bodies")
     place = F.struct("doc_id", "first", "text_key")
     first = keep(fetched.groupBy("hash", "body").agg(F.min(place).alias("stays"), F.count("*").alias("times")).where("times > 1").drop("times"), "line-first")
-    gone = fetched.join(first, ["hash", "body"]).where(~place.eqNullSafe(F.col("stays")))
+    gone = fetched.join(first.hint("merge"), ["hash", "body"]).where(~place.eqNullSafe(F.col("stays")))
     return keep(gone.select("doc_id", "text_key", "first", "n").distinct(), "line-gone")
 
 
@@ -101,4 +101,4 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             .agg(F.collect_list(F.struct("first", "n")).alias("gone")).withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     rows = with_chunks(keyed(docs), divisor).select("doc_id", "text_key", "text", F.size("chunks").cast("long").alias("n_chunks"))
-    return rows.join(gone, same, "left").select("doc_id", "text", "n_chunks", F.col("gone.first").alias("firsts"), F.col("gone.n").alias("runs")).mapInArrow(_digests, _KEPT)
+    return rows.join(gone.hint("merge"), same, "left").select("doc_id", "text", "n_chunks", F.col("gone.first").alias("firsts"), F.col("gone.n").alias("runs")).mapInArrow(_digests, _KEPT)
