@@ -10,6 +10,8 @@
 4. Pairs pass the length filter, the positional filter (where the order is known) and a suffix filter (set counts by hash
    range bound the overlap); what remains is distinct and is verified from the texts.
 5. Links become components by label propagation with shortcuts.
+
+Sides that grow with the corpus meet in merge joins at every size.
 """
 
 from __future__ import annotations
@@ -168,13 +170,13 @@ class Join:
     def links(self) -> DataFrame:
         """a, b: classes (by the row key of their representative) that link, each pair once; enough of them to give the components."""
         own = self.classes.select("rep")
-        reps = keep(self.sets.join(own, F.col("row_key") == F.col("rep"), "left_semi").select("row_key", "doc_id", "text_key", "n", "prefix", "ranges"), "join-reps")
+        reps = keep(self.sets.join(own.hint("merge"), F.col("row_key") == F.col("rep"), "left_semi").select("row_key", "doc_id", "text_key", "n", "prefix", "ranges"), "join-reps")
         prefixes = reps.select("row_key", "n", F.posexplode("prefix").alias("place", "gram"))
         grams = keep(prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.min("row_key").alias("a"), F.max("row_key").alias("b"))
                      .where("held > 1"), "join-grams")
-        many = keep(prefixes.join(grams.where("held > 2").select(F.col("gram").alias("wanted")), F.col("gram") == F.col("wanted"), "left_semi"), "join-many")
+        many = keep(prefixes.join(grams.where("held > 2").select(F.col("gram").alias("wanted")).hint("merge"), F.col("gram") == F.col("wanted"), "left_semi"), "join-many")
         heads = keep(many.groupBy("gram").agg(F.min(F.struct("row_key", "n", "place")).alias("head")), "join-heads")
-        star = many.join(heads, "gram").where("row_key != head.row_key").where(self._may_link("n", "place", "head.n", "head.place"))
+        star = many.join(heads.hint("merge"), "gram").where("row_key != head.row_key").where(self._may_link("n", "place", "head.n", "head.place"))
         pairs = self._filtered(grams.where("held = 2").select("a", "b").unionByName(star.select(F.col("head.row_key").alias("a"), F.col("row_key").alias("b"))), reps)
         pairs = keep(pairs, "join-pairs")
         first = keep(self._verified(pairs, reps), "join-links")
@@ -197,7 +199,7 @@ class Join:
 
     def _filtered(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Distinct pairs that pass the length and the suffix filter."""
-        slim = reps.select("row_key", "n", "ranges")
+        slim = reps.select("row_key", "n", "ranges").hint("merge")
         rows = pairs.distinct().join(slim.withColumnsRenamed({"row_key": "a", "n": "n_a", "ranges": "r_a"}), "a")
         rows = rows.join(slim.withColumnsRenamed({"row_key": "b", "n": "n_b", "ranges": "r_b"}), "b").where(long_enough(F.col("n_a"), F.col("n_b"), self.percent))
         bound = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -206,11 +208,11 @@ class Join:
 
     def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         wanted = keep(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
-                      .join(reps.select("row_key", "doc_id", "text_key"), "row_key").withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "join-wanted")
+                      .join(reps.select("row_key", "doc_id", "text_key").hint("merge"), "row_key").withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "join-wanted")
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-        texts = keep(self.texts.join(wanted, same).select("row_key", "text").dropDuplicates(["row_key"]), "join-texts")
-        rows = pairs.join(texts.withColumnsRenamed({"row_key": "b", "text": "text_b"}), "b")
-        rows = rows.join(texts.withColumnsRenamed({"row_key": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
+        texts = keep(self.texts.join(wanted.hint("merge"), same).select("row_key", "text").dropDuplicates(["row_key"]), "join-texts")
+        rows = pairs.join(texts.withColumnsRenamed({"row_key": "b", "text": "text_b"}).hint("merge"), "b")
+        rows = rows.join(texts.withColumnsRenamed({"row_key": "a", "text": "text_a"}).hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return rows.mapInArrow(_verify(self.width, self.percent), "a long, b long")
 
     def result(self) -> DataFrame:
@@ -218,7 +220,7 @@ class Join:
         named = keep(self.classes.join(parts.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "join-named")
         lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
         answer = keep(named.join(keep(lowest, "join-lowest"), "component").select("key_a", "key_b", "n", "component_id", (F.col("component") == F.col("rep")).alias("leads"), "rep"), "join-answer")
-        rows = self.sets.select("row_key", "doc_id", "n", "key_a", "key_b").join(answer, ["key_a", "key_b", "n"], "left")
+        rows = self.sets.select("row_key", "doc_id", "n", "key_a", "key_b").join(answer.hint("merge"), ["key_a", "key_b", "n"], "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
 
 
@@ -240,7 +242,6 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     """
     found = jaccard_join(docs, width, percent)
     gone = keep(found.where("doc_id > component_id").select(F.col("doc_id").alias("tidemark_gone")).distinct(), "join-gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("tidemark_gone"), "left_anti")
-    return kept
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("tidemark_gone"), "left_anti")
 
 
