@@ -12,8 +12,10 @@
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ _MAGIC = b"TRA1"
 #: Two spaces around any white space: there a space may belong to the token before it, so such texts are encoded whole.
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 _ODD = f"{_BLANK} {_BLANK}"
-CACHE_WORDS = 1_300_000
+CACHE_WORDS = 1_000_000
 #: The byte-level alphabet writes bytes 127 to 160 and 173 as code points from 289 on, other bytes over 127 as they are.
 BYTE_LETTERS = {b: 289 + b - 127 for b in range(127, 161)} | {173: 323}
 
@@ -162,11 +164,22 @@ class WordEncoder:
         return out
 
 
+def worker_encoder(vocabulary: str) -> WordEncoder:
+    """The encoder of this worker process, with the words it has learned in earlier tasks.
+
+    Functions of this folder come to a worker by value and so have no module there; the process keeps one for the encoder.
+    """
+    held = sys.modules.setdefault("tidemark_llm_worker", ModuleType("tidemark_llm_worker"))
+    if getattr(held, "vocabulary", None) != vocabulary:
+        held.vocabulary, held.encoder = vocabulary, WordEncoder(vocabulary)
+    return held.encoder
+
+
 def _encode(vocabulary, kind: str):
     """Rows (doc_id, text) to (row_key, doc_id, n_tokens, packed ids with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary.value)
+        encoder = worker_encoder(vocabulary.value)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
