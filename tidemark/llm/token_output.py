@@ -56,6 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.spaced = np.zeros(self.size + 1, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.spaced[number] = token.startswith("Ġ")
@@ -114,12 +115,12 @@ class WordEncoder:
     def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, spaced: bool) -> None:
         self.cache[spaced].update(zip(words, range(self.known, self.known + len(words))))
         self.known += len(words)
-        self.pool.append(ids)
-        self.lengths.append(lengths)
+        self.pool.append(ids.astype(self.kind))
+        self.lengths.append(lengths.astype(np.int32))
 
     def _codes(self, words: list[str], spaced: bool) -> np.ndarray:
         get = self.cache[spaced].get
-        codes = np.array([get(w, -1) for w in words], np.int64)
+        codes = np.array([get(w, -1) for w in words], np.int32)
         new = np.flatnonzero(codes < 0)
         if len(new):
             unknown = [words[i] for i in new]
@@ -147,20 +148,22 @@ class WordEncoder:
             codes = self._codes(distinct, True)[index]
         else:
             wanted = np.flatnonzero(used)
-            of = np.zeros(len(distinct), np.int64)
+            of = np.zeros(len(distinct), np.int32)
             of[wanted] = self._codes([distinct[i] for i in wanted], True)
             codes = of[index]
         codes[first] = self._codes(heads, False)
-        pool, lengths = np.concatenate(self.pool or [np.empty(0, np.uint32)]), np.concatenate(self.lengths or [np.empty(0, np.int64)])
+        pool, lengths = np.concatenate(self.pool or [np.empty(0, self.kind)]), np.concatenate(self.lengths or [np.empty(0, np.int32)])
         self.pool, self.lengths = [pool], [lengths]
-        begins = np.concatenate(([0], np.cumsum(lengths)))
+        begins = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         counts = lengths[codes]
         ends = np.cumsum(counts)
-        ids = pool[np.repeat(begins[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.repeat((begins[codes] - (ends - counts)).astype(np.int32), counts)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = pool[place]
         edge = np.concatenate(([0], ends))[bounds]
         out = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
         for i in odd:
-            out[i] = np.array(self._whole(texts[i].as_py()), np.uint32)
+            out[i] = np.array(self._whole(texts[i].as_py()), self.kind)
         return out
 
 
@@ -182,9 +185,9 @@ def _encode(vocabulary, kind: str):
         encoder = worker_encoder(vocabulary.value)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
+            for at in range(0, batch.num_rows, 4000):  # about 2 million words
                 part = batch.slice(at, 4000)
-                packed = [np.append(ids, END_ID).astype(kind) for ids in encoder.encode(part.column(1))]
+                packed = [np.append(ids, ids.dtype.type(END_ID)).astype(kind, copy=False) for ids in encoder.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(key, key + len(packed))), part.column(0), pa.array([len(x) for x in packed], pa.int64()),
                      pa.array([x.tobytes() for x in packed], pa.binary())], names=["row_key", "doc_id", "n_tokens", "ids"])
