@@ -39,6 +39,8 @@ def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    # Spark removes shuffle files once the driver's garbage collector finds their plans dead. The rows are safe in the table now.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,8 +51,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text in order; none for null. split leaves empty strings at the ends only."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
-
-
-def size_of(df: DataFrame) -> int:
-    """Number of rows, one counting job."""
-    return df.count()
