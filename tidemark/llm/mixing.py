@@ -182,11 +182,12 @@ def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed:
     (also null and empty texts) leave. The mix is as large as `share` of the input.
     """
     rows = keep(docs.withColumn("tidemark_row", F.monotonically_increasing_id()), "mix-rows")
-    _, pieces, _ = plan(rows.withColumnRenamed("tidemark_row", "row_key"), share, most, seed)
-    by_row = pieces.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
-    text = F.array_join(F.flatten(F.transform("pieces", lambda p: F.flatten(F.array_repeat(
+    _, pieces, _ = plan(rows.select(F.col("tidemark_row").alias("row_key"), "doc_id", "source", "text"), share, most, seed)
+    by_row = pieces.groupBy(F.col("row_key").alias("tidemark_of")).agg(
+        F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("tidemark_pieces"))
+    text = F.array_join(F.flatten(F.transform("tidemark_pieces", lambda p: F.flatten(F.array_repeat(
         F.slice("tidemark_words", (p["first"] + 1).cast("int"), p["words"].cast("int")), p["times"].cast("int"))))), " ")
-    mixed = (rows.join(by_row, F.col("tidemark_row") == F.col("row_key"))
+    mixed = (rows.join(by_row.hint("merge"), F.col("tidemark_row") == F.col("tidemark_of"))
              .withColumn("tidemark_words", words(F.col("text"))).withColumn("text", text))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
