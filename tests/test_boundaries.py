@@ -247,3 +247,17 @@ def test_repeated_rows_do_not_cancel_in_the_relation_hash(spark):
     one = ln.relation_hash(spark.createDataFrame([("a",)], "x string")).first()
     three = ln.relation_hash(spark.createDataFrame([("a",)] * 3, "x string")).first()
     assert one.HASH != three.HASH and three.ROWS == 3
+
+
+def test_relation_hash_keeps_null_places(spark):
+    schema = "x string, y string"
+    one = ln.relation_hash(spark.createDataFrame([("a", None)], schema)).first()
+    other = ln.relation_hash(spark.createDataFrame([(None, "a")], schema)).first()
+    assert one != other
+
+
+def test_publish_refuses_moved_nulls(spark, tmp_path):
+    path, schema = str(tmp_path / "moved"), "x string, y string"
+    assert sinks.publish(spark.createDataFrame([("a", None)], schema), path) == "created"
+    with pytest.raises(ValueError):
+        sinks.publish(spark.createDataFrame([(None, "a")], schema), path)

@@ -3,10 +3,21 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _field(name: str, kind: str) -> Column:
+    """A value with its length before it; a null keeps its place, so values cannot move between columns unseen."""
+    column = F.col(f"`{name}`")
+    if kind == "binary":
+        text = F.base64(column)
+    else:
+        text = F.to_json(column) if kind.startswith(("array", "map", "struct")) else column.cast("string")
+    return F.coalesce(F.concat(F.lit("v"), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("n;"))
+
+
 def relation_hash(df: DataFrame) -> DataFrame:
-    """Row count and order-free hash: a sum of row hashes, so repeated rows do not cancel."""
-    return df.agg(F.count("*").alias("ROWS"),
-                  F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("HASH"))
+    """Row count and order-free hash: two sums over parts of a SHA-256 per row, so repeated rows do not cancel."""
+    row = F.sha2(F.concat(F.lit(""), *[_field(name, kind) for name, kind in df.dtypes]), 256)
+    parts = [F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+    return df.agg(F.count("*").alias("ROWS"), F.concat_ws("-", *parts).alias("HASH"))
 
 
 def digest(df: DataFrame, line: Column) -> DataFrame:

@@ -320,7 +320,7 @@ def d32(t):
     return t.snapshots.groupBy("PATIENT_ID").agg(F.max("RESP").alias("STRATUM"))
 
 
-_PIVOT = VOCABULARY[:8]
+_PIVOT = VOCABULARY
 
 
 @query("d33_fixed_pivot", "PATIENT_ID:s END_DT:d TIME_STEP:i " + " ".join(f"{v}:i" for v in _PIVOT), "counts",

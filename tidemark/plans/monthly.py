@@ -139,7 +139,7 @@ def i10(t):
   LEFT JOIN (SELECT DISTINCT FAMILY, CATEGORY, trim(regexp_replace(lower(substr(CATEGORY, 4)), '[^a-z0-9]+', ' ', 'g')) AS LABEL FROM code_map) m ON m.FAMILY = r.FAMILY AND m.LABEL = r.LABEL GROUP BY 1, 2""")
 def i11(t):
     roles = t.rows([("drug", "RX", "big"), ("sign", "DX", "hot"), ("wide", "PX", "brand 1"), ("none", "DX", "absent")], "ROLE string, FAMILY string, LABEL string")
-    label = F.trim(F.regexp_replace(F.lower(F.substring("CATEGORY", 4, 1000)), "[^a-z0-9]+", " "))
+    label = F.trim(F.regexp_replace(F.lower(F.expr("substring(CATEGORY, 4)")), "[^a-z0-9]+", " "))
     names = t.code_map.select("FAMILY", "CATEGORY", label.alias("LABEL")).distinct()
     g = roles.join(names, ["FAMILY", "LABEL"], "left").groupBy("ROLE", "FAMILY").agg(F.count("CATEGORY").alias("MATCHES"), F.min("CATEGORY").alias("c"))
     return g.select("ROLE", "FAMILY", "MATCHES", F.when(F.col("MATCHES") == 1, F.col("c")).alias("CATEGORY"))

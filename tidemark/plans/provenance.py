@@ -9,11 +9,16 @@ from tidemark.plans.registry import query
 KEY = ["PATIENT_ID", "END_DT"]
 
 
-@query("n01_relation_hash", "FAMILY:s ROWS:i HASH:s")
+_ROW = " || ".join(f"coalesce('v' || length({c}) || ':' || {c}, 'n;')" for c in ("FAMILY", "CODE", "CATEGORY"))
+_PART = "CAST(sum(CAST('0x' || substr(h, {0}, 15) AS BIGINT)) AS VARCHAR)"
+
+
+@query("n01_relation_hash", "FAMILY:s ROWS:i HASH:s", "code_map", f"""SELECT FAMILY, count(*) AS ROWS, {_PART.format(1)} || '-' || {_PART.format(16)} AS HASH
+  FROM (SELECT FAMILY, sha256({_ROW}) AS h FROM code_map) GROUP BY 1""")
 def n01(t):
     parts = None
     for name in ("RX", "PX", "DX"):
-        one = ln.relation_hash(t.code_map.filter(F.col("FAMILY") == name)).withColumn("FAMILY", F.lit(name))
+        one = ln.relation_hash(t.code_map.select("FAMILY", "CODE", "CATEGORY").filter(F.col("FAMILY") == name)).withColumn("FAMILY", F.lit(name))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 

@@ -56,12 +56,13 @@ def a04(t):
     return tables.read_csv_literal(t.spark, path, ["ID", "CODE"])
 
 
-@query("a09_create_only_export", "PATIENT_ID:s END_DT:d RESP:i")
+@query("a09_create_only_export", "PATIENT_ID:s END_DT:d RESP:i", "snapshots", "SELECT PATIENT_ID, END_DT, RESP FROM snapshots")
 def a09(t):
     return sinks.export_once(t.snapshots, sinks.scratch_path(t.spark, "snapshots"))
 
 
-@query("a10_verified_publish", "ATTEMPT:i OUTCOME:s ROWS:i")
+@query("a10_verified_publish", "ATTEMPT:i OUTCOME:s ROWS:i", "manifest", """SELECT ATTEMPT, OUTCOME, (SELECT count(*) FROM manifest) AS ROWS
+  FROM (VALUES (1, 'created'), (2, 'unchanged')) AS v(ATTEMPT, OUTCOME)""")
 def a10(t):
     path = sinks.scratch_path(t.spark, "published")
     outcomes = [sinks.publish(t.manifest, path), sinks.publish(t.manifest, path)]

@@ -21,6 +21,16 @@ def local_session(cores: int | str = "*", app: str = "tidemark", **conf) -> Spar
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local master may go without and then gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder; survives the loss of executors.
 
@@ -29,6 +39,5 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

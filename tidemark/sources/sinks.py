@@ -6,17 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.lineage import relation_hash
+from tidemark.session import shared_folder
 
 CHUNK_CHARACTERS = 50_000  # fixed value: base64 characters per stored chunk
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder (a temporary one only when none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tidemark/{uuid.uuid4().hex}/{name}"
+    """New folder below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
 def export_once(df: DataFrame, path: str) -> DataFrame:
