@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordhash
-from tidemark.llm.common import keep
+from tidemark.llm.common import Scratch, keep
 
 WORDS, PERCENT = 5, 75
 SKETCH = 1 << 16
@@ -127,17 +127,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives a vertex the smallest label around it, then the label of that label; ends when nothing changes.
     """
-    edges = keep(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))), "join-edges")
-    labels = keep(edges.groupBy("v").agg(F.min("w").alias("low")).select("v", F.least("v", "low").alias("component")), "join-labels")
+    scratch = Scratch(links.sparkSession, "components")
+    edges = scratch.keep(links.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w"))), "edges")
+    labels = scratch.keep(edges.groupBy("v").agg(F.min("w").alias("low")).select("v", F.least("v", "low").alias("component")), "labels")
     while True:
         around = (edges.join(labels.withColumnsRenamed({"v": "w"}), "w").groupBy("v").agg(F.min("component").alias("low")))
-        lower = keep(labels.join(around, "v").select("v", "component", F.least("component", "low").alias("low")), "join-labels")
+        lower = scratch.keep(labels.join(around, "v").select("v", "component", F.least("component", "low").alias("low")), "lower")
+        scratch.drop("labels")
         # The label is a vertex itself: take its label too.
         jumps = lower.select(F.col("v").alias("low"), F.col("low").alias("next"))
-        new = keep(lower.join(jumps, "low").select("v", F.least("low", "next").alias("next"), "component"), "join-labels")
+        new = scratch.keep(lower.join(jumps, "low").select("v", F.least("low", "next").alias("next"), "component"), "labels")
+        scratch.drop("lower")
         changed = new.where("next < component").limit(1).count()
         labels = new.select("v", F.col("next").alias("component"))
         if not changed:
+            scratch.drop("edges")
             return labels
 
 
@@ -150,11 +154,12 @@ def overlap_needed(a: Column, b: Column, percent: int) -> Column:
 
 
 class Join:
-    """The join over one table of documents; sets and classes are kept tables."""
+    """The join over one table of documents; sets and classes are kept tables. Each table goes once it has been used up."""
 
     def __init__(self, docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> None:
         self.width, self.percent = width, percent
         self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark, "join")
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
                                  F.coalesce("text", F.lit("")).cast("string").alias("text"))
         counted = (self.texts.select("text").mapInArrow(_sketch(width), "bucket long, count long")
@@ -163,32 +168,46 @@ class Join:
         for bucket, count in counted:
             sketch[bucket] = count
         shared = self.spark.sparkContext.broadcast(sketch)
-        self.sets = keep(self.texts.mapInArrow(_sets(shared, width, percent), _SETS), "join-sets")
-        self.classes = keep(self.sets.where("n > 0").groupBy("key_a", "key_b", "n").agg(
-            F.min("row_key").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "join-classes")
+        wide = self.scratch.keep(self.texts.mapInArrow(_sets(shared, width, percent), _SETS), "wide")
+        self.sets = self.scratch.keep(wide.select("row_key", "doc_id", "n", "key_a", "key_b"), "sets")
+        self.classes = self.scratch.keep(self.sets.where("n > 0").groupBy("key_a", "key_b", "n").agg(
+            F.min("row_key").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "classes")
+        self.reps = self.scratch.keep(wide.join(self.classes.select("rep").hint("merge"), F.col("row_key") == F.col("rep"), "left_semi")
+                                      .select("row_key", "doc_id", "text_key", "n", "prefix", "ranges"), "reps")
+        self.scratch.drop("wide")
 
     def links(self) -> DataFrame:
-        """a, b: classes (by the row key of their representative) that link, each pair once; enough of them to give the components."""
-        own = self.classes.select("rep")
-        reps = keep(self.sets.join(own.hint("merge"), F.col("row_key") == F.col("rep"), "left_semi").select("row_key", "doc_id", "text_key", "n", "prefix", "ranges"), "join-reps")
-        prefixes = reps.select("row_key", "n", F.posexplode("prefix").alias("place", "gram"))
-        grams = keep(prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.min("row_key").alias("a"), F.max("row_key").alias("b"))
-                     .where("held > 1"), "join-grams")
-        many = keep(prefixes.join(grams.where("held > 2").select(F.col("gram").alias("wanted")).hint("merge"), F.col("gram") == F.col("wanted"), "left_semi"), "join-many")
-        heads = keep(many.groupBy("gram").agg(F.min(F.struct("row_key", "n", "place")).alias("head")), "join-heads")
+        """a, b: classes (by the row key of their representative) that link, each pair once; enough of them to give the components.
+
+        To be called once: it uses up the prefixes.
+        """
+        keep_, drop = self.scratch.keep, self.scratch.drop
+        prefixes = self.reps.select("row_key", "n", F.posexplode("prefix").alias("place", "gram"))
+        grams = keep_(prefixes.groupBy("gram").agg(F.count("*").alias("held"), F.min("row_key").alias("a"), F.max("row_key").alias("b"))
+                      .where("held > 1"), "grams")
+        many = keep_(prefixes.join(grams.where("held > 2").select(F.col("gram").alias("wanted")).hint("merge"), F.col("gram") == F.col("wanted"), "left_semi"), "many")
+        reps = keep_(self.reps.drop("prefix"), "slim")
+        drop("reps")
+        heads = keep_(many.groupBy("gram").agg(F.min(F.struct("row_key", "n", "place")).alias("head")), "heads")
         star = many.join(heads.hint("merge"), "gram").where("row_key != head.row_key").where(self._may_link("n", "place", "head.n", "head.place"))
         pairs = self._filtered(grams.where("held = 2").select("a", "b").unionByName(star.select(F.col("head.row_key").alias("a"), F.col("row_key").alias("b"))), reps)
-        pairs = keep(pairs, "join-pairs")
-        first = keep(self._verified(pairs, reps), "join-links")
+        pairs = keep_(pairs, "pairs")
+        drop("grams", "heads")
+        first = self._verified(pairs, reps, "first")
         # Grams whose classes are in more than one component still: compare across components.
         parts = components(first)
-        placed = keep(many.join(parts.withColumnRenamed("v", "row_key"), "row_key", "left").withColumn("component", F.coalesce("component", "row_key")), "join-placed")
-        open_ = keep(placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"), "join-open")
-        left = keep(placed.join(open_, "gram", "left_semi"), "join-left")
+        placed = keep_(many.join(parts.withColumnRenamed("v", "row_key"), "row_key", "left").withColumn("component", F.coalesce("component", "row_key")), "placed")
+        drop("many")
+        open_ = keep_(placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"), "open")
+        left = keep_(placed.join(open_, "gram", "left_semi"), "left")
+        drop("placed", "open")
         other = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_key", "n", "place", "component")])
         across = left.join(other, "gram").where("row_key < row_key_b and component != component_b").where(self._may_link("n", "place", "n_b", "place_b"))
         across = across.select(F.col("row_key").alias("a"), F.col("row_key_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        second = keep(self._verified(keep(self._filtered(across, reps), "join-pairs"), reps), "join-links")
+        across = keep_(self._filtered(across, reps), "across")
+        drop("left", "pairs")
+        second = self._verified(across, reps, "second")
+        drop("across", "slim")
         return first.unionByName(second)
 
     def _may_link(self, n: str, place: str, n_b: str, place_b: str) -> Column:
@@ -206,20 +225,28 @@ class Join:
         bound = F.when(F.array_max("r_a") >= 32767, F.least("n_a", "n_b")).otherwise(bound)  # a count that did not fit bounds nothing
         return rows.where(bound >= overlap_needed(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b")
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        wanted = keep(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
-                      .join(reps.select("row_key", "doc_id", "text_key").hint("merge"), "row_key").withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "join-wanted")
+    def _verified(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+        keep_, drop = self.scratch.keep, self.scratch.drop
+        wanted = keep_(pairs.select(F.col("a").alias("row_key")).union(pairs.select("b")).distinct()
+                       .join(reps.select("row_key", "doc_id", "text_key").hint("merge"), "row_key").withColumnsRenamed({"doc_id": "id", "text_key": "key"}), "wanted")
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-        texts = keep(self.texts.join(wanted.hint("merge"), same).select("row_key", "text").dropDuplicates(["row_key"]), "join-texts")
+        texts = keep_(self.texts.join(wanted.hint("merge"), same).select("row_key", "text").dropDuplicates(["row_key"]), "texts")
+        drop("wanted")
         rows = pairs.join(texts.withColumnsRenamed({"row_key": "b", "text": "text_b"}).hint("merge"), "b")
         rows = rows.join(texts.withColumnsRenamed({"row_key": "a", "text": "text_a"}).hint("merge"), "a").select("a", "b", "text_a", "text_b")
-        return rows.mapInArrow(_verify(self.width, self.percent), "a long, b long")
+        links = keep_(rows.mapInArrow(_verify(self.width, self.percent), "a long, b long"), name)
+        drop("texts")
+        return links
 
     def result(self) -> DataFrame:
-        parts = components(keep(self.links(), "join-links"))
-        named = keep(self.classes.join(parts.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "join-named")
+        keep_, drop = self.scratch.keep, self.scratch.drop
+        parts = components(self.links())
+        drop("first", "second")
+        named = keep_(self.classes.join(parts.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+        drop("classes")
         lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        answer = keep(named.join(keep(lowest, "join-lowest"), "component").select("key_a", "key_b", "n", "component_id", (F.col("component") == F.col("rep")).alias("leads"), "rep"), "join-answer")
+        answer = keep_(named.join(keep_(lowest, "lowest"), "component").select("key_a", "key_b", "n", "component_id", (F.col("component") == F.col("rep")).alias("leads"), "rep"), "answer")
+        drop("named", "lowest")
         rows = self.sets.select("row_key", "doc_id", "n", "key_a", "key_b").join(answer.hint("merge"), ["key_a", "key_b", "n"], "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
 
@@ -243,5 +270,3 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     found = jaccard_join(docs, width, percent)
     gone = keep(found.where("doc_id > component_id").select(F.col("doc_id").alias("tidemark_gone")).distinct(), "join-gone")
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("tidemark_gone"), "left_anti")
-
-
