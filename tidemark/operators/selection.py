@@ -37,15 +37,15 @@ def top_k_flag(features: DataFrame, score: str, k: int, name: str = "FEATURE_NAM
     return features.withColumn("SELECTED", F.row_number().over(W.orderBy(F.desc(score), name)) <= k)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components (NODE, COMPONENT) by minimum-label propagation with pointer jumping.
 
-    Edges come from a feature-pair table, at most features squared. Each round is checkpointed.
+    Edges come from a feature-pair table, at most features squared. Each round is checkpointed; labels only fall, so it ends.
     """
     both = edges.select(F.col("FEATURE_A").alias("u"), F.col("FEATURE_B").alias("v"))
     both = settle(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         step = labels.join(near, "u").select("u", F.least("c", "n").alias("m"), F.col("c").alias("old"))
         jump = labels.select(F.col("u").alias("m"), F.col("c").alias("up"))
@@ -53,14 +53,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("u", "c")
         if new.filter("c <> old").limit(1).count() == 0:
             return labels.select(F.col("u").alias("NODE"), F.col("c").alias("COMPONENT"))
-    raise ValueError("components did not settle")
 
 
-def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
+def greedy_prune(ranking: DataFrame, pairs: DataFrame) -> DataFrame:
     """Keep features in rank order unless correlated with a better kept one (REDUNDANT_WITH, the best such).
 
     Decided in parallel rounds: an open feature whose better neighbours are all rejected is kept; an open
     feature with a kept better neighbour is rejected. Equivalent to the sequential rule, one row per feature.
+    Ranks are distinct, so every round decides at least the best open feature and the loop ends.
     """
     sym = settle(pairs.select(F.col("FEATURE_A").alias("a"), F.col("FEATURE_B").alias("b")))
     sym = sym.unionByName(sym.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -68,7 +68,7 @@ def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> Dat
     better = settle(sym.join(r.select(F.col("FEATURE").alias("a"), F.col("RANK").alias("ra")), "a")
                     .join(r.select(F.col("FEATURE").alias("b"), F.col("RANK").alias("rb")), "b").filter("rb < ra").select("a", "b", "rb"))
     state = r.withColumn("STATE", F.lit("open"))
-    for _ in range(rounds):
+    while True:
         around = better.join(state.select(F.col("FEATURE").alias("b"), F.col("STATE").alias("sb")), "b").groupBy(F.col("a").alias("FEATURE")).agg(
             F.min_by("b", F.when(F.col("sb") == "kept", F.col("rb"))).alias("BY"), F.count_if(F.col("sb") == "kept").alias("k"),
             F.count_if(F.col("sb") == "open").alias("o"))
@@ -79,7 +79,6 @@ def greedy_prune(ranking: DataFrame, pairs: DataFrame, rounds: int = 200) -> Dat
         kept, waiting = F.coalesce("k", F.lit(0)) > 0, F.coalesce("o", F.lit(0)) > 0
         state = settle(state.join(around, "FEATURE", "left").select(
             "FEATURE", "RANK", F.when(is_open & kept, "redundant").when(is_open & ~waiting, "kept").otherwise(F.col("STATE")).alias("STATE")))
-    raise ValueError("pruning did not settle")
 
 
 def stratified_folds(entities: DataFrame, k: int, seed: str, label: str = "RESP") -> DataFrame:
@@ -103,10 +102,10 @@ def one_standard_error(table: DataFrame) -> DataFrame:
                                         pick("one_smaller", F.col("s")), pick("all_eligible", F.lit("all_eligible"))))).filter("CANDIDATE IS NOT NULL")
 
 
-def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0):
+def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0, iterations: int = 1000):
     data = rows.select(F.col("RESP").cast("double").alias("label"), F.col("WEIGHT").cast("double").alias("w"),
                        array_to_vector(F.transform(F.array(*[F.lit(c) for c in columns]), lambda i: F.element_at("X", i + 1))).alias("features"))
-    return LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=mix, maxIter=50, tol=1e-6).fit(data)
+    return LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=mix, maxIter=iterations, tol=1e-6).fit(data)
 
 
 def score_rows(rows: DataFrame, coefficients, columns: list[int], intercept: float) -> DataFrame:
@@ -138,30 +137,39 @@ def grouped_cv(rows: DataFrame, folds: int, sizes: list[int], order: list[int],
 
 
 def eliminate(rows: DataFrame, columns: list[int], keep: int, reg: float, step: float = 0.25) -> list[tuple[int, int]]:
-    """Recursive elimination: drop the quarter with the smallest absolute coefficients until `keep` remain.
+    """Recursive elimination: drop the smallest absolute coefficients until `keep` remain, in steps of a fixed share of the first count.
 
     Returns (column, rank) with rank 1 for the survivors; only coefficients reach the driver.
     """
     rows = settle(rows)
-    left, rank, dropped = list(columns), {}, 0
-    removed = []
+    left, rank, removed = list(columns), {}, []
+    size = max(1, int(step * len(columns)))
     while len(left) > keep:
         model = _fit(rows, left, reg)
-        n = min(max(1, int(step * len(left))), len(left) - keep)
+        n = min(size, len(left) - keep)
         out = sorted(range(len(left)), key=lambda i: (abs(model.coefficients[i]), left[i]))[:n]
         removed.append([left[i] for i in out])
         left = [c for i, c in enumerate(left) if i not in set(out)]
-        dropped += n
     for k, group in enumerate(reversed(removed), 2):
         rank.update({c: k for c in group})
     rank.update({c: 1 for c in left})
     return [(c, rank[c]) for c in columns]
 
 
-def embedded_ranks(rows: DataFrame, columns: list[int], reg: float, seed: int = 42) -> list[tuple[int, float, float]]:
-    """(column, |elastic-net coefficient|, forest importance) of two fitted models."""
-    rows = settle(rows)
+def balanced(rows: DataFrame) -> DataFrame:
+    """Rows with WEIGHT scaled so that both classes weigh the same; only the class totals reach the driver."""
+    totals = {r.RESP: r.w for r in rows.groupBy("RESP").agg(F.sum("WEIGHT").alias("w")).collect()}
+    factor = F.lit(1.0)
+    for label, weight in totals.items():
+        factor = F.when(F.col("RESP") == label, sum(totals.values()) / (len(totals) * weight)).otherwise(factor)
+    return rows.withColumn("WEIGHT", F.col("WEIGHT") * factor)
+
+
+def embedded_ranks(rows: DataFrame, columns: list[int], reg: float, seed: int = 42, trees: int = 128, depth: int = 6,
+                   leaf: int = 15) -> list[tuple[int, float, float]]:
+    """(column, |elastic-net coefficient|, forest importance) of two models fitted with balanced classes."""
+    rows = settle(balanced(rows))
     net = _fit(rows, columns, reg, 0.5)
     data = rows.select(F.col("RESP").cast("double").alias("label"), F.col("WEIGHT").cast("double").alias("w"), array_to_vector("X").alias("features"))
-    forest = RandomForestClassifier(numTrees=16, maxDepth=5, seed=seed, weightCol="w", minInstancesPerNode=15).fit(data)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="w", minInstancesPerNode=leaf).fit(data)
     return [(c, abs(float(net.coefficients[i])), float(forest.featureImportances[c])) for i, c in enumerate(columns)]

@@ -8,7 +8,7 @@ from tidemark.functions.calendar import forward_window
 from tidemark.functions.scalar import hash_int, hash_unit
 from tidemark.operators import events as ev
 from tidemark.session import settle
-from tidemark.sources.tables import read_named, spread
+from tidemark.sources.tables import read_named
 
 # Cutoffs of the example population (leap day, month ends, consecutive months).
 CUTOFFS = ("1996-02-29", "1997-03-31", "1997-06-30", "1997-07-31", "1997-08-31", "1998-01-31", "1999-05-31",
@@ -39,10 +39,6 @@ class Tables:
         """Small declared configuration table (parameters, weights, requested names)."""
         return self.spark.createDataFrame(data, schema)
 
-    @cached_property
-    def lineitem(self) -> DataFrame:
-        return spread(read_named(self.spark, self.sf_dir, "lineitem"))
-
     @cached_property
     def rx(self) -> DataFrame:
         o = self.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("PATIENT_ID"))

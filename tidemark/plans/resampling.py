@@ -11,7 +11,8 @@ from tidemark.plans.registry import query
 
 KEY = ["PATIENT_ID", "END_DT"]
 TRAIN = "SPLIT = 'train'"
-DRAWS = 25
+DRAWS = 1000
+LEAST = 800  # valid draws of a reliable interval
 
 
 def H(*parts):
@@ -152,7 +153,7 @@ _BOOT = f"""(WITH dr AS {_DRAWS_T}, r AS (SELECT d.DRAW, s.MODEL, s.RESP, M, coa
 
 
 def lifts(t):
-    return rs.bootstrap_lifts(t.model_scores.filter(TEST), draws(t), [10, 20, 30], 64)
+    return rs.bootstrap_lifts(t.model_scores.filter(TEST), draws(t), [10, 20, 30])
 
 
 @query("k15_paired_lift_draws", "DRAW:i MODEL:s PERCENT:i K:i CAPTURED:i LIFT:f", "manifest model_scores", f"SELECT * FROM {_BOOT}")
@@ -160,7 +161,7 @@ def k15(t):
     return lifts(t)
 
 
-_IV = """SELECT {by}, count(d) AS VALID_DRAWS, count(d) >= 20 AS RELIABLE, CASE WHEN count(d) >= 20 THEN quantile_cont(d, 0.025) END AS LOWER, CASE WHEN count(d) >= 20 THEN quantile_cont(d, 0.975) END AS UPPER, CASE WHEN count(d) < 20 THEN 'unreliable' WHEN quantile_cont(d, 0.025) > 0 THEN 'above' WHEN quantile_cont(d, 0.975) < 0 THEN 'below' ELSE 'includes_zero' END AS INTERVAL_SIGN FROM ({src}) GROUP BY {by}"""
+_IV = f"""SELECT {{by}}, count(d) AS VALID_DRAWS, count(d) >= {LEAST} AS RELIABLE, CASE WHEN count(d) >= {LEAST} THEN quantile_cont(d, 0.025) END AS LOWER, CASE WHEN count(d) >= {LEAST} THEN quantile_cont(d, 0.975) END AS UPPER, CASE WHEN count(d) < {LEAST} THEN 'unreliable' WHEN quantile_cont(d, 0.025) > 0 THEN 'above' WHEN quantile_cont(d, 0.975) < 0 THEN 'below' ELSE 'includes_zero' END AS INTERVAL_SIGN FROM ({{src}}) GROUP BY {{by}}"""
 _IVC = "VALID_DRAWS:i RELIABLE:b LOWER:f UPPER:f INTERVAL_SIGN:s"
 
 
@@ -186,7 +187,7 @@ def k16(t):
     return rs.intervals(paired(tall, ["DRAW", "METRIC"], "v", "alpha", "beta"), "d", ["METRIC"], DRAWS)
 
 
-@query("k17_interval_reliability", "PERCENT:i REQUESTED:i VALID_DRAWS:i SINGLE_CLASS:i RELIABLE:b INTERVAL_SIGN:s", "manifest model_scores", "SELECT *, 25 - VALID_DRAWS AS SINGLE_CLASS, 25 AS REQUESTED FROM (" + _IV.format(by="PERCENT", src=f"SELECT DRAW, PERCENT, max(LIFT) FILTER (MODEL = 'beta') - max(LIFT) FILTER (MODEL = 'alpha') AS d FROM {_BOOT} GROUP BY 1, 2") + ")")
+@query("k17_interval_reliability", "PERCENT:i REQUESTED:i VALID_DRAWS:i SINGLE_CLASS:i RELIABLE:b INTERVAL_SIGN:s", "manifest model_scores", f"SELECT *, {DRAWS} - VALID_DRAWS AS SINGLE_CLASS, {DRAWS} AS REQUESTED FROM (" + _IV.format(by="PERCENT", src=f"SELECT DRAW, PERCENT, max(LIFT) FILTER (MODEL = 'beta') - max(LIFT) FILTER (MODEL = 'alpha') AS d FROM {_BOOT} GROUP BY 1, 2") + ")")
 def k17(t):
     iv = rs.intervals(paired(lifts(t), ["DRAW", "PERCENT"], "LIFT", "beta", "alpha"), "d", ["PERCENT"], DRAWS)
     return iv.select("*", F.lit(DRAWS).alias("REQUESTED"), (DRAWS - F.col("VALID_DRAWS")).alias("SINGLE_CLASS"))

@@ -9,7 +9,7 @@ from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 DOC = ["PATIENT_ID", "AS_OF_DATE"]
-MAX_TERMS = 40
+MAX_TERMS = 256
 # Stop words of the example queries; callers pass their own list.
 STOP_WORDS = ["the", "of", "and", "la", "le", "de", "new"]
 
@@ -87,8 +87,7 @@ _TEXT_TERMS = """SELECT doc_id, unnest(list_concat(w, list_transform(range(1, le
 
 @query("m02_tokeniser", "TERM:s OCCURRENCES:i DOCUMENTS:i", "", f"SELECT TERM, count(*) AS OCCURRENCES, count(DISTINCT doc_id) AS DOCUMENTS FROM ({_TEXT_TERMS}) GROUP BY 1")
 def m02(t):
-    from tidemark.sources.tables import spread
-    per = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(tx.terms(F.col("text"), STOP_WORDS)).alias("TERM"))
+    per = t.documents.select("doc_id", "text").select("doc_id", F.explode(tx.terms(F.col("text"), STOP_WORDS)).alias("TERM"))
     return per.groupBy("TERM", "doc_id").agg(F.count("*").alias("n")).groupBy("TERM").agg(F.sum("n").alias("OCCURRENCES"), F.count("*").alias("DOCUMENTS"))
 
 

@@ -32,15 +32,6 @@ def read_named(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet", SCHEMAS[name])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than cores, e.g. one file with a single row group.
-
-    A table of many files is returned unchanged, so on a cluster this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """Catalog table or temporary view."""
     return spark.table(name)
