@@ -18,6 +18,8 @@ TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 WORDS = ("ANVIL", "BLUE", "BOLT", "COLD", "GEAR", "GIZMO", "HOT", "LARGE", "NEW", "OLD", "PLATE", "RED", "RING",
          "ROD", "SMALL", "WIDGET")
 VOCABULARY = tuple(f"RX_{t}" for t in TYPES) + ("RX_BIG",) + tuple(f"DX_{w}" for w in WORDS)
+BRANDS = 25
+VOCABULARY += tuple(f"PX_BRAND#{i}" for i in range(1, BRANDS + 1))
 MODELS = ("alpha", "beta", "gamma")
 STEPS = 12
 
