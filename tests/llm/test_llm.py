@@ -90,6 +90,27 @@ def test_line_chunks_resist_shifts(spark):
     assert got[0].n_removed == got[2].n_removed == 0 and got[1].n_removed >= 40
 
 
+def test_line_repeated_runs_against_brute_force(spark):
+    own = [(0, "x\na\nb\ny"), (1, "p\na\nb\nq\nr"), (2, "s\ns\ns\ns\ns"), (3, "b\np\na"), (4, "q"), (5, None)]
+    own += [(10 + i, f"u{i}\nm{i % 7}\nn{i % 7}\nv{i}\n" + "\n".join(f"z{j}" for j in range(i % 5))) for i in range(60)]
+    real = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    for docs in (own, real):
+        first, want, total = {}, {}, 0
+        for doc, text in sorted(docs):
+            lines = (text or "").split("\n")
+            gone = set()
+            for i in range(len(lines) - 1):
+                seen, at = first.setdefault((lines[i], lines[i + 1]), (doc, i))
+                if seen != doc or at + 2 <= i:
+                    gone |= {i, i + 1}
+            kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+            want[doc] = len(gone), hashlib.sha256(kept.encode()).hexdigest()
+        got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_repeated, r.unrepeated_sha256) for r in got} == want
+        assert sum(n for n, _ in want.values()) > sum(r.n_removed for r in got)
+        assert all(r.n_repeated >= r.n_removed for r in got)
+
+
 def test_secret_scan(spark, edges, empty):
     rng = np.random.default_rng(1)
     key = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40))

@@ -4,6 +4,9 @@ A chunk ends after a line where a rolling hash over the hashes of it and the two
 Boundaries depend on the lines around them alone, so an inserted line moves no boundary further on. Chunks of two or more lines
 that occur more than once in the corpus are compared byte by byte; the first occurrence stays, the others go.
 
+A chunk rule alone misses runs that share a chunk with other lines, so every pair of neighbouring lines is looked up the same way: a run
+of two or more lines that also stands at an earlier place is the union of such pairs, and none is missed.
+
 Only hashes are grouped at first. The bytes of chunks whose hash repeats are fetched by document key and grouped by content, so a
 chunk that stands in a third of all documents is one group that partial aggregation has shrunk before the shuffle.
 """
@@ -22,7 +25,7 @@ from tidemark.llm.common import keep
 DIVISOR = 4
 #: Factors of the line before and the one before that.
 ROLL = (31, 961)
-_KEPT = "doc_id long, n_lines long, n_chunks long, n_removed long, kept_sha256 string"
+_KEPT = "doc_id long, n_lines long, n_chunks long, n_removed long, kept_sha256 string, n_repeated long, unrepeated_sha256 string"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -55,50 +58,71 @@ def chunk_text(c: Column) -> Column:
     return F.array_join(F.slice("lines", c["first"] + 1, c["n"]), "\n")
 
 
-def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, text_key, first, n: the lines of chunks that an earlier place in (doc_id, line) order holds too (kept)."""
+def line_pairs() -> Column:
+    """(first line, 2) of every two neighbouring lines."""
+    last = F.size("lines") - 2
+    firsts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda i: F.struct(i.alias("first"), F.lit(2).alias("n")))
+
+
+def removed_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """doc_id, text_key, first, n, pair: the chunks (pair: the line pairs) that an earlier place in (doc_id, line) order holds too (kept).
+
+    Chunks are compared with chunks and pairs with pairs. A place that overlaps the first one is not a copy of it.
+    """
     rows = with_chunks(keyed(docs), divisor)
-    chunks = F.filter("chunks", lambda c: c["n"] >= 2)
-    marked = F.transform(chunks, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(chunk_text(c)).alias("hash")))
-    places = keep(rows.select("doc_id", "text_key", F.explode(marked).alias("c")).select("doc_id", "text_key", "c.first", "c.n", "c.hash"), "line-chunks")
+
+    def marked(runs: Column, pair: bool) -> Column:
+        return F.transform(runs, lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), F.lit(pair).alias("pair"),
+                                                    F.xxhash64(chunk_text(c), F.lit(pair)).alias("hash")))
+
+    runs = F.concat(marked(F.filter("chunks", lambda c: c["n"] >= 2), False), marked(line_pairs(), True))
+    run = ["first", "n", "pair", "hash"]
+    places = keep(rows.select("doc_id", "text_key", F.explode(runs).alias("c")).select("doc_id", "text_key", *[f"c.{x}" for x in run]), "line-chunks")
     often = keep(places.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "line-often")
-    wanted = (places.join(often.hint("merge"), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n", "hash")).alias("chunks"))
+    wanted = (places.join(often.hint("merge"), "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(*run)).alias("chunks"))
               .withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     texts = keyed(docs).join(wanted.hint("merge"), same).withColumn("lines", F.split("text", "\n"))
     fetched = keep(texts.select("doc_id", "text_key", F.explode(F.transform("chunks", lambda c: F.struct(
-        c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), chunk_text(c).alias("body")))).alias("c"))
-        .select("doc_id", "text_key", "c.first", "c.n", "c.hash", "c.body"), "line-bodies")
+        *[c[x].alias(x) for x in run], chunk_text(c).alias("body")))).alias("c"))
+        .select("doc_id", "text_key", *[f"c.{x}" for x in run], "c.body"), "line-bodies")
     place = F.struct("doc_id", "first", "text_key")
-    first = keep(fetched.groupBy("hash", "body").agg(F.min(place).alias("stays"), F.count("*").alias("times")).where("times > 1").drop("times"), "line-first")
-    gone = fetched.join(first.hint("merge"), ["hash", "body"]).where(~place.eqNullSafe(F.col("stays")))
-    return keep(gone.select("doc_id", "text_key", "first", "n").distinct(), "line-gone")
+    group = ["hash", "pair", "body"]
+    first = keep(fetched.groupBy(*group).agg(F.min(place).alias("stays"), F.count("*").alias("times")).where("times > 1").drop("times"), "line-first")
+    overlaps = (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_key") == F.col("stays.text_key"))
+                & (F.col("first") < F.col("stays.first") + F.col("n")))
+    gone = fetched.join(first.hint("merge"), group).where(~overlaps)
+    return keep(gone.select("doc_id", "text_key", "first", "n", "pair").distinct(), "line-gone")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, chunks, firsts, runs in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text, chunks, firsts, runs, pairs in zip(*(c.to_pylist() for c in batch.columns)):
             lines = text.split("\n")
-            gone = bytearray(len(lines))
-            for first, n in zip(firsts or (), runs or ()):
-                gone[first:first + n] = b"\x01" * n
-            kept = "\n".join(x for x, g in zip(lines, gone) if not g)
-            out.append((doc, len(lines), chunks, sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-        columns = list(zip(*out)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            gone = bytearray(len(lines)), bytearray(len(lines))
+            for first, n, pair in zip(firsts or (), runs or (), pairs or ()):
+                gone[pair][first:first + n] = b"\x01" * n
+            kept = [hashlib.sha256("\n".join(x for x, g in zip(lines, some) if not g).encode()).hexdigest() for some in gone]
+            out.append((doc, len(lines), chunks, sum(gone[0]), kept[0], sum(gone[1]), kept[1]))
+        columns = list(zip(*out)) if out else [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _KEPT.split(", ")])
 
 
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """One row per row of docs: doc_id, n_lines, n_chunks, n_removed (lines), kept_sha256 (of the kept lines joined by line feeds).
+    """One row per row of docs: doc_id, n_lines, n_chunks, n_removed (lines of chunks), kept_sha256 (of the kept lines joined by line
+    feeds), n_repeated (lines in runs of two or more lines that also stand at an earlier place), unrepeated_sha256 (of the others).
 
-    Lines end at line feeds; a null or empty text is one empty line. Single-line chunks always stay. The first occurrence in
+    Lines end at line feeds; a null or empty text is one empty line. Single-line chunks always stay in kept_sha256, the result that the
+    SQL states; unrepeated_sha256 has every repeated run of two or more lines removed, at any chunk boundaries. The first occurrence in
     (doc_id, line) order stays, null ids first; rows alike in id and text are treated alike. Other columns are not read. An empty
     input gives an empty result.
     """
-    gone = (removed_chunks(docs, divisor).groupBy("doc_id", "text_key")
-            .agg(F.collect_list(F.struct("first", "n")).alias("gone")).withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
+    gone = (removed_runs(docs, divisor).groupBy("doc_id", "text_key")
+            .agg(F.collect_list(F.struct("first", "n", "pair")).alias("gone")).withColumnsRenamed({"doc_id": "id", "text_key": "key"}))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
     rows = with_chunks(keyed(docs), divisor).select("doc_id", "text_key", "text", F.size("chunks").cast("long").alias("n_chunks"))
-    return rows.join(gone.hint("merge"), same, "left").select("doc_id", "text", "n_chunks", F.col("gone.first").alias("firsts"), F.col("gone.n").alias("runs")).mapInArrow(_digests, _KEPT)
+    return rows.join(gone.hint("merge"), same, "left").select(
+        "doc_id", "text", "n_chunks", F.col("gone.first").alias("firsts"), F.col("gone.n").alias("runs"), F.col("gone.pair").alias("pairs")).mapInArrow(_digests, _KEPT)
