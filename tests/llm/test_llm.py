@@ -256,6 +256,25 @@ def test_mixing(spark, edges, empty):
     assert mixing.mix_documents(edges).columns == edges.columns
 
 
+def test_mix_is_written_by_shard(spark):
+    own = [(i if i % 9 else None, " ".join(f"w{i % 500}_{j}" for j in range(i % 90)), "ab"[i % 3 == 0]) for i in range(1500)]
+    docs = spark.createDataFrame([*own, *own[:40], (7, None, "a"), (8, "x y", None)], "doc_id long, text string, source string")
+    sizes, pieces, slots = mixing.plan(mixing.keyed(docs, "doc_id", "source", "text"), shard_blocks=100)
+    written = mixing.write_shards(docs, pieces, slots)
+    got = written.collect()
+    want = {(r.shard, r.source_no, r.slot): r.block for r in slots.collect()}
+    assert len({r.shard for r in got}) > 5 and len({tuple(f.split("/")[-2:-1]) for f in written.inputFiles()}) == len({r.shard for r in got})
+    assert len(got) == len(want) and {(r.shard, r.source_no, r.slot) for r in got} == set(want)
+    blocks, texts = {}, {r.row_key: words(r.text) for r in mixing.keyed(docs, "text").collect()}
+    for p in sorted(pieces.collect(), key=lambda p: (p.source_no, p.block, p["at"])):
+        blocks.setdefault((p.source_no, p.block), []).extend(texts[p.row_key][p["first"]:p["first"] + p.words])
+    for r in got:
+        assert r.words.split(" ") == blocks[r.source_no, want[r.shard, r.source_no, r.slot]]
+        assert sum(p.n for p in r.of) == len(r.words.split(" ")) <= mixing.BLOCK
+    last = max(w for _, w in blocks)
+    assert all(len(words_) == mixing.BLOCK for (no, block), words_ in blocks.items() if (no, block + 1) in blocks) and last > 1
+
+
 def test_permutation_is_one():
     for n in (1, 2, 7, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, b"k")) == list(range(n))

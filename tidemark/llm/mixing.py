@@ -4,7 +4,8 @@ The words of every source form one stream, packed into blocks of BLOCK words. Ea
 the slots are drawn multinomially over the output shards (the joint draw of shards and sources, given each source's total, so
 that a source always meets its target). Slot j of a source is block perm(j) of its epoch j // blocks, where perm is a
 pseudorandom permutation of block numbers; slots and blocks are joined by number. As a target is at most twice its source, no
-block is taken more than twice.
+block is taken more than twice. The words of each block are brought to its slots and written in files by shard (write_shards); what the
+mix takes of a row is counted from these files.
 
 A stream position needs running sums within a source that may hold a third of all rows, so sums are taken over about
 sqrt(rows) hash chunks per source, then inside each chunk.
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, keep, words
+from tidemark.llm.common import WORD, Scratch, fresh_path, keep, words
 
 BLOCK = 128
 SHARD_BLOCKS = 4096
+#: The shards are written in so many passes, so that a part of the mix only is in shuffle files at once.
+WAVES = 4
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -117,14 +120,15 @@ def _slots(seed: int):
 
 
 def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK,
-         weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sizes (row_key, doc_id, source, size, source_size, target), pieces (row_key, first word, words, times), slots.
+         weights: tuple[int, ...] = WEIGHTS, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sizes (row_key, doc_id, source, size, source_size, target), pieces (row_key, doc_id, text_key, source_no, block, at: place in the
+    block, first word, words), slots (source_no, shard, slot, block).
 
     docs needs row_key, doc_id, source and text. Sources weigh by rank in code point order, null last.
     """
     spark = docs.sparkSession
     key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    sizes = keep(docs.select("row_key", "doc_id", "source", key.alias("source_key"), word_count(F.col("text")).alias("size")),
+    sizes = keep(docs.select("row_key", "doc_id", "source", key.alias("source_key"), text_key(), word_count(F.col("text")).alias("size")),
                  "mix-sizes")
     targets = keep(source_targets(sizes, share, most, weights).select("source_key", "source_no", "source_size", "target"),
                    "mix-targets")
@@ -133,29 +137,71 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0,
     by_chunk = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("chunk_size"))
               .withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(by_chunk), F.lit(0))).drop("chunk_size"))
-    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size", "row_key").rowsBetween(
+    inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "size", "text_key", "row_key").rowsBetween(
         Window.unboundedPreceding, -1)
     placed = rows.where("size > 0").join(starts, ["source_no", "chunk"]).withColumn(
         "start", F.col("chunk_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     blocks = F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long")))
-    pieces = placed.select("row_key", "source_no", "start", "size", blocks.alias("block")).select(
-        "row_key", "source_no", "block", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("first"),
+    own = ["row_key", "doc_id", "text_key", "source_no"]
+    pieces = placed.select(*own, "start", "size", blocks.alias("block")).select(
+        *own, "block", F.greatest(F.lit(0), F.col("start") - F.col("block") * block).alias("at"),
+        F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("first"),
         F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("end"))
+    pieces = pieces.withColumn("words", F.col("end") - F.col("first")).drop("end")
     with_blocks = (targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
                    .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")))
     all_slots = with_blocks.agg(F.sum("slots")).first()[0] or 0
-    shards = max(1, math.ceil(all_slots / SHARD_BLOCKS))
+    shards = max(1, math.ceil(all_slots / shard_blocks))
     parts = with_blocks.select(
         "source_no", "blocks", F.explode(F.sequence(F.lit(0), F.least(F.lit(shards), F.ceil(F.col("slots") / 1_000_000)) - 1)).alias("part"),
         F.least(F.lit(shards), F.ceil(F.col("slots") / 1_000_000)).alias("parts"), "slots", F.lit(shards).alias("shards"))
     slots = (parts.where("slots > 0").repartition("source_no", "part")
              .mapInPandas(_slots(seed), "source_no long, shard long, slot long, block long"))
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    # Both sides grow with the input. Sizes after Python are guesses, so the planner is told not to broadcast.
-    taken = pieces.join(times.hint("merge"), ["source_no", "block"]).select(
-        "row_key", "first", (F.col("end") - F.col("first")).alias("words"), "times")
     described = sizes.join(targets, "source_key").select("row_key", "doc_id", "source", "size", "source_size", "target")
-    return described, taken, slots
+    return described, pieces, slots
+
+
+def text_key() -> Column:
+    """With doc_id the key of a row's text; rows alike in both are alike in all that is taken from them."""
+    return F.xxhash64("source", "text").alias("text_key")
+
+
+def write_shards(docs: DataFrame, pieces: DataFrame, slots: DataFrame, waves: int = WAVES) -> DataFrame:
+    """The mix, written in the shared folder by shard and read again: source_no, slot, words (of the slot's block, joined by one
+    space), of (row_key and number of words of each piece, in order), shard."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mix")
+    # Both sides grow with the input. Sizes after Python are guesses, so the planner is told not to broadcast.
+    placed = scratch.keep(pieces.join(slots.hint("merge"), ["source_no", "block"]).drop("block"), "placed")
+    wanted = placed.groupBy("doc_id", "text_key").agg(F.collect_list(
+        F.struct("row_key", "source_no", "shard", "slot", "at", "first", "words")).alias("pieces"))
+    texts = docs.select(F.col("doc_id").alias("id"), text_key().alias("key"), "text").where(word_count(F.col("text")) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
+    # Rows alike in id and text hold their pieces together, so one of them is enough.
+    rows = texts.join(wanted.hint("merge"), same).dropDuplicates(["doc_id", "text_key"])
+
+    def cut(own: Column) -> Column:
+        part = lambda p: F.slice(own, (p["first"] + 1).cast("int"), p["words"].cast("int"))
+        return F.transform("pieces", lambda p: F.struct(
+            *[p[c].alias(c) for c in ("row_key", "source_no", "shard", "slot", "at")],
+            F.size(part(p)).cast("long").alias("n"), F.array_join(part(p), " ").alias("words")))
+
+    cuts = rows.select(F.inline(F.flatten(F.transform(F.array(words(F.col("text"))), cut))))
+    parts, path = fresh_path(spark, "mix-cuts"), fresh_path(spark, "mix-shards")
+    cuts.withColumn("wave", F.col("shard") % waves).write.option("compression", "zstd").partitionBy("wave").parquet(parts)
+    spark.sparkContext._jvm.System.gc()  # as in keep
+    scratch.drop("placed")
+    of_wave = spark.read.schema(cuts.schema.add("wave", "long")).parquet(parts)
+    for wave in range(waves):
+        dealt = of_wave.where(F.col("wave") == wave).repartition("shard").groupBy("shard", "source_no", "slot").agg(
+            F.array_sort(F.collect_list(F.struct("at", "row_key", "n", "words"))).alias("all"))
+        out = dealt.select("source_no", "slot", F.array_join("all.words", " ").alias("words"),
+                           F.transform("all", lambda p: F.struct(p["row_key"].alias("row_key"), p["n"].alias("n"))).alias("of"), "shard")
+        out.write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(path)
+        spark.sparkContext._jvm.System.gc()
+        scratch.paths["wave"] = f"{parts}/wave={wave}"
+        scratch.drop("wave")
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -166,11 +212,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0) -
     """One row per row of docs: doc_id, size, source_size, target, taken.
 
     size counts words (null: 0), source_size sums them, target is the source's share of the mix, taken the words of this row
-    that the mix holds, repeats counted; rows without words take none. Rows that repeat a doc_id count as rows of their own.
+    that the written mix holds, repeats counted; rows without words take none. Rows that repeat a doc_id count as rows of their own.
     A null source is a source. Columns other than doc_id, source and text are not read. An empty input gives an empty result.
     """
-    sizes, pieces, _ = plan(keyed(docs, "doc_id", "source", "text"), share, most, seed)
-    taken = pieces.groupBy("row_key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    sizes, pieces, slots = plan(keyed(docs, "doc_id", "source", "text"), share, most, seed)
+    written = write_shards(docs, pieces, slots)
+    taken = written.select(F.inline("of")).groupBy("row_key").agg(F.sum("n").alias("taken"))
     return sizes.join(taken, "row_key", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -178,12 +225,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0) -
 def mix_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """The mix itself with the columns of docs: each row's text is the words taken from it, a block taken twice standing twice.
 
-    Words are joined by one space and n_chars, where there is such a column, is counted anew. Rows of which nothing is taken
+    Unlike in mix(), no shards are written: a later stage gets whole documents. Words are joined by one space and n_chars, where there is such a column, is counted anew. Rows of which nothing is taken
     (also null and empty texts) leave. The mix is as large as `share` of the input.
     """
     rows = keep(docs.withColumn("tidemark_row", F.monotonically_increasing_id()), "mix-rows")
-    _, pieces, _ = plan(rows.select(F.col("tidemark_row").alias("row_key"), "doc_id", "source", "text"), share, most, seed)
-    by_row = pieces.groupBy(F.col("row_key").alias("tidemark_of")).agg(
+    _, pieces, slots = plan(rows.select(F.col("tidemark_row").alias("row_key"), "doc_id", "source", "text"), share, most, seed)
+    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    by_row = pieces.join(times.hint("merge"), ["source_no", "block"]).groupBy(F.col("row_key").alias("tidemark_of")).agg(
         F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("tidemark_pieces"))
     text = F.array_join(F.flatten(F.transform("tidemark_pieces", lambda p: F.flatten(F.array_repeat(
         F.slice("tidemark_words", (p["first"] + 1).cast("int"), p["words"].cast("int")), p["times"].cast("int"))))), " ")
