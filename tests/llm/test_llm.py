@@ -157,6 +157,18 @@ def test_decontamination(spark, edges, empty):
     assert decontaminate.contaminated(empty, items).collect() == [] and decontaminate.contaminated(edges, items.where("false")).collect() == []
 
 
+def test_decontamination_finds_verbatim_copies(spark):
+    series = "What comes next 2 4 8 16 32 64 128 256 512 1024"
+    trip = "On Monday the guide Anna drove from Bergen to Oslo with four old friends of Peter and Maria"
+    short = "Seven plain words make one item"
+    items = spark.createDataFrame([(1, series), (2, trip), (3, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so: {series} ?"), (2, f"he said {trip.lower()}"), (3, trip.replace(" ", "  ")), (4, trip.replace(" ", "\r\n")),
+                                  (5, f"note {short}"), (6, series.replace("4 8", "5 7").replace("64", "63")), (7, "What comes next is unknown"),
+                                  (8, trip.replace(" ", "  ").replace("Anna", "Berta").replace("Oslo", "Bonn"))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 2): True, (4, 2): True, (5, 3): True, (8, 2): False}
+
+
 def test_decontamination_finds_whole_items(spark):
     con = duckdb.connect()
     want = con.execute(f"SELECT DISTINCT d.doc_id, b.item_id FROM '{FOLDER}/documents.parquet' d JOIN '{FOLDER}/benchmark.parquet' b ON contains(d.text, b.text)").fetchall()

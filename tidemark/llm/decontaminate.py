@@ -5,6 +5,9 @@ placeholders, the rest into lower-case letters and digits. A document leaks an i
 whole item where it is shorter) stands in both and the values in the slots agree one to one, so a question with other numbers
 or names is caught, and one whose numbers are shuffled without sense is not.
 
+Verbatim copies are looked up by their plain lower-cased tokens as well, with no demand on literals, so an item made of numbers or names
+and a copy in other case or spacing are found.
+
 The item side indexes the short windows at every position, the document side only at every STRIDE-th: a common run of WINDOW
 tokens always holds one of these whole. So a sixth of the positions is looked up, and none is lost. Hits are then verified
 token by token.
@@ -22,7 +25,7 @@ PROBE = 8
 STRIDE = WINDOW - PROBE + 1
 #: An item below this many tokens says too little to be told from chance; it leaks nowhere.
 LEAST_ITEM = 5
-#: A window needs this many tokens that are not placeholders.
+#: A window needs this many tokens that are not placeholders, unless it is a verbatim copy.
 LEAST_LITERALS = 4
 #: Unit names that become a placeholder after a number.
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours days weeks months years percent usd eur gbp dollars euros "
@@ -46,7 +49,7 @@ def raw_tokens(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]", "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[<>]", ""), f"[{SPACE}]+", " ")
     named = F.regexp_replace(text, r"(?<=[^.!?:\s]\s)\p{Lu}\S*+", NAME)
     with_numbers = F.regexp_replace(named, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", NUM)
     # A number's own stop or comma goes with it; a unit must follow at once.
@@ -55,6 +58,11 @@ def template(text: Column) -> Column:
     return tokens(letters(F.when(text.rlike("[0-9]"), units).otherwise(low)))
 
 
+def plain(text: Column) -> Column:
+    """Lower-cased tokens: no placeholders, so equal windows are verbatim copies."""
+    return F.transform(raw_tokens(text), F.lower)
+
+
 def hashes(column: str, length: Column | int, stride: int) -> Column:
     """Hashes of the windows of a token array at every stride-th position."""
     last = F.size(column) - length
@@ -72,6 +80,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null and empty texts leak nothing; items below LEAST_ITEM tokens match nothing; repeated rows give one pair; equal items
     give a pair each. A null doc_id or item_id is carried as it is. Columns other than ids and texts are not read.
     """
+    found = _matches(docs, items, template).unionByName(_matches(docs, items, plain))
+    return found.groupBy("doc_id", "text_key", "item_id").agg(F.max("exact").alias("exact"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, template) -> DataFrame:
+    """leaks() for one way to make tokens of a text."""
     bench = keep(items.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("item"),
                               raw_tokens(F.col("text")).alias("item_raw")).where(F.size("item") >= LEAST_ITEM)
                  .withColumn("item_key", F.monotonically_increasing_id()), "bench-items")
