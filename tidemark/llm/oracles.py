@@ -59,3 +59,22 @@ links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON
 r AS (SELECT doc_id AS v, doc_id AS low FROM n UNION SELECT links.b, r.low FROM r JOIN links ON links.a = r.v)
 SELECT n.doc_id, n.n_shingles, min(r.low) AS component_id FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, ts FROM (SELECT doc_id, {_TERMS} AS ts FROM documents) AS x WHERE len(ts) > 0),
+q AS (SELECT row_number() OVER () AS row_no, item_id, {_TERMS} AS ts FROM benchmark),
+qt AS (SELECT row_no, item_id, term, count(*) AS repeats FROM (SELECT row_no, item_id, unnest(ts) AS term FROM q) AS x GROUP BY row_no, item_id, term),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+k AS (SELECT row_number() OVER () AS doc_no, doc_id, len(ts)::BIGINT AS n, ts FROM d),
+t AS (SELECT doc_no, term, count(*)::BIGINT AS tf FROM (SELECT doc_no, unnest(ts) AS term FROM k) AS x
+  WHERE term IN (SELECT term FROM qt) GROUP BY doc_no, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term),
+c AS (SELECT doc_no, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))) AS part
+  FROM t JOIN k USING (doc_no) JOIN w ON w.term = t.term, s),
+r AS (SELECT row_no, item_id, doc_no, sum(repeats * part)::BIGINT AS score FROM c JOIN qt ON qt.term = c.term GROUP BY row_no, item_id, doc_no),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM r JOIN k USING (doc_no) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
