@@ -1,5 +1,8 @@
 """Calendar rules for cutoff-bounded windows. Step 0 is the month of the cutoff, larger is older."""
 
+from calendar import monthrange
+from datetime import date, timedelta
+
 from pyspark.sql import Column, functions as F
 
 
@@ -44,3 +47,20 @@ def recent_window(end: Column) -> tuple[Column, Column]:
 def forward_window(end: Column, event: Column, days: int) -> Column:
     """True for cutoff < event <= cutoff + days."""
     return (event > end) & (event <= F.date_add(end, days))
+
+
+def month_end_cutoffs(first: date, last: date, horizon: int, near: tuple[int, ...]) -> list[date]:
+    """Month ends `near` months before the newest one that lies `horizon` days before `last`, and each year before it back to `first`.
+
+    Every date from `first` to the newest cutoff lies in the twelve months up to some cutoff.
+    """
+    top = last - timedelta(days=horizon)
+    newest = top.year * 12 + top.month - 1
+    if (top + timedelta(days=1)).month == top.month:
+        newest -= 1
+    years = range(0, max(newest - (first.year * 12 + first.month - 1), 0) + 1, 12)
+
+    def month_end(index: int) -> date:
+        year, month = index // 12, index % 12 + 1
+        return date(year, month, monthrange(year, month)[1])
+    return sorted(month_end(newest - m) for m in {*near, *years})

@@ -1,5 +1,8 @@
 """Coded events: normalisation, mapping, pre-aggregation and cutoff-bounded joins."""
 
+from dataclasses import dataclass
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.calendar import calendar_step, count_window_start, month_start
@@ -108,6 +111,39 @@ def prune_by_global_bounds(events: DataFrame, snapshots: DataFrame, date: str, s
     return events.filter((F.col(date) >= low) & (F.col(date) <= high))
 
 
+#: Entity sets up to this size are broadcast to the fact scan; larger ones are left to the join (and Spark's own runtime filters).
+ENTITY_BROADCAST = 1_000_000
+
+
+@dataclass(frozen=True)
+class ScanBounds:
+    """What any window of a population can touch: dates low <= day < end, and about how many entities."""
+
+    low: date
+    end: date
+    entities: int
+
+
+def scan_bounds(snapshots: DataFrame, steps: int = 12) -> ScanBounds:
+    """First phase of a bounded scan: one small aggregation over the population, read before the fact plan is built.
+
+    As literals the bounds reach the fact scan's row-group statistics, which bounds derived inside a join never do. An empty
+    population gives an empty range.
+    """
+    row = snapshots.agg(F.min(count_window_start(F.col("END_DT"), steps)).alias("low"), F.max("END_DT").alias("high"),
+                        F.approx_count_distinct("PATIENT_ID").alias("n")).first()
+    if row.high is None:
+        return ScanBounds(date(1970, 1, 1), date(1970, 1, 1), 0)
+    return ScanBounds(row.low, row.high + timedelta(days=1), row.n)
+
+
+def known_entities(events: DataFrame, snapshots: DataFrame, bounds: ScanBounds, limit: int = ENTITY_BROADCAST) -> DataFrame:
+    """Second phase: drop rows of entities without a snapshot before they are shuffled, where the entity set is small enough to send."""
+    if bounds.entities > limit:
+        return events
+    return events.join(F.broadcast(snapshots.select("PATIENT_ID").distinct()), "PATIENT_ID", "left_semi")
+
+
 def interval_overlap(periods: DataFrame, intervals: DataFrame, start: str, end: str) -> DataFrame:
     """COVERED: any interval of the entity with start <= PERIOD_END and end >= PERIOD_START.
 

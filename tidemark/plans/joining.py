@@ -9,7 +9,6 @@ from tidemark.operators.ordering import attach
 from tidemark.plans.aggregates import COVER_SQL, DECISION_SQL, covered, decisions
 from tidemark.plans.ranking import TEST, keys
 from tidemark.plans.registry import query
-from tidemark.plans.relations import CUTOFFS
 
 KEY = ["PATIENT_ID", "END_DT"]
 _STEP = "(year(s.END_DT) - year({d})) * 12 + month(s.END_DT) - month({d})"

@@ -1,18 +1,20 @@
 """Derived relations shared by the catalogue: Spark form in `Tables`, SQL form in `RELATIONS`."""
 
+from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.functions.calendar import forward_window
+from tidemark.functions.calendar import forward_window, month_end_cutoffs
 from tidemark.functions.scalar import hash_int, hash_unit
 from tidemark.operators import events as ev
 from tidemark.session import settle
 from tidemark.sources.tables import read_named
 
-# Cutoffs of the example population (leap day, month ends, consecutive months).
-CUTOFFS = ("1996-02-29", "1997-03-31", "1997-06-30", "1997-07-31", "1997-08-31", "1998-01-31", "1999-05-31",
-           "2000-02-29")
+# Cutoffs are month ends counted back from the newest one with a whole label horizon behind it: close ones in the newest year,
+# then one a year back to the first event, so that every event before the newest cutoff lies in some twelve-month window.
+HORIZON = 90
+NEAR_MONTHS = (0, 1, 2, 6)
 # Declared feature vocabulary.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 WORDS = ("ANVIL", "BLUE", "BOLT", "COLD", "GEAR", "GIZMO", "HOT", "LARGE", "NEW", "OLD", "PLATE", "RED", "RING",
@@ -41,21 +43,32 @@ class Tables:
         """Small declared configuration table (parameters, weights, requested names)."""
         return self.spark.createDataFrame(data, schema)
 
-    @cached_property
-    def rx(self) -> DataFrame:
-        o = self.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("PATIENT_ID"))
-        return self.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    @staticmethod
+    def _within(column: str, bounds: ev.ScanBounds | None) -> Column:
+        """Literal bounds on the raw timestamp column, which the Parquet reader compares with its row-group statistics."""
+        if bounds is None:
+            return F.lit(True)
+        low, end = (F.expr(f"TIMESTAMP_NTZ '{d} 00:00:00'") for d in (bounds.low, bounds.end))
+        return (F.col(column) >= low) & (F.col(column) < end)
+
+    def _orders(self, bounds: ev.ScanBounds | None, *columns: Column) -> DataFrame:
+        o = self.orders.select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("PATIENT_ID"), *columns)
+        return o if bounds is None else ev.known_entities(o, self.active, bounds)
+
+    def pharmacy(self, bounds: ev.ScanBounds | None = None) -> DataFrame:
+        """Fills, of the given entities and dates only where bounds are given."""
+        fills = self.lineitem.filter(self._within("l_shipdate", bounds))
+        return fills.join(self._orders(bounds), F.col("l_orderkey") == F.col("o_orderkey")).select(
             "PATIENT_ID", F.col("l_shipdate").cast("date").alias("FILL_DATE"),
             F.col("l_partkey").cast("string").alias("NDC11"),
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("EVENT_ID"),
             F.col("l_suppkey").cast("string").alias("PRESCRIBER_NPI"), F.col("l_linestatus").alias("CHANNEL"),
             F.col("l_returnflag").alias("RESULT"))
 
-    @cached_property
-    def mx(self) -> DataFrame:
-        o = self.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("PATIENT_ID"),
-                               F.col("o_orderdate").cast("date").alias("SERVICE_DATE"),
-                               F.col("o_orderpriority").alias("PLAN_ID"), F.col("o_orderstatus").alias("VISIT_TYPE"))
+    def medical(self, bounds: ev.ScanBounds | None = None) -> DataFrame:
+        """Visits, of the given entities and dates only where bounds are given."""
+        o = self._orders(bounds, F.col("o_orderpriority").alias("PLAN_ID"), F.col("o_orderstatus").alias("VISIT_TYPE"))
+        o = o.filter(self._within("o_orderdate", bounds)).withColumn("SERVICE_DATE", F.col("o_orderdate").cast("date"))
         p = self.part.select("p_partkey", F.col("p_brand").alias("PROCEDURE_CODE"),
                              F.replace("p_name", F.lit(" "), F.lit("|")).alias("DIAGNOSIS_CODES"))
         return (self.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -64,6 +77,14 @@ class Tables:
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("EVENT_ID"),
             F.col("l_suppkey").cast("string").alias("NPI"), "PLAN_ID", "VISIT_TYPE"))
 
+    @cached_property
+    def rx(self) -> DataFrame:
+        return self.pharmacy()
+
+    @cached_property
+    def mx(self) -> DataFrame:
+        return self.medical()
+
     @cached_property
     def code_map(self) -> DataFrame:
         """(FAMILY, CODE, CATEGORY) from the hierarchy; a code may belong to several categories."""
@@ -81,17 +102,29 @@ class Tables:
         return ev.distinct_mapping(rows.filter("CATEGORY IS NOT NULL"))
 
     @cached_property
-    def snapshots(self) -> DataFrame:
-        """(PATIENT_ID, END_DT, RESP): active in the year before the cutoff, labelled by the 90 days after it."""
-        cutoffs = F.array(*[F.lit(c).cast("date") for c in CUTOFFS])
+    def cutoffs(self) -> list[date]:
+        """The population's cutoffs, from the first and last order date (one row, read from column statistics where the reader can)."""
+        span = self.orders.agg(F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high")).first()
+        return month_end_cutoffs(span.low.date(), span.high.date(), HORIZON, NEAR_MONTHS) if span.low else []
+
+    @cached_property
+    def active(self) -> DataFrame:
+        """(PATIENT_ID, END_DT) with an order in the year before the cutoff."""
         day = F.col("o_orderdate").cast("date")
-        active = self.orders.select(
+        return self.orders.select(
             F.col("o_custkey").cast("string").alias("PATIENT_ID"),
-            F.explode(F.filter(cutoffs, lambda c: (day > F.add_months(c, -12)) & (day <= c))).alias("END_DT")).distinct()
+            F.explode(F.filter(self._cutoff_array(), lambda c: (day > F.add_months(c, -12)) & (day <= c))).alias("END_DT")).distinct()
+
+    def _cutoff_array(self) -> Column:
+        return F.array(*[F.lit(c) for c in self.cutoffs]).cast("array<date>")
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """(PATIENT_ID, END_DT, RESP): active in the year before the cutoff, labelled by the 90 days after it."""
         hits = self.rx.filter((F.col("RESULT") == "R") & (F.col("CHANNEL") == "F")).select(
-            "PATIENT_ID", F.explode(F.filter(cutoffs, lambda c: forward_window(c, F.col("FILL_DATE"), 90))).alias("END_DT"))
+            "PATIENT_ID", F.explode(F.filter(self._cutoff_array(), lambda c: forward_window(c, F.col("FILL_DATE"), HORIZON))).alias("END_DT"))
         hits = hits.distinct().withColumn("RESP", F.lit(1))
-        return active.join(hits, ["PATIENT_ID", "END_DT"], "left").withColumn("RESP", F.coalesce("RESP", F.lit(0)))
+        return self.active.join(hits, ["PATIENT_ID", "END_DT"], "left").withColumn("RESP", F.coalesce("RESP", F.lit(0)))
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -123,8 +156,10 @@ class Tables:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Canonical long monthly counts."""
-        return ev.monthly_counts(self.snapshots, self.coded, STEPS)
+        """Canonical long monthly counts. Both sources are bounded by the population's dates and entities before anything is joined."""
+        bounds = ev.scan_bounds(self.active, STEPS)
+        events = ev.occurrences(self.pharmacy(bounds), self.medical(bounds))
+        return ev.monthly_counts(self.snapshots, ev.map_codes(events, self.code_map), STEPS)
 
     @cached_property
     def annual(self) -> DataFrame:
@@ -195,11 +230,14 @@ def _hash(expr: str) -> str:
     return f"CAST('0x' || substr(sha256({expr}), 1, 15) AS BIGINT)"
 
 
-_DATES = "[" + ", ".join(f"DATE '{c}'" for c in CUTOFFS) + "]"
+_MONTHS = "CAST((year(newest) - year(low)) * 12 + month(newest) - month(low) AS BIGINT)"
 _KEYS = "PATIENT_ID || '|' || CAST(END_DT AS VARCHAR)"
 
 RELATIONS = {
-    "cutoffs": ("", f"SELECT unnest({_DATES}) AS END_DT"),
+    "cutoffs": ("", f"""SELECT CAST(last_day(newest - to_months(CAST(m AS INTEGER))) AS DATE) AS END_DT FROM (
+        SELECT low, newest, unnest(list_distinct(list_concat({list(NEAR_MONTHS)}, range(0, greatest({_MONTHS}, 0) + 1, 12)))) AS m FROM (
+        SELECT low, CAST(CASE WHEN last_day(top) = top THEN top ELSE date_trunc('month', top) - INTERVAL 1 DAY END AS DATE) AS newest FROM (
+        SELECT min(CAST(o_orderdate AS DATE)) AS low, max(CAST(o_orderdate AS DATE)) - {HORIZON} AS top FROM orders)))"""),
     "vocab": ("", f"SELECT unnest({sql_list(VOCABULARY)}) AS FEATURE"),
     "rx": ("", """SELECT CAST(o_custkey AS VARCHAR) AS PATIENT_ID, CAST(l_shipdate AS DATE) AS FILL_DATE,
         CAST(l_partkey AS VARCHAR) AS NDC11, l_orderkey || '-' || l_linenumber AS EVENT_ID,
