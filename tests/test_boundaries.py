@@ -21,12 +21,12 @@ def scored(spark, labels, scores):
 
 
 def test_decile_hand_case(spark):
-    labels = [1, 1, 1, 0, 0, 1, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
-    scores = [0.99 - i * 0.98 / 19 for i in range(20)]
-    table = evl.decile_table(scored(spark, labels, scores), "SCORE").orderBy("DECILE").collect()
-    assert [r.POSITIVES for r in table] == [2, 1, 1, 0, 1, 0, 1, 0, 0, 0]
-    assert table[0].LIFT == pytest.approx(1 / 0.3)
-    assert table[-1].CUM_RECALL == 1.0
+    # 30 rows, three a decile; positives stand at ranks 1, 3, 4, 5, 6, 11, 16, 17, 30.
+    labels = [int(rank in (1, 3, 4, 5, 6, 11, 16, 17, 30)) for rank in range(1, 31)]
+    table = evl.decile_table(scored(spark, labels, [1 / rank for rank in range(1, 31)]), "SCORE").orderBy("DECILE").collect()
+    assert [r.POSITIVES for r in table] == [2, 3, 0, 1, 0, 2, 0, 0, 0, 1]
+    assert table[0].LIFT == pytest.approx((2 / 3) / (9 / 30)) and table[1].LIFT == pytest.approx(1 / (9 / 30))
+    assert table[5].CUM_RECALL == pytest.approx(8 / 9) and table[-1].CUM_RECALL == 1.0
 
 
 def test_odd_size_deciles_follow_ceil_cuts(spark):
@@ -143,8 +143,19 @@ def test_bootstrap_equals_explicit_resampling(spark):
     draws = rs.cluster_draws(df, 6, "s")
     mult = {(r.DRAW, r.PATIENT_ID): r.M for r in draws.collect()}
     assert all(sum(m for (d, _), m in mult.items() if d == k) == 7 for k in range(6))
-    got = {(r.DRAW, r.MODEL, r.PERCENT): r.LIFT for r in rs.bootstrap_lifts(df, draws, [10, 30], block=4).collect()}
-    for draw, model, percent in itertools.product(range(6), "ab", (10, 30)):
+    mult |= {(rs.OBSERVED, f"p{i}"): 1 for i in range(7)}
+    weights = rs.cluster_weights(df, 6, "s")
+    got = {(r.DRAW, r.MODEL, r.PERCENT): r.LIFT for r in rs.bootstrap_lifts(df, weights, 6, [10, 30], block=4).collect()}
+    curves = {b: {(r.DRAW, r.MODEL): r for r in rs.bootstrap_curves(df, weights, 6, block=b).collect()} for b in (1, 3, 100)}
+    for draw, model in itertools.product(range(-1, 6), "ab"):
+        flat = sorted(((-r[4], r[3]) for r in rows if r[0] == model for _ in range(mult.get((draw, r[1]), 0))))
+        pos, neg = sum(y for _, y in flat), sum(1 - y for _, y in flat)
+        ap = sum(sum(y for t, y in flat if t == s) * sum(y for t, y in flat if t <= s) / sum(1 for t, _ in flat if t <= s) for s in {t for t, _ in flat})
+        auc = sum((s < t) + (s == t) / 2 for s, y in flat for t, z in flat if y > z)
+        for got_curve in curves.values():
+            r = got_curve[draw, model]
+            assert r.AP == (pytest.approx(ap / pos) if pos else None) and r.AUC == (pytest.approx(auc / pos / neg) if pos and neg else None)
+    for draw, model, percent in itertools.product(range(-1, 6), "ab", (10, 30)):
         order = sorted((r for r in rows if r[0] == model), key=lambda r: (-r[4], r[1], r[2]))
         flat = [r[3] for r in order for _ in range(mult.get((draw, r[1]), 0))]
         k = max(1, -(-len(flat) * percent // 100))

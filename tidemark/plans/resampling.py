@@ -8,6 +8,7 @@ from tidemark.operators.contracts import exact_join
 from tidemark.operators.ordering import attach
 from tidemark.plans.ranking import TEST, keys
 from tidemark.plans.registry import query
+from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 TRAIN = "SPLIT = 'train'"
@@ -147,13 +148,19 @@ def l11(t):
 
 
 _DRAWS_T = _draw_sql("SELECT * FROM manifest WHERE SPLIT = 'test'", "boot")
+# Draw -1 is the data itself: every entity once.
+_DRAWS_T = f"(SELECT * FROM {_DRAWS_T} UNION ALL SELECT DISTINCT -1 AS DRAW, PATIENT_ID, 1 AS M FROM manifest WHERE SPLIT = 'test')"
 _BOOT = f"""(WITH dr AS {_DRAWS_T}, r AS (SELECT d.DRAW, s.MODEL, s.RESP, M, coalesce(sum(M) OVER (PARTITION BY d.DRAW, s.MODEL ORDER BY SCORE DESC, s.PATIENT_ID, END_DT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, sum(M) OVER (PARTITION BY d.DRAW, s.MODEL) AS N, sum(M * RESP) OVER (PARTITION BY d.DRAW, s.MODEL) AS P
   FROM ({_TESTROWS}) s JOIN dr d ON d.PATIENT_ID = s.PATIENT_ID), k AS (SELECT *, unnest([10, 20, 30]) AS PERCENT FROM r), g AS (SELECT *, greatest(1, (N * PERCENT + 99) // 100) AS K FROM k)
   SELECT DRAW, MODEL, PERCENT, K, N, P, sum(least(M, greatest(K - bf, 0)) * RESP) AS CAPTURED, CASE WHEN P > 0 AND P < N THEN sum(least(M, greatest(K - bf, 0)) * RESP) / K / (P / N) END AS LIFT FROM g GROUP BY DRAW, MODEL, PERCENT, K, N, P)"""
 
 
+def weights(t):
+    return settle(rs.cluster_weights(t.manifest.filter(TEST), DRAWS, "boot"))
+
+
 def lifts(t):
-    return rs.bootstrap_lifts(t.model_scores.filter(TEST), draws(t), [10, 20, 30])
+    return rs.bootstrap_lifts(t.model_scores.filter(TEST), weights(t), DRAWS, [10, 20, 30])
 
 
 @query("k15_paired_lift_draws", "DRAW:i MODEL:s PERCENT:i K:i CAPTURED:i LIFT:f", "manifest model_scores", f"SELECT * FROM {_BOOT}")
@@ -161,8 +168,9 @@ def k15(t):
     return lifts(t)
 
 
-_IV = f"""SELECT {{by}}, count(d) AS VALID_DRAWS, count(d) >= {LEAST} AS RELIABLE, CASE WHEN count(d) >= {LEAST} THEN quantile_cont(d, 0.025) END AS LOWER, CASE WHEN count(d) >= {LEAST} THEN quantile_cont(d, 0.975) END AS UPPER, CASE WHEN count(d) < {LEAST} THEN 'unreliable' WHEN quantile_cont(d, 0.025) > 0 THEN 'above' WHEN quantile_cont(d, 0.975) < 0 THEN 'below' ELSE 'includes_zero' END AS INTERVAL_SIGN FROM ({{src}}) GROUP BY {{by}}"""
-_IVC = "VALID_DRAWS:i RELIABLE:b LOWER:f UPPER:f INTERVAL_SIGN:s"
+_IV = f"""SELECT {{by}}, max(d) FILTER (DRAW = -1) AS DELTA, count(d) FILTER (DRAW >= 0) AS VALID_DRAWS, count(d) FILTER (DRAW >= 0) >= {LEAST} AS RELIABLE, CASE WHEN count(d) FILTER (DRAW >= 0) >= {LEAST} THEN quantile_cont(d, 0.025) FILTER (DRAW >= 0) END AS LOWER, CASE WHEN count(d) FILTER (DRAW >= 0) >= {LEAST} THEN quantile_cont(d, 0.975) FILTER (DRAW >= 0) END AS UPPER,
+  CASE WHEN count(d) FILTER (DRAW >= 0) < {LEAST} THEN 'unreliable' WHEN quantile_cont(d, 0.025) FILTER (DRAW >= 0) > 0 THEN 'above' WHEN quantile_cont(d, 0.975) FILTER (DRAW >= 0) < 0 THEN 'below' ELSE 'includes_zero' END AS INTERVAL_SIGN FROM ({{src}}) GROUP BY {{by}}"""
+_IVC = "DELTA:f VALID_DRAWS:i RELIABLE:b LOWER:f UPPER:f INTERVAL_SIGN:s"
 
 
 def paired(table, by, value, a, b):
@@ -182,7 +190,7 @@ _BCURVE = f"""(WITH dr AS {_DRAWS_T}, c AS (SELECT *, sum(p) OVER w AS cp, sum(n
 
 @query("k16_paired_curve_intervals", "METRIC:s " + _IVC, "manifest model_scores", _IV.format(by="METRIC", src=f"SELECT 'AP' AS METRIC, DRAW, max(AP) FILTER (MODEL = 'alpha') - max(AP) FILTER (MODEL = 'beta') AS d FROM {_BCURVE} GROUP BY 2 UNION ALL SELECT 'AUC', DRAW, max(AUC) FILTER (MODEL = 'alpha') - max(AUC) FILTER (MODEL = 'beta') FROM {_BCURVE} GROUP BY 2"))
 def k16(t):
-    m = rs.bootstrap_curves(t.model_scores.filter(TEST), draws(t))
+    m = rs.bootstrap_curves(t.model_scores.filter(TEST), weights(t), DRAWS)
     tall = m.select("DRAW", "MODEL", F.inline(F.array(F.struct(F.lit("AP").alias("METRIC"), F.col("AP").alias("v")), F.struct(F.lit("AUC").alias("METRIC"), F.col("AUC").alias("v")))))
     return rs.intervals(paired(tall, ["DRAW", "METRIC"], "v", "alpha", "beta"), "d", ["METRIC"], DRAWS)
 
