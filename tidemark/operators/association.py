@@ -4,11 +4,15 @@ Everything that can be is computed on value histograms (one row per feature, val
 built by one partially aggregated pass and are far smaller than the rows they summarise.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators.ordering import attach, mid_ranks, value_table, weighted_quantiles
+from tidemark.operators.ordering import attach, mid_ranks, ranked, value_table, weighted_quantiles
 from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
@@ -42,6 +46,80 @@ def histogram(rows: DataFrame, *by: str, weight: str = "WEIGHT") -> DataFrame:
     return rows.groupBy(*by, "VALUE").agg(F.sum(weight).alias("W"), F.count("*").alias("N"))
 
 
+@dataclass(frozen=True)
+class SparseRows:
+    """Rows numbered POS = 1..n in key order, each with a map of its non-zero cells; every other declared feature is 0 there.
+
+    Zeros are never written out: a feature's zero cell is what its other values leave of the totals.
+    """
+
+    rows: DataFrame
+    names: tuple[str, ...]
+    n: int
+
+    @property
+    def cells(self) -> DataFrame:
+        """(POS, the rows' columns, FEATURE, VALUE) of the non-zero cells of declared features."""
+        keep = [c for c in self.rows.columns if c != "COUNTS"]
+        cells = self.rows.select(*keep, F.explode("COUNTS").alias("FEATURE", "VALUE")).withColumn("VALUE", F.col("VALUE").cast("double"))
+        return cells.filter((F.col("VALUE") != 0) & F.col("FEATURE").isin(*self.names))
+
+    def per_feature(self, totals: DataFrame) -> DataFrame:
+        return totals.withColumn("FEATURE", F.explode(F.array(*[F.lit(n) for n in self.names])))
+
+
+def sparse_rows(packed: DataFrame, names, key: tuple = tuple(KEY)) -> SparseRows:
+    """Number the rows of a table with a COUNTS map (null: no non-zero cell) once; kept, as several passes follow."""
+    kept = settle(ranked(packed, [F.col(k) for k in key], "POS"))
+    return SparseRows(kept, tuple(names), kept.count())
+
+
+def sparse_histogram(sparse: SparseRows, *by: str, weight: str | None = None) -> DataFrame:
+    """(FEATURE, by.., VALUE, W, N) like `histogram`, W being N where no weight is named."""
+    w = F.sum(weight) if weight else F.count("*").cast("double")
+    seen = sparse.cells.groupBy("FEATURE", *by, "VALUE").agg(w.alias("W"), F.count("*").alias("N"))
+    used = seen.groupBy("FEATURE", *by).agg(F.sum("W").alias("_w"), F.sum("N").alias("_n"))
+    whole = sparse.per_feature(sparse.rows.groupBy(*by).agg(w.alias("W"), F.count("*").alias("N")))
+    left = whole.join(used, ["FEATURE", *by], "left")
+    zero = left.select("FEATURE", *by, F.lit(0.0).alias("VALUE"), (F.col("W") - F.coalesce("_w", F.lit(0.0))).alias("W"),
+                       (F.col("N") - F.coalesce("_n", F.lit(0))).alias("N"))
+    return seen.unionByName(zero.filter("N > 0"))
+
+
+def _first_gap(cells: DataFrame, n: int, place: Column, block: int) -> DataFrame:
+    """(FEATURE, GAP): the first of the places 0..n - 1 at which the feature has no cell; absent where its first cell is not at 0.
+
+    Two steps of about sqrt(n): blocks that are full from the start on, then the cells of the first block that is not.
+    """
+    at = cells.select("FEATURE", place.alias("_p")).withColumn("_b", F.floor(F.col("_p") / block))
+    size = F.least(F.lit(block), F.lit(n) - F.col("_b") * block)
+    full = at.groupBy("FEATURE", "_b").agg(F.count("*").alias("c")).filter(F.col("c") == size)
+    order = lambda c: F.row_number().over(W.partitionBy("FEATURE").orderBy(c)) - 1
+    lead = full.withColumn("_i", order("_b")).filter("_i = _b").groupBy("FEATURE").agg(F.count("*").alias("_lead"))
+    inner = at.join(lead, "FEATURE", "left").fillna(0, ["_lead"]).filter(F.col("_b") == F.col("_lead"))
+    run = inner.withColumn("_i", order("_p")).filter(F.col("_p") - F.col("_lead") * block == F.col("_i"))
+    found = at.select("FEATURE").distinct().join(lead, "FEATURE", "left").join(run.groupBy("FEATURE").agg(F.count("*").alias("_run")), "FEATURE", "left")
+    return found.select("FEATURE", (F.coalesce("_lead", F.lit(0)) * block + F.coalesce("_run", F.lit(0))).alias("GAP"))
+
+
+def sparse_value_table(sparse: SparseRows, weight: str = "WEIGHT") -> DataFrame:
+    """`value_table` per FEATURE. Tie edges are the weights at the first and last POS of a value: plain numbers, hashed not sorted."""
+    cells, n = sparse.cells, sparse.n
+    seen = cells.groupBy("FEATURE", "VALUE").agg(F.sum(weight).alias("W"), F.count("*").alias("N"), F.min("POS").alias("_a"), F.max("POS").alias("_z"))
+    used = seen.groupBy("FEATURE").agg(F.sum("W").alias("_w"), F.sum("N").alias("_n"))
+    block = max(1, int(n ** 0.5))
+    first = _first_gap(cells, n, F.col("POS") - 1, block).withColumnRenamed("GAP", "_f")
+    last = _first_gap(cells, n, n - F.col("POS"), block).withColumnRenamed("GAP", "_l")
+    whole = sparse.per_feature(sparse.rows.agg(F.sum(weight).alias("W"), F.count("*").alias("N")))
+    left = whole.join(used, "FEATURE", "left").join(first, "FEATURE", "left").join(last, "FEATURE", "left").fillna(0, ["_w", "_n", "_f", "_l"])
+    zero = left.select("FEATURE", F.lit(0.0).alias("VALUE"), (F.col("W") - F.col("_w")).alias("W"), (F.col("N") - F.col("_n")).alias("N"),
+                       (F.col("_f") + 1).alias("_a"), (n - F.col("_l")).alias("_z")).filter("N > 0")
+    at = sparse.rows.select("POS", F.col(weight).alias("_x"))
+    table = seen.unionByName(zero)
+    table = table.join(at.select(F.col("POS").alias("_a"), F.col("_x").alias("W_FIRST")), "_a")
+    return table.join(at.select(F.col("POS").alias("_z"), F.col("_x").alias("W_LAST")), "_z").select("FEATURE", "VALUE", "W", "W_FIRST", "W_LAST", "N")
+
+
 def moments(hist: DataFrame, by: list[str], x: Column, w: Column) -> DataFrame:
     """Weighted mean and population variance in two passes over the small histogram."""
     mean = hist.groupBy(*by).agg((F.sum(w * x) / F.sum(w)).alias("MEAN"), F.sum(w).alias("SUM_W"))
@@ -162,10 +240,15 @@ def binned_mutual_information(rows: DataFrame, bins: int, entities: DataFrame, l
 
     `rows` carries WEIGHT; `entities` is a one-row count ENTITIES.
     """
-    points = [i / bins for i in range(1, bins)]
     values = value_table(rows, "VALUE", "WEIGHT", KEY, ("FEATURE",))
+    return binned_information(values, histogram(rows, "FEATURE", label), bins, entities, label)
+
+
+def binned_information(values: DataFrame, hist: DataFrame, bins: int, entities: DataFrame, label: str = "RESP") -> DataFrame:
+    """The same from a value table and a histogram by label."""
+    points = [i / bins for i in range(1, bins)]
     edges = weighted_quantiles(values, "VALUE", points, ("FEATURE",)).groupBy("FEATURE").agg(F.collect_set("QUANTILE").alias("E"))
-    hist = histogram(rows, "FEATURE", label).join(edges, "FEATURE")
+    hist = hist.join(edges, "FEATURE")
     code = F.size(F.filter("E", lambda e: e <= F.col("VALUE")))
     joint = hist.groupBy("FEATURE", code.alias("B"), label).agg(F.sum("W").alias("w"))
     info = _mutual_information(joint, ["B"], label)
@@ -185,14 +268,22 @@ def _mutual_information(joint: DataFrame, cell: list[str], label: str) -> DataFr
 
 
 def discrete_mutual_information(rows: DataFrame, label: str = "RESP") -> DataFrame:
-    joint = rows.groupBy("FEATURE", "VALUE", label).agg(F.count("*").alias("w"))
-    return _mutual_information(joint, ["VALUE"], label)
+    return discrete_information(rows.groupBy("FEATURE", "VALUE", label).agg(F.count("*").alias("N")), label)
+
+
+def discrete_information(hist: DataFrame, label: str = "RESP") -> DataFrame:
+    """The same from a histogram by label."""
+    return _mutual_information(hist.select("FEATURE", "VALUE", label, F.col("N").alias("w")), ["VALUE"], label)
 
 
 def rank_correlation(rows: DataFrame, weight: str | None = None, label: str = "RESP") -> DataFrame:
     """(Weighted) correlation of mid-ranks with a binary label, from the value histogram."""
     w = F.sum(weight) if weight else F.count("*").cast("double")
-    hist = rows.filter(F.col("VALUE").isNotNull()).groupBy("FEATURE", "VALUE", label).agg(w.alias("W"))
+    return rank_correlation_of(rows.filter(F.col("VALUE").isNotNull()).groupBy("FEATURE", "VALUE", label).agg(w.alias("W")), label)
+
+
+def rank_correlation_of(hist: DataFrame, label: str = "RESP") -> DataFrame:
+    """The same from weights W per (FEATURE, VALUE, label)."""
     ranks = mid_ranks(hist.groupBy("FEATURE", "VALUE").agg(F.sum("W").alias("W")), "VALUE", "W", ("FEATURE",))
     h = hist.join(ranks.select("FEATURE", "VALUE", "MID_SHARE"), ["FEATURE", "VALUE"])
     mean = h.groupBy("FEATURE").agg((F.sum(F.col("W") * F.col("MID_SHARE")) / F.sum("W")).alias("mx"),
@@ -205,10 +296,14 @@ def rank_correlation(rows: DataFrame, weight: str | None = None, label: str = "R
 
 def presence_association(rows: DataFrame, label: str = "RESP") -> DataFrame:
     """Phi, chi-square without correction and smallest expected cell of presence against the label."""
+    return presence_of(rows.filter(F.col("VALUE").isNotNull()).groupBy("FEATURE", "VALUE", label).agg(F.count("*").alias("N")), label)
+
+
+def presence_of(hist: DataFrame, label: str = "RESP") -> DataFrame:
+    """The same from row counts N per (FEATURE, VALUE, label)."""
     p, y = F.col("VALUE") != 0, F.col(label) == 1
-    c = rows.filter(F.col("VALUE").isNotNull()).groupBy("FEATURE").agg(
-        F.count("*").cast("double").alias("n"), F.count_if(p & y).cast("double").alias("a"),
-        F.count_if(p).cast("double").alias("r"), F.count_if(y).cast("double").alias("k"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("N"))), F.lit(0)).cast("double")
+    c = hist.groupBy("FEATURE").agg(F.sum("N").cast("double").alias("n"), count(p & y).alias("a"), count(p).alias("r"), count(y).alias("k"))
     n, a, r, k = (F.col(x) for x in "nark")
     spread = r * (n - r) * k * (n - k)
     phi = F.when(spread > 0, (n * a - r * k) / F.sqrt(spread))
@@ -216,26 +311,108 @@ def presence_association(rows: DataFrame, label: str = "RESP") -> DataFrame:
     return c.select("FEATURE", phi.alias("PHI"), (n * phi * phi).alias("CHI2"), F.when(spread > 0, low).alias("MIN_EXPECTED"))
 
 
+#: Partial sums that are added together before the last addition.
+TREE = 64
+#: Distinct (feature, value) pairs whose ranks travel to the tasks; beyond it ranks are joined to the cells.
+RANK_TABLE = 2_000_000
+DENSE_ROWS = 4096
+
+
+def _add_arrays(parts: DataFrame, *by: str) -> DataFrame:
+    """Sum of the arrays R of each row number I: within groups of TREE partials first, so no task gets all of them."""
+    def add(key, group):
+        return pd.DataFrame({"I": [key[0]], "P": [key[1] if len(key) > 1 else 0], "R": [np.sum(np.stack(group["R"].to_numpy()), axis=0)]})
+    near = parts.groupBy("I", F.floor(F.col("P") / TREE).alias("P")).applyInPandas(add, "I int, P long, R array<double>")
+    return near.groupBy("I").applyInPandas(add, "I int, P long, R array<double>")
+
+
+def _triangle(matrix: np.ndarray, part: int) -> pa.RecordBatch:
+    rows = [matrix[i, i:] for i in range(len(matrix))]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), part), pa.int64()),
+                                       pa.array(rows, pa.list_(pa.float64()))], names=["I", "P", "R"])
+
+
 def gram(vectors: DataFrame, column: str, size: int) -> DataFrame:
-    """Sum of outer products of (1, x) as rows (I, J, S), from one partial matrix per task.
+    """Sum of outer products of (1, x), upper triangle as rows (I, J, S), from one partial matrix per task.
 
-    The size is the declared vocabulary, so a partial holds (size + 1) squared numbers whatever the rows.
+    The size is the declared vocabulary, so a partial holds half of (size + 1) squared numbers whatever the rows; it leaves the task as
+    one array per row of the triangle.
     """
     def partial(batches):
         acc = np.zeros((size + 1, size + 1))
         for batch in batches:
-            x = np.stack(batch[column].to_numpy()) if len(batch) else np.zeros((0, size))
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
             x = np.hstack([np.ones((len(x), 1)), x])
             acc += x.T @ x
-        yield pd.DataFrame({"I": np.arange(size + 1), "R": list(acc)})
-    parts = vectors.select(column).mapInPandas(partial, "I int, R array<double>")
-    return parts.select("I", F.posexplode("R").alias("J", "s")).groupBy("I", "J").agg(F.sum("s").alias("S"))
+        yield _triangle(acc, TaskContext.get().partitionId())
+    return _cells(vectors.select(column).mapInArrow(partial, "I int, P long, R array<double>"))
+
+
+def _cells(parts: DataFrame) -> DataFrame:
+    return _add_arrays(parts).select("I", F.posexplode("R").alias("k", "S")).select("I", (F.col("I") + F.col("k")).alias("J"), "S")
+
+
+def sparse_gram(sparse: SparseRows, ranks: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """The same straight from the maps of non-zero cells, which are scattered into a block of rows at a time; nothing is exploded.
+
+    With `ranks` (ascending values and their numbers per feature) cells count as these numbers instead of their values.
+    """
+    names = sparse.names
+    shipped = sparse.rows.sparkSession.sparkContext.broadcast(ranks)
+
+    def partial(batches):
+        place = {n: i for i, n in enumerate(names, 1)}
+        table = shipped.value
+        acc = np.zeros((len(names) + 1, len(names) + 1))
+        for batch in batches:
+            for at in range(0, batch.num_rows, DENSE_ROWS):
+                part = batch.slice(at, DENSE_ROWS)
+                keys, values = part.column(0), part.column(1)
+                counts = np.diff(keys.offsets.to_numpy())
+                coded = keys.flatten().dictionary_encode()
+                column = np.array([place.get(n, 0) for n in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                value = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+                if table is not None:
+                    value = value.copy()
+                    for name in {names[i - 1] for i in np.unique(column) if i}:
+                        own = column == place[name]
+                        seen, numbers = table[name]
+                        value[own] = np.where(value[own] != 0, numbers[np.searchsorted(seen, value[own])], 0.0)
+                x = np.zeros((part.num_rows, len(names) + 1))
+                x[np.repeat(np.arange(part.num_rows), counts), column] = value
+                x[:, 0] = 1.0
+                acc += x.T @ x
+        yield _triangle(acc, TaskContext.get().partitionId())
+    counts = F.coalesce("COUNTS", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>")))
+    maps = sparse.rows.select(F.map_keys(counts).alias("k"), F.map_values(counts).cast("array<double>").alias("v"))
+    return _cells(maps.mapInArrow(partial, "I int, P long, R array<double>"))
+
+
+def sparse_rank_gram(sparse: SparseRows) -> DataFrame | None:
+    """Gram matrix of average ranks, each less its feature's rank of 0, which changes no correlation and keeps zeros zero.
+
+    None where there are too many distinct values to send their ranks to the tasks.
+    """
+    ranks = settle(mid_ranks(sparse_histogram(sparse).select("FEATURE", "VALUE", "N"), "VALUE", "N", ("FEATURE",)))
+    if ranks.count() > RANK_TABLE:
+        return None
+    table = {}
+    for name, own in ranks.select("FEATURE", "VALUE", "MID_RANK").toPandas().sort_values("VALUE").groupby("FEATURE"):
+        values, numbers = own["VALUE"].to_numpy(float), own["MID_RANK"].to_numpy(float)
+        zero = numbers[values == 0]
+        table[name] = values, numbers - (zero[0] if len(zero) else 0.0)
+    return sparse_gram(sparse, table)
 
 
 def correlated_pairs(vectors: DataFrame, column: str, names: list[str], threshold: float) -> DataFrame:
     """Feature pairs with |Pearson r| at or above the threshold (pass rank vectors for Spearman)."""
+    return pairs_of(gram(vectors, column, len(names)), names, threshold)
+
+
+def pairs_of(matrix: DataFrame, names, threshold: float) -> DataFrame:
+    """The same from the upper triangle (I, J, S) of a Gram matrix of (1, x)."""
     # A matrix over the declared vocabulary, read several times below: kept once instead of recomputed.
-    g = settle(gram(vectors, column, len(names)))
+    g = settle(matrix)
     n = g.filter("I = 0 AND J = 0").select(F.col("S").alias("n"))
     mean = g.filter("I = 0").select("J", "S")
     diag = g.filter("I = J").select("I", "S")
@@ -271,7 +448,11 @@ def shift(rows: DataFrame, weighted: bool = True) -> DataFrame:
     both = rows.filter(F.col("SPLIT").isin("train", "validation"))
     if not weighted:
         both = both.withColumn("WEIGHT", F.lit(1.0))
-    hist = histogram(both, "FEATURE", "SPLIT")
+    return shift_of(histogram(both, "FEATURE", "SPLIT"), weighted)
+
+
+def shift_of(hist: DataFrame, weighted: bool = True) -> DataFrame:
+    """The same from weights W per (FEATURE, SPLIT, VALUE)."""
     m = moments(hist, ["FEATURE", "SPLIT"], F.log1p("VALUE"), F.col("W"))
     share = hist.groupBy("FEATURE", "SPLIT").agg((F.sum(F.when(F.col("VALUE") > 0, F.col("W")).otherwise(0.0)) / F.sum("W")).alias("P"))
     m = m.join(share, ["FEATURE", "SPLIT"])

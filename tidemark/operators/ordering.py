@@ -74,13 +74,14 @@ def weighted_quantiles(values: DataFrame, value: str, points: list[float], group
     want = want.withColumn("Q", F.explode(F.array(*[F.lit(float(p)) for p in points])))
     target = F.col("Q") * F.col("_all")
     low = F.col("_mid") <= target
-    # Bracketing points by max/min of structs: partially aggregated, so nothing is sorted again.
+    # Bracketing points by their midpoint alone: numbers aggregate in hash tables, where structs would be sorted.
+    under, over = F.when(low, F.col("_mid")), F.when(~low, F.col("_mid"))
     near = want.groupBy(*groups, "Q").agg(
-        F.max(F.when(low, F.struct("_mid", "_v"))).alias("lo"),
-        F.min(F.when(~low, F.struct("_mid", "_v"))).alias("hi"), F.max(target).alias("target"))
-    slope = (F.col("target") - F.col("lo._mid")) / (F.col("hi._mid") - F.col("lo._mid"))
-    value_at = (F.when(F.col("lo").isNull(), F.col("hi._v")).when(F.col("hi").isNull(), F.col("lo._v"))
-                .otherwise(F.col("lo._v") + slope * (F.col("hi._v") - F.col("lo._v"))))
+        F.max(under).alias("lo"), F.max_by("_v", under).alias("lo_v"), F.min(over).alias("hi"), F.min_by("_v", over).alias("hi_v"),
+        F.max(target).alias("target"))
+    slope = (F.col("target") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    value_at = (F.when(F.col("lo").isNull(), F.col("hi_v")).when(F.col("hi").isNull(), F.col("lo_v"))
+                .otherwise(F.col("lo_v") + slope * (F.col("hi_v") - F.col("lo_v"))))
     return near.select(*groups, "Q", value_at.alias("QUANTILE"))
 
 

@@ -21,6 +21,15 @@ def train_dense(t):
     return t.expand(t.packed.filter(TRAIN))
 
 
+def train_sparse(t):
+    return asc.sparse_rows(t.packed.filter(TRAIN), VOCABULARY)
+
+
+def weighted_sparse(t):
+    rows = asc.entity_weights(t.packed.filter(TRAIN)).drop("WEIGHT").withColumnRenamed("ENTITY_SHARE", "WEIGHT")
+    return asc.sparse_rows(rows, VOCABULARY)
+
+
 def weighted_dense(t):
     """Training cells with entity weights, attached at snapshot grain before the cells are expanded."""
     rows = asc.entity_weights(t.packed.filter(TRAIN)).drop("WEIGHT").withColumnRenamed("ENTITY_SHARE", "WEIGHT")
@@ -65,8 +74,7 @@ def j03(t):
 
 @query("j04_weighted_quantile", "FEATURE:s Q:f QUANTILE:f", "dense", _QUANT.format(src=_WD, q="[0.25::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]"))
 def j04(t):
-    values = od.value_table(weighted_dense(t), "VALUE", "WEIGHT", KEY, ("FEATURE",))
-    return od.weighted_quantiles(values, "VALUE", [0.25, 0.5, 0.9], ("FEATURE",))
+    return od.weighted_quantiles(asc.sparse_value_table(weighted_sparse(t)), "VALUE", [0.25, 0.5, 0.9], ("FEATURE",))
 
 
 @query("j05_duplicate_features", "FEATURE:s DUPLICATE_OF:s", "dense", f"""WITH s AS {_SEED} SELECT b.FEATURE, min(a.FEATURE) AS DUPLICATE_OF FROM (SELECT a.FEATURE, b.FEATURE AS f2 FROM s a JOIN s b ON a.PATIENT_ID = b.PATIENT_ID AND a.END_DT = b.END_DT AND a.FEATURE < b.FEATURE GROUP BY 1, 2 HAVING bool_and(a.VALUE IS NOT DISTINCT FROM b.VALUE)) a
@@ -152,13 +160,14 @@ _JOINT = """SELECT FEATURE, cell, w, sum(w) OVER (PARTITION BY FEATURE) AS t, su
   SELECT FEATURE, {_MI} AS MI, count(DISTINCT cell) AS OCCUPIED, greatest(0, {_MI} - (count(DISTINCT cell) - 1) / (2.0 * (SELECT count(DISTINCT PATIENT_ID) FROM dense WHERE SPLIT = 'train'))) AS CORRECTED_MI FROM ({_JOINT.format('SELECT * FROM j')}) GROUP BY 1""")
 def j12(t):
     people = t.manifest.filter(TRAIN).select("PATIENT_ID").distinct().agg(F.count("*").alias("ENTITIES"))
-    return asc.binned_mutual_information(weighted_dense(t), 5, people)
+    s = weighted_sparse(t)
+    return asc.binned_information(asc.sparse_value_table(s), asc.sparse_histogram(s, "RESP", weight="WEIGHT"), 5, people)
 
 
 @query("j13_weighted_rank_association", "FEATURE:s CORRELATION:f", "dense", f"""SELECT FEATURE, CASE WHEN sum(w * dx * dx) > 0 THEN sum(w * dx * dy) / sqrt(sum(w * dx * dx) * sum(w * dy * dy)) ELSE 0 END AS CORRELATION FROM (SELECT *, r - sum(w * r) OVER p / sum(w) OVER p AS dx, RESP - sum(w * RESP) OVER p / sum(w) OVER p AS dy FROM (
   SELECT d.*, r FROM {_WD} d JOIN (SELECT FEATURE, VALUE, (sum(vw) OVER (PARTITION BY FEATURE ORDER BY VALUE) - vw / 2) / sum(vw) OVER (PARTITION BY FEATURE) AS r FROM (SELECT FEATURE, VALUE, sum(w) AS vw FROM {_WD} GROUP BY 1, 2)) k ON k.FEATURE = d.FEATURE AND k.VALUE = d.VALUE) WINDOW p AS (PARTITION BY FEATURE)) GROUP BY 1""")
 def j13(t):
-    return asc.rank_correlation(weighted_dense(t), "WEIGHT")
+    return asc.rank_correlation_of(asc.sparse_histogram(weighted_sparse(t), "RESP", weight="WEIGHT"))
 
 
 _R = "rank() OVER (PARTITION BY FEATURE ORDER BY VALUE) + (count(*) OVER (PARTITION BY FEATURE, VALUE) - 1) / 2.0"
@@ -167,8 +176,8 @@ _R = "rank() OVER (PARTITION BY FEATURE ORDER BY VALUE) + (count(*) OVER (PARTIT
 @query("j14_association_table", "FEATURE:s SPEARMAN:f PHI:f CHI2:f MIN_EXPECTED:f", "dense", f"""SELECT FEATURE, coalesce(corr(r, RESP), 0) AS SPEARMAN, corr(p, RESP) AS PHI, count(*) * corr(p, RESP) ** 2 AS CHI2, CASE WHEN corr(p, RESP) IS NOT NULL THEN least(sum(p), count(*) - sum(p)) * least(sum(RESP), count(*) - sum(RESP)) / count(*) END AS MIN_EXPECTED
   FROM (SELECT *, {_R} AS r, CASE WHEN VALUE <> 0 THEN 1 ELSE 0 END AS p FROM dense WHERE SPLIT = 'train') GROUP BY 1""")
 def j14(t):
-    d = train_dense(t)
-    return asc.rank_correlation(d).withColumnRenamed("CORRELATION", "SPEARMAN").join(asc.presence_association(d), "FEATURE")
+    h = settle(asc.sparse_histogram(train_sparse(t), "RESP"))
+    return asc.rank_correlation_of(h).withColumnRenamed("CORRELATION", "SPEARMAN").join(asc.presence_of(h), "FEATURE")
 
 
 _DMI = f"SELECT FEATURE, {_MI} AS MI FROM ({_JOINT.format('SELECT FEATURE, VALUE AS cell, RESP, count(*)::DOUBLE AS w FROM dense WHERE SPLIT = ' + chr(39) + 'train' + chr(39) + ' GROUP BY 1, 2, 3')}) GROUP BY 1"
@@ -180,11 +189,14 @@ def j15(t):
 
 
 def mi_ranking(t):
-    mi = asc.discrete_mutual_information(train_dense(t))
+    mi = asc.discrete_information(asc.sparse_histogram(train_sparse(t), "RESP"))
     return mi.select("FEATURE", "MI", F.row_number().over(W.orderBy(F.round("MI", 9).desc(), "FEATURE")).alias("POSITION"))
 
 
-def rank_pairs(t, threshold):
+def rank_pairs(t, threshold, sparse=None):
+    matrix = asc.sparse_rank_gram(sparse or train_sparse(t))
+    if matrix is not None:
+        return asc.pairs_of(matrix, VOCABULARY, threshold)
     ranks = asc.with_ranks(train_dense(t))
     return asc.correlated_pairs(asc.vectors(ranks, "MID_RANK", list(VOCABULARY)), "X", list(VOCABULARY), threshold)
 
@@ -209,13 +221,14 @@ def j16(t):
 
 @query("j17_correlated_pairs", "METHOD:s FEATURE_A:s FEATURE_B:s CORRELATION:f", "dense", f"SELECT 'spearman' AS METHOD, * FROM ({_pairs_sql(_R, 0.35)}) UNION ALL SELECT 'pearson', * FROM ({_pairs_sql('VALUE', 0.35)})")
 def j17(t):
-    pearson = asc.correlated_pairs(asc.vectors(train_dense(t), "VALUE", list(VOCABULARY)), "X", list(VOCABULARY), 0.35)
-    return rank_pairs(t, 0.35).withColumn("METHOD", F.lit("spearman")).unionByName(pearson.withColumn("METHOD", F.lit("pearson")))
+    s = train_sparse(t)
+    pearson = asc.pairs_of(asc.sparse_gram(s), VOCABULARY, 0.35)
+    return rank_pairs(t, 0.35, s).withColumn("METHOD", F.lit("spearman")).unionByName(pearson.withColumn("METHOD", F.lit("pearson")))
 
 
 @query("j18_correlation_components", "NODE:s COMPONENT:s", "dense", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT FEATURE_A AS u, FEATURE_B AS v FROM ({_pairs_sql('VALUE', 0.3)})), s AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r(u, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.u) SELECT u AS NODE, min(c) AS COMPONENT FROM r GROUP BY 1""")
 def j18(t):
-    return sel.components(asc.correlated_pairs(asc.vectors(train_dense(t), "VALUE", list(VOCABULARY)), "X", list(VOCABULARY), 0.3))
+    return sel.components(asc.pairs_of(asc.sparse_gram(train_sparse(t)), VOCABULARY, 0.3))
 
 
 _SHIFT_W = "(SELECT *, 1.0 / count(*) OVER (PARTITION BY PATIENT_ID, FEATURE) AS w, ln(1 + VALUE) AS x FROM dense WHERE SPLIT <> 'test')"
@@ -225,12 +238,14 @@ _SHIFT = """SELECT FEATURE, tm AS TRAIN_MEAN, vm AS VALIDATION_MEAN, CASE WHEN {
 
 @query("j19_weighted_shift", "FEATURE:s TRAIN_MEAN:f VALIDATION_MEAN:f STANDARDIZED_DIFFERENCE:f TRAIN_NONZERO:f VALIDATION_NONZERO:f", "dense", _SHIFT.format(src=_SHIFT_W, sc="sqrt((tv + vv) / 2)"))
 def j19(t):
-    return asc.shift(t.expand(asc.entity_weights(t.packed.filter("SPLIT <> 'test'"), ("SPLIT",))))
+    rows = asc.entity_weights(t.packed.filter("SPLIT <> 'test'"), ("SPLIT",))
+    return asc.shift_of(asc.sparse_histogram(asc.sparse_rows(rows, VOCABULARY), "SPLIT", weight="WEIGHT"))
 
 
 @query("j20_unweighted_shift", "FEATURE:s TRAIN_MEAN:f VALIDATION_MEAN:f STANDARDIZED_DIFFERENCE:f TRAIN_NONZERO:f VALIDATION_NONZERO:f", "dense", _SHIFT.format(src="(SELECT *, 1.0 AS w, ln(1 + VALUE) AS x FROM dense WHERE SPLIT <> 'test')", sc="sqrt(tv)"))
 def j20(t):
-    return asc.shift(t.dense, weighted=False)
+    rows = asc.sparse_rows(t.packed.filter("SPLIT <> 'test'"), VOCABULARY)
+    return asc.shift_of(asc.sparse_histogram(rows, "SPLIT"), weighted=False)
 
 
 _STEP01 = f"""SELECT m.PATIENT_ID, m.END_DT, RESP, FEATURE, m.TIME_STEP, coalesce(VALUE, 0) AS v, 1.0 / count(*) OVER (PARTITION BY m.PATIENT_ID, FEATURE, m.TIME_STEP) AS w FROM (SELECT *, unnest([0, 1]) AS TIME_STEP FROM manifest WHERE SPLIT = 'train') m CROSS JOIN vocab LEFT JOIN counts c ON c.PATIENT_ID = m.PATIENT_ID AND c.END_DT = m.END_DT AND c.TIME_STEP = m.TIME_STEP AND c.CATEGORY = FEATURE"""
