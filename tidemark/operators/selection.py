@@ -2,11 +2,12 @@
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions.scalar import hash_int
 from tidemark.operators import evaluation as evl
-from tidemark.operators.ordering import attach, ranked
+from tidemark.operators.association import COUNT_SCALE_FLOOR, moments
+from tidemark.operators.ordering import attach, ranked, running_totals
 from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
@@ -102,32 +103,74 @@ def one_standard_error(table: DataFrame) -> DataFrame:
                                         pick("one_smaller", F.col("s")), pick("all_eligible", F.lit("all_eligible"))))).filter("CANDIDATE IS NOT NULL")
 
 
-def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0, iterations: int = 1000):
+def _design(columns: list[int], center: list[float] | None = None, scale: list[float] | None = None) -> Column:
+    """The chosen entries of X as one array, centred and scaled; a single expression however many columns there are."""
+    center, scale = center or [0.0] * len(columns), scale or [1.0] * len(columns)
+    want = F.array(*[F.struct(F.lit(c + 1).alias("i"), F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s")) for c, m, s in zip(columns, center, scale)])
+    return F.transform(want, lambda z: (F.element_at("X", z["i"]) - z["m"]) / z["s"])
+
+
+def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0, iterations: int = 1000, center=None, scale=None):
     data = rows.select(F.col("RESP").cast("double").alias("label"), F.col("WEIGHT").cast("double").alias("w"),
-                       array_to_vector(F.transform(F.array(*[F.lit(c) for c in columns]), lambda i: F.element_at("X", i + 1))).alias("features"))
+                       array_to_vector(_design(columns, center, scale)).alias("features"))
     return LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=mix, maxIter=iterations, tol=1e-6).fit(data)
 
 
-def score_rows(rows: DataFrame, coefficients, columns: list[int], intercept: float) -> DataFrame:
+def score_rows(rows: DataFrame, coefficients, columns: list[int], intercept: float, center=None, scale=None) -> DataFrame:
     """Apply a fitted linear model as one expression."""
-    z = F.lit(float(intercept))
-    for c, i in zip(coefficients, columns):
-        z = z + F.lit(float(c)) * F.element_at("X", i + 1)
+    parts = F.zip_with(_design(columns, center, scale), F.array(*[F.lit(float(c)) for c in coefficients]), lambda x, c: x * c)
+    z = F.aggregate(parts, F.lit(float(intercept)), lambda total, x: total + x)
     return rows.withColumn("SCORE", 1 / (1 + F.exp(-z)))
 
 
-def grouped_cv(rows: DataFrame, folds: int, sizes: list[int], order: list[int], reg: float) -> DataFrame:
-    """AP and top-decile lift per (fold, size): fit on the other folds, score the held-out one.
+def fold_ledger(hist: DataFrame, folds: int) -> DataFrame:
+    """What each training side of a grouped cross-validation says of each feature, from one histogram of the whole.
 
-    rows: KEY, RESP, WEIGHT, FOLD, X (array over the vocabulary); kept for the loop of fits.
+    hist: weights W and counts N per (FEATURE, FOLD, RESP, VALUE). Rows of a fold enter the sums of all other hold-outs, so rows are read
+    once however many folds there are. Per (HOLDOUT, FEATURE): ELIGIBLE (not constant), CENTER and SCALE of the log1p values, AP of the
+    feature ranked upwards and downwards, and RANK by the better of both (eligible first, ties by name).
+    """
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda h: h != F.col("FOLD"))
+    cells = hist.withColumn("HOLDOUT", F.explode(others)).groupBy("HOLDOUT", "FEATURE", "VALUE").agg(
+        F.sum(F.when(F.col("RESP") == 1, F.col("W")).otherwise(0.0)).alias("P"), F.sum(F.when(F.col("RESP") == 0, F.col("W")).otherwise(0.0)).alias("N"))
+    cells = settle(cells)
+    groups = ["HOLDOUT", "FEATURE"]
+    form = moments(cells, groups, F.log1p("VALUE"), F.col("P") + F.col("N")).select(
+        *groups, F.col("MEAN").alias("CENTER"), F.greatest(F.sqrt("VAR"), F.lit(COUNT_SCALE_FLOOR)).alias("SCALE"))
+    whole = cells.groupBy(*groups).agg(F.sum("P").alias("TP"), F.sum("N").alias("TN"), (F.max("VALUE") > F.min("VALUE")).alias("ELIGIBLE"))
+    run = running_totals(cells, [F.col("VALUE").desc()], {"CP": F.col("P"), "CN": F.col("N")}, tuple(groups)).join(whole, groups)
+    part = lambda p, n: F.when(F.col("P") > 0, F.col("P") / F.col("TP") * (p / (p + n))).otherwise(0.0)
+    low_p, low_n = F.col("TP") - F.col("CP") + F.col("P"), F.col("TN") - F.col("CN") + F.col("N")
+    ap = run.groupBy(*groups).agg(F.sum(part(F.col("CP"), F.col("CN"))).alias("AP_UP"), F.sum(part(low_p, low_n)).alias("AP_DOWN"))
+    table = whole.select(*groups, "ELIGIBLE").join(form, groups).join(ap, groups)
+    order = W.partitionBy("HOLDOUT").orderBy(F.desc("ELIGIBLE"), F.round(F.greatest("AP_UP", "AP_DOWN"), 9).desc(), "FEATURE")  # one row per declared feature
+    return table.withColumn("RANK", F.row_number().over(order))
+
+
+def candidate_sizes(eligible: int, sizes: tuple[int, ...]) -> list[int]:
+    """Sizes cut to the eligible features, and all of them."""
+    return sorted({min(k, eligible) for k in sizes} | {eligible})
+
+
+def grouped_cv(rows: DataFrame, ledger: DataFrame, names: list[str], folds: int, sizes: tuple[int, ...], reg: float) -> DataFrame:
+    """AP and top-decile lift per (fold, size): rank, transform and fit on the other folds, score the held-out one.
+
+    rows: KEY, RESP, WEIGHT, FOLD, X (log1p values in the order of names); kept for the loop of fits. Of the ledger, one row per fold and
+    declared feature comes to the driver.
     """
     rows = settle(rows)
+    place = {n: i for i, n in enumerate(names)}
+    by_fold = [[] for _ in range(folds)]
+    for r in ledger.filter("ELIGIBLE").select("HOLDOUT", "RANK", "FEATURE", "CENTER", "SCALE").collect():
+        by_fold[r.HOLDOUT].append((r.RANK, place[r.FEATURE], r.CENTER, r.SCALE))
     scored = None
-    for fold in range(folds):
-        for size in sizes:
-            columns = order[:size]
-            model = _fit(rows.filter(F.col("FOLD") != fold), columns, reg)
-            part = score_rows(rows.filter(F.col("FOLD") == fold), model.coefficients, columns, model.intercept).select(
+    for fold, found in enumerate(by_fold):
+        found.sort()
+        fit_rows, held = rows.filter(F.col("FOLD") != fold), rows.filter(F.col("FOLD") == fold)
+        for size in candidate_sizes(len(found), sizes):
+            _, columns, center, scale = map(list, zip(*found[:size]))
+            model = _fit(fit_rows, columns, reg, center=center, scale=scale)
+            part = score_rows(held, model.coefficients, columns, model.intercept, center, scale).select(
                 *KEY, "RESP", "WEIGHT", "FOLD", F.lit(size).alias("FEATURES"), "SCORE")
             scored = part if scored is None else scored.unionByName(part)
     groups = ("FOLD", "FEATURES")

@@ -299,7 +299,7 @@ FOLD_SQL = """SELECT PATIENT_ID, y AS RESP, (row_number() OVER (PARTITION BY y O
 
 def folds(t):
     people = t.manifest.filter(TRAIN).groupBy("PATIENT_ID").agg(F.max("RESP").alias("RESP"))
-    return sel.stratified_folds(people, 3, "folds")
+    return sel.stratified_folds(people, FOLDS, "folds")
 
 
 @query("j23_grouped_stratified_folds", "PATIENT_ID:s RESP:i FOLD:i", "manifest", FOLD_SQL)
@@ -314,9 +314,32 @@ def cv_rows(t):
     return rows.join(folds(t).select("PATIENT_ID", "FOLD"), "PATIENT_ID").join(x, KEY)
 
 
+FOLDS = 3
+# Feature counts tried by the grouped proxy, and the longest filter, wrapper and embedded lists.
+PROXY_SIZES = (16, 32, 64, 128, 256, 512, 1028)
+FILTER_LIST, WRAPPER_LIST, EMBEDDED_LIST = 100, 50, 100
+
+
+def fold_ledger(t):
+    rows = asc.entity_weights(t.packed.filter(TRAIN)).drop("WEIGHT").withColumnRenamed("ENTITY_SHARE", "WEIGHT")
+    sparse = asc.sparse_rows(rows.join(folds(t).select("PATIENT_ID", "FOLD"), "PATIENT_ID"), VOCABULARY)
+    return sel.fold_ledger(asc.sparse_histogram(sparse, "FOLD", "RESP", weight="WEIGHT"), FOLDS)
+
+
+@query("j24_fold_ranking", "HOLDOUT:i FEATURE:s ELIGIBLE:b CENTER:f SCALE:f AP_UP:f AP_DOWN:f RANK:i", "dense manifest", f"""WITH d AS (SELECT d.*, FOLD, 1.0 / count(*) OVER (PARTITION BY d.PATIENT_ID, FEATURE) AS w, ln(1 + VALUE) AS x FROM dense d JOIN ({FOLD_SQL}) f ON f.PATIENT_ID = d.PATIENT_ID WHERE SPLIT = 'train'),
+  t AS (SELECT HOLDOUT, d.*, sum(w * x) OVER g / sum(w) OVER g AS mean FROM d, (SELECT unnest(range({FOLDS})) AS HOLDOUT) h WHERE FOLD <> HOLDOUT WINDOW g AS (PARTITION BY HOLDOUT, FEATURE)),
+  m AS (SELECT HOLDOUT, FEATURE, max(VALUE) > min(VALUE) AS ELIGIBLE, any_value(mean) AS CENTER, greatest(sqrt(sum(w * (x - mean) ** 2) / sum(w)), 1.0) AS SCALE FROM t GROUP BY 1, 2),
+  c AS (SELECT HOLDOUT, FEATURE, VALUE, sum(w * RESP) AS p, sum(w * (1 - RESP)) AS n FROM t GROUP BY 1, 2, 3),
+  r AS (SELECT *, sum(p) OVER u AS up, sum(n) OVER u AS un, sum(p) OVER l AS lp, sum(n) OVER l AS ln, sum(p) OVER (PARTITION BY HOLDOUT, FEATURE) AS tp FROM c WINDOW u AS (PARTITION BY HOLDOUT, FEATURE ORDER BY VALUE DESC), l AS (PARTITION BY HOLDOUT, FEATURE ORDER BY VALUE)),
+  a AS (SELECT HOLDOUT, FEATURE, sum(p / tp * up / (up + un)) AS AP_UP, sum(p / tp * lp / (lp + ln)) AS AP_DOWN FROM r GROUP BY 1, 2)
+  SELECT m.*, AP_UP, AP_DOWN, row_number() OVER (PARTITION BY m.HOLDOUT ORDER BY ELIGIBLE DESC, round(greatest(AP_UP, AP_DOWN), 9) DESC, m.FEATURE) AS RANK FROM m JOIN a ON a.HOLDOUT = m.HOLDOUT AND a.FEATURE = m.FEATURE""")
+def j24b(t):
+    return fold_ledger(t)
+
+
 @query("j24_grouped_cv_proxy", "FOLD:i FEATURES:i AP:f LIFT:f")
 def j24(t):
-    return sel.grouped_cv(cv_rows(t), 3, [4, 12], list(range(len(VOCABULARY))), 0.1)
+    return sel.grouped_cv(cv_rows(t), settle(fold_ledger(t)), list(VOCABULARY), FOLDS, PROXY_SIZES, 0.1)
 
 
 _CV = """SELECT MODEL AS CANDIDATE, CASE MODEL WHEN 'alpha' THEN 30 WHEN 'beta' THEN 20 ELSE 10 END AS FEATURES, avg(b) AS MEAN_AP, stddev_samp(b) / sqrt(count(*)) AS SE_AP FROM (SELECT MODEL, CAST('0x' || substr(sha256('fold|' || PATIENT_ID), 1, 15) AS BIGINT) % 5 AS f, avg(1 - (SCORE - RESP) * (SCORE - RESP)) AS b FROM model_scores GROUP BY 1, 2) GROUP BY 1, 2"""
@@ -335,7 +358,11 @@ def j25(t):
 
 @query("j26_recursive_elimination", "FEATURE:s RFE_RANK:i SELECTED:b")
 def j26(t):
-    ranks = sel.eliminate(cv_rows(t), list(range(len(VOCABULARY))), 8, 0.1)
+    return eliminated(t, 8)
+
+
+def eliminated(t, keep):
+    ranks = sel.eliminate(cv_rows(t), list(range(len(VOCABULARY))), keep, 0.1)
     return t.rows([(VOCABULARY[c], r) for c, r in ranks], "FEATURE string, RFE_RANK int").withColumn("SELECTED", F.col("RFE_RANK") == 1)
 
 
@@ -353,9 +380,9 @@ def j27(t):
 
 @query("j28_strategy_report", "FEATURE:s STRATEGIES:i FILTER:b WRAPPER:b EMBEDDED:b")
 def j28(t):
-    chosen = (j16(t).filter("STATE = 'kept' AND RANK <= 10").select("FEATURE", F.lit("filter").alias("s"))
-              .unionByName(j26(t).filter("SELECTED").select("FEATURE", F.lit("wrapper").alias("s")))
-              .unionByName(embedded(t).orderBy("MEAN_RANK", "FEATURE").limit(10).select("FEATURE", F.lit("embedded").alias("s"))))
+    chosen = (j16(t).filter("STATE = 'kept'").orderBy("RANK").limit(FILTER_LIST).select("FEATURE", F.lit("filter").alias("s"))
+              .unionByName(eliminated(t, WRAPPER_LIST).filter("SELECTED").select("FEATURE", F.lit("wrapper").alias("s")))
+              .unionByName(embedded(t).orderBy("MEAN_RANK", "FEATURE").limit(EMBEDDED_LIST).select("FEATURE", F.lit("embedded").alias("s"))))
     has = lambda n: F.bool_or(F.col("s") == n).alias(n.upper())
     return chosen.groupBy("FEATURE").agg(F.count("*").alias("STRATEGIES"), has("filter"), has("wrapper"), has("embedded"))
 

@@ -141,7 +141,7 @@ def l10(t):
     return frozen.unionByName(train.select(*KEY, "SPLIT", F.coalesce("o", F.lit("added")).alias("ORIGIN")))
 
 
-@query("l11_inner_split", "PATIENT_ID:s ATTEMPT:i SIDE:s", "manifest", f"""WITH x AS (SELECT PATIENT_ID, RESP, a AS ATTEMPT, CASE WHEN {H(repr('inner'), 'CAST(a AS VARCHAR)', 'PATIENT_ID')} % 100 < 20 THEN 'inner_validation' ELSE 'inner_train' END AS SIDE FROM ({_TSTRATA}), (SELECT unnest(range(100)) AS a))
+@query("l11_inner_split", "PATIENT_ID:s ATTEMPT:i SIDE:s", "manifest", f"""WITH x AS (SELECT PATIENT_ID, RESP, a AS ATTEMPT, CASE WHEN row_number() OVER (PARTITION BY a ORDER BY {H(repr('inner'), 'CAST(a AS VARCHAR)', 'PATIENT_ID')}, PATIENT_ID) <= ceil(count(*) OVER (PARTITION BY a) * 20 / 100.0) THEN 'inner_validation' ELSE 'inner_train' END AS SIDE FROM ({_TSTRATA}), (SELECT unnest(range(100)) AS a))
   SELECT PATIENT_ID, ATTEMPT, SIDE FROM x WHERE ATTEMPT = (SELECT min(ATTEMPT) FROM (SELECT ATTEMPT FROM (SELECT ATTEMPT, SIDE, min(RESP) < max(RESP) AS ok FROM x GROUP BY 1, 2) WHERE ok GROUP BY 1 HAVING count(*) = 2))""")
 def l11(t):
     return rs.inner_split(strata(t.manifest.filter(TRAIN)), 20, "inner")
