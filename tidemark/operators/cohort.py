@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.scalar import total
 from tidemark.operators.events import with_followup
 from tidemark.operators.ordering import attach
+from tidemark.operators.lineage import relation_hash
 
 KEY = ["PATIENT_ID", "END_DT"]
 
@@ -59,11 +60,16 @@ def audit(decisions: DataFrame) -> DataFrame:
 
 
 def population_diff(new: DataFrame, prior: DataFrame, split: DataFrame) -> DataFrame:
-    """Added, removed, label-changed and unchanged keys per split."""
+    """Added, removed, label-changed and unchanged keys per split, with an order-free hash of the keys and both labels of each group.
+
+    A frozen audit names the hash of the removed keys and of the changed labels; another set of the same size does not pass.
+    """
     j = new.select(*KEY, F.col("RESP").alias("a")).join(prior.select(*KEY, F.col("RESP").alias("b")), KEY, "full")
     change = (F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed")
               .when(F.col("a") != F.col("b"), "label_changed").otherwise("unchanged"))
-    return j.withColumn("CHANGE", change).join(split, "PATIENT_ID", "left").groupBy("SPLIT", "CHANGE").agg(F.count("*").alias("ROWS"))
+    rows = j.withColumn("CHANGE", change).join(split, "PATIENT_ID", "left")
+    text = [F.col(c).cast("string").alias(c) for c in (*KEY, "b", "a")]
+    return relation_hash(rows.select("SPLIT", "CHANGE", *text), "SPLIT", "CHANGE")
 
 
 def removal_reasons(prior: DataFrame, candidate: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -40,6 +40,25 @@ def assemble(rows: DataFrame, step: str, values: list[str], n: int) -> DataFrame
     return out.withColumn("COMPLETE", F.transform("SEQUENCE", lambda x: x[step]) == F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def assemble_vectors(snapshots: DataFrame, counts: DataFrame, names: list[str], n: int = 12) -> DataFrame:
+    """One sparse feature vector per step and snapshot: SEQUENCE of (TIME_STEP, INDICES, VALUES), steps without activity empty.
+
+    Indices are places in `names`. A snapshot gathers its active cells only, at most n times the vocabulary; nothing is padded before
+    the shuffle. COMPLETE when no cell lies outside the n steps.
+    """
+    index = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("CATEGORY")) - 1
+    cells = counts.filter(F.col("CATEGORY").isin(*names)).groupBy(*KEY, "TIME_STEP", index.cast("int").alias("i")).agg(F.sum("VALUE").alias("v"))
+    own = cells.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("TIME_STEP", "i", "v"))).alias("CELLS"))
+    kept = F.coalesce("CELLS", F.array().cast(own.schema["CELLS"].dataType))
+
+    def step(s):
+        at = F.filter("CELLS", lambda c: c["TIME_STEP"] == s)
+        return F.struct(s.alias("TIME_STEP"), F.transform(at, lambda c: c["i"]).alias("INDICES"), F.transform(at, lambda c: c["v"]).alias("VALUES"))
+    out = snapshots.select(*KEY).join(own, KEY, "left").withColumn("CELLS", kept)
+    inside = F.forall("CELLS", lambda c: c["TIME_STEP"].between(0, n - 1))
+    return out.select(*KEY, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), step).alias("SEQUENCE"), inside.alias("COMPLETE"))
+
+
 def asof_grid(snapshots: DataFrame, policy: str, n: int = 12) -> DataFrame:
     """(snapshot, step, AS_OF_DATE)."""
     return spine(snapshots.select(*KEY), n).withColumn("AS_OF_DATE", asof_date(F.col("END_DT"), F.col("TIME_STEP"), policy))

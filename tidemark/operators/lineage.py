@@ -13,11 +13,11 @@ def _field(name: str, kind: str) -> Column:
     return F.coalesce(F.concat(F.lit("v"), F.char_length(text).cast("string"), F.lit(":"), text), F.lit("n;"))
 
 
-def relation_hash(df: DataFrame) -> DataFrame:
-    """Row count and order-free hash: two sums over parts of a SHA-256 per row, so repeated rows do not cancel."""
+def relation_hash(df: DataFrame, *by: str) -> DataFrame:
+    """Row count and order-free hash, per group where named: two sums over parts of a SHA-256 per row, so repeated rows do not cancel."""
     row = F.sha2(F.concat(F.lit(""), *[_field(name, kind) for name, kind in df.dtypes]), 256)
     parts = [F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
-    return df.agg(F.count("*").alias("ROWS"), F.concat_ws("-", *parts).alias("HASH"))
+    return df.groupBy(*by).agg(F.count("*").alias("ROWS"), F.concat_ws("-", *parts).alias("HASH"))
 
 
 def digest(df: DataFrame, line: Column) -> DataFrame:

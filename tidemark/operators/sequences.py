@@ -1,5 +1,7 @@
 """Operators over monthly sequences: masks, blocks, timing, descriptors, history checks and tokens."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 KEY = ["PATIENT_ID", "END_DT"]
@@ -151,3 +153,48 @@ def overlap_agreement(pairs: DataFrame, counts: DataFrame, features: int, n: int
     enough = (F.col("INFORMATIVE_PAIRS") >= min_pairs) & (F.col("VARYING") >= min_varying)
     status = F.when(~enough, "INCONCLUSIVE").when(ratio >= threshold, "CORROBORATED").otherwise("CONTRADICTED")
     return t.select(*t.columns, ratio.alias("AGREEMENT"), status.alias("STATUS"))
+
+
+#: Category vectors up to this many numbers travel to the tasks; a larger dictionary is joined instead.
+VECTOR_NUMBERS = 4_000_000
+
+
+def semantic_windows(counts: DataFrame, dictionary: DataFrame, recent: int = 2) -> DataFrame:
+    """Per snapshot and window (RECENT: steps 0..recent, or older): LOG_SUM of the counts and their weighted mean vector M.
+
+    dictionary: CATEGORY, E (one length). Only (category number, count) pairs are shuffled; the vectors meet them after it, as one matrix
+    product per batch. A dictionary over VECTOR_NUMBERS is joined by category and then summed vector by vector.
+    """
+    window = (F.col("TIME_STEP") <= recent).alias("RECENT")
+    table = dictionary.select("CATEGORY", "E")
+    size = table.agg(F.count("*").alias("n"), F.max(F.size("E")).alias("d")).first()
+    if not size.n:
+        raise ValueError("the dictionary holds no vector")
+    if size.n * size.d > VECTOR_NUMBERS:
+        w = counts.groupBy(*KEY, window, "CATEGORY").agg(F.sum("VALUE").alias("n")).join(table, "CATEGORY")
+        cells = w.select(*KEY, "RECENT", "n", F.posexplode("E").alias("k", "e")).groupBy(*KEY, "RECENT", "k").agg(
+            F.sum(F.col("n") * F.col("e")).alias("x"), F.sum("n").alias("s"))
+        g = cells.groupBy(*KEY, "RECENT").agg(F.max("s").alias("s"), F.array_sort(F.collect_list(F.struct("k", "x"))).alias("r"))
+        return g.select(*KEY, "RECENT", F.log1p("s").alias("LOG_SUM"), F.transform("r", lambda c: c["x"] / F.col("s")).alias("M"))
+    rows = table.orderBy("CATEGORY").collect()  # bounded by VECTOR_NUMBERS
+    numbers = counts.sparkSession.createDataFrame([(r.CATEGORY, i) for i, r in enumerate(rows)], "CATEGORY string, i int")
+    shipped = counts.sparkSession.sparkContext.broadcast(np.array([r.E for r in rows], float))
+    pairs = counts.join(F.broadcast(numbers), "CATEGORY").groupBy(*KEY, window).agg(
+        F.collect_list("i").alias("i"), F.collect_list("VALUE").alias("v"), F.sum("VALUE").alias("s"))
+
+    def mean(batches):
+        vectors = shipped.value
+        for batch in batches:
+            parts = []
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                own, v = part.column("i"), part.column("v")
+                x = np.zeros((part.num_rows, len(vectors)))
+                where = np.repeat(np.arange(part.num_rows), np.diff(own.offsets.to_numpy()))
+                np.add.at(x, (where, own.flatten().to_numpy()), v.flatten().to_numpy().astype(float))
+                parts.append((x @ vectors) / x.sum(axis=1, keepdims=True))
+            m = np.concatenate(parts) if parts else np.zeros((0, vectors.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEY, "RECENT", "s")), pa.array(list(m), pa.list_(pa.float64()))],
+                                             names=[*KEY, "RECENT", "s", "M"])
+    done = pairs.mapInArrow(mean, "PATIENT_ID string, END_DT date, RECENT boolean, s long, M array<double>")
+    return done.select(*KEY, "RECENT", F.log1p("s").alias("LOG_SUM"), "M")

@@ -6,7 +6,8 @@ from tidemark.functions.calendar import recent_window
 from tidemark.functions.scalar import birth_year, total
 from tidemark.operators import association as asc, cohort as co, evaluation as evl, events as ev, features as ft
 from tidemark.operators.ordering import attach
-from tidemark.plans.registry import query
+from tidemark.operators.lineage import relation_hash
+from tidemark.plans.registry import hash_sql, query, row_sql
 from tidemark.plans.relations import VOCABULARY, sql_list
 from tidemark.session import settle
 
@@ -90,10 +91,12 @@ def d09(t):
     return once.groupBy("CODE").agg(F.min("d").alias("DESCRIPTION"), F.count("*").alias("VARIANTS"))
 
 
-@query("d10_mapping_audit", "FAMILY:s PAIRS:i CODES:i CATEGORIES:i", "code_map",
-       "SELECT FAMILY, count(*) AS PAIRS, count(DISTINCT CODE) AS CODES, count(DISTINCT CATEGORY) AS CATEGORIES FROM code_map GROUP BY 1")
+@query("d10_mapping_audit", "FAMILY:s PAIRS:i CODES:i CATEGORIES:i HASH:s", "code_map",
+       f"SELECT FAMILY, count(*) AS PAIRS, count(DISTINCT CODE) AS CODES, count(DISTINCT CATEGORY) AS CATEGORIES, {hash_sql('h')} AS HASH FROM (SELECT *, {row_sql('FAMILY', 'CODE', 'CATEGORY')} AS h FROM code_map) GROUP BY 1")
 def d10(t):
-    return t.code_map.groupBy("FAMILY").agg(F.count("*").alias("PAIRS"), F.count_distinct("CODE").alias("CODES"), F.count_distinct("CATEGORY").alias("CATEGORIES"))
+    rows = t.code_map.select("FAMILY", "CODE", "CATEGORY")
+    sizes = rows.groupBy("FAMILY").agg(F.count_distinct("CODE").alias("CODES"), F.count_distinct("CATEGORY").alias("CATEGORIES"))
+    return relation_hash(rows, "FAMILY").withColumnRenamed("ROWS", "PAIRS").join(sizes, "FAMILY")
 
 
 @query("d11_reviewed_event_counts", "event_type:s EVENTS:i NULL_IDS:i", "", """SELECT event_type, count(DISTINCT CASE WHEN event_id % 13 <> 0 THEN event_id // 2 END) AS EVENTS,
@@ -262,12 +265,14 @@ def d26(t):
     return train_support(t.counts.withColumnRenamed("CATEGORY", "FEATURE"), t.manifest.filter("SPLIT = 'train'"))
 
 
-@query("d27_sequence_assembly", "PATIENT_ID:s END_DT:d SEQ:s STEPS:i COMPLETE:b", "snapshots counts", """SELECT s.PATIENT_ID, s.END_DT, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY i) AS SEQ, count(*) AS STEPS, TRUE AS COMPLETE
-  FROM (SELECT PATIENT_ID, END_DT, unnest(range(12)) AS i FROM snapshots) s LEFT JOIN (SELECT PATIENT_ID, END_DT, TIME_STEP, sum(VALUE) AS n FROM counts GROUP BY 1, 2, 3) c
+@query("d27_sequence_assembly", "PATIENT_ID:s END_DT:d SEQ:s STEPS:i COMPLETE:b", "snapshots counts vocab", f"""SELECT s.PATIENT_ID, s.END_DT, string_agg(coalesce(v, ''), '|' ORDER BY i) AS SEQ, count(*) AS STEPS, TRUE AS COMPLETE
+  FROM (SELECT PATIENT_ID, END_DT, unnest(range(12)) AS i FROM snapshots) s LEFT JOIN (SELECT PATIENT_ID, END_DT, TIME_STEP, string_agg(ix || ':' || n, ' ' ORDER BY ix) AS v FROM (
+    SELECT PATIENT_ID, END_DT, TIME_STEP, list_position({sql_list(VOCABULARY)}, CATEGORY) - 1 AS ix, CAST(sum(VALUE) AS BIGINT) AS n FROM counts WHERE CATEGORY IN (SELECT FEATURE FROM vocab) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) c
   ON c.PATIENT_ID = s.PATIENT_ID AND c.END_DT = s.END_DT AND c.TIME_STEP = i GROUP BY 1, 2""")
 def d27(t):
-    seq = ft.assemble(ft.filled_spine(t.snapshots, t.counts), "TIME_STEP", ["VALUE"], 12)
-    text = F.array_join(F.transform("SEQUENCE", lambda x: x["V"][0].cast("string")), ",")
+    seq = ft.assemble_vectors(t.snapshots, t.counts, list(VOCABULARY))
+    pair = lambda i, v: F.concat_ws(":", i.cast("string"), v.cast("string"))
+    text = F.array_join(F.transform("SEQUENCE", lambda x: F.array_join(F.zip_with(x["INDICES"], x["VALUES"], pair), " ")), "|")
     return seq.select(*KEY, text.alias("SEQ"), F.size("SEQUENCE").alias("STEPS"), "COMPLETE")
 
 

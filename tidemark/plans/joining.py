@@ -8,7 +8,7 @@ from tidemark.operators import cohort as co, contracts as ct, events as ev, eval
 from tidemark.operators.ordering import attach
 from tidemark.plans.aggregates import COVER_SQL, DECISION_SQL, covered, decisions
 from tidemark.plans.ranking import TEST, keys
-from tidemark.plans.registry import query
+from tidemark.plans.registry import hash_sql, query, row_sql
 
 KEY = ["PATIENT_ID", "END_DT"]
 _STEP = "(year(s.END_DT) - year({d})) * 12 + month(s.END_DT) - month({d})"
@@ -114,8 +114,9 @@ def c14(t):
     return j.groupBy(status.alias("STATUS")).agg(F.count("*").alias("SNAPSHOTS"))
 
 
-@query("c15_population_diff", "SPLIT:s CHANGE:s ROWS:i", "snapshots manifest", f"""SELECT SPLIT, CHANGE, count(*) AS ROWS FROM (SELECT coalesce(a.PATIENT_ID, b.PATIENT_ID) AS PATIENT_ID, CASE WHEN b.PATIENT_ID IS NULL THEN 'added' WHEN a.PATIENT_ID IS NULL THEN 'removed'
-  WHEN a.RESP <> b.RESP THEN 'label_changed' ELSE 'unchanged' END AS CHANGE FROM snapshots a FULL JOIN ({_PRIOR}) b ON a.PATIENT_ID = b.PATIENT_ID AND a.END_DT = b.END_DT) LEFT JOIN (SELECT DISTINCT PATIENT_ID, SPLIT FROM manifest) USING (PATIENT_ID) GROUP BY 1, 2""")
+@query("c15_population_diff", "SPLIT:s CHANGE:s ROWS:i HASH:s", "snapshots manifest", f"""SELECT SPLIT, CHANGE, count(*) AS ROWS, {hash_sql('h')} AS HASH FROM (SELECT SPLIT, CHANGE, {row_sql('SPLIT', 'CHANGE', 'PATIENT_ID', 'D', 'B', 'A')} AS h FROM (
+  SELECT coalesce(a.PATIENT_ID, b.PATIENT_ID) AS PATIENT_ID, CAST(coalesce(a.END_DT, b.END_DT) AS VARCHAR) AS D, CAST(b.RESP AS VARCHAR) AS B, CAST(a.RESP AS VARCHAR) AS A, CASE WHEN b.PATIENT_ID IS NULL THEN 'added' WHEN a.PATIENT_ID IS NULL THEN 'removed'
+  WHEN a.RESP <> b.RESP THEN 'label_changed' ELSE 'unchanged' END AS CHANGE FROM snapshots a FULL JOIN ({_PRIOR}) b ON a.PATIENT_ID = b.PATIENT_ID AND a.END_DT = b.END_DT) LEFT JOIN (SELECT DISTINCT PATIENT_ID, SPLIT FROM manifest) USING (PATIENT_ID)) GROUP BY 1, 2""")
 def c15(t):
     return co.population_diff(t.snapshots, prior(t), t.manifest.select("PATIENT_ID", "SPLIT").distinct())
 

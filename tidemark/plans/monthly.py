@@ -217,14 +217,7 @@ def i18(t):
 def i19(t):
     names = ft.feature_map(t.code_map.select(F.col("CATEGORY").alias("FEATURE_NAME")).distinct())
     vec = names.join(t.embeddings, F.col("vec_id") == F.col("FEATURE_INDEX")).select(F.col("FEATURE_NAME").alias("CATEGORY"), F.col("embedding").cast("array<double>").alias("E"))
-    w = t.counts.groupBy(*KEY, (F.col("TIME_STEP") <= 2).alias("RECENT"), "CATEGORY").agg(F.sum("VALUE").alias("n"))
-    # At most one row per category of the dictionary is gathered per snapshot window; the vectors are then averaged in place.
-    g = w.join(vec, "CATEGORY").groupBy(*KEY, "RECENT").agg(F.sum("n").alias("s"), F.collect_list(F.struct("n", "E")).alias("r"))
-    dims = F.size(F.element_at("r", 1)["E"])
-    zero = F.array_repeat(F.lit(0.0), dims)
-    total = F.aggregate("r", zero, lambda acc, x: F.zip_with(acc, x["E"], lambda a, e: a + e * x["n"]))
-    mean = F.transform(total, lambda v: v / F.col("s"))
-    m = g.select(*KEY, "RECENT", F.log1p("s").alias("LOG_SUM"), mean.alias("M"))
+    m = sq.semantic_windows(t.counts, vec)
     add = lambda f: F.aggregate("M", F.lit(0.0), lambda a, v: a + f(v))
     return m.select(*KEY, "RECENT", "LOG_SUM", F.sqrt(add(lambda v: v * v)).alias("NORM"), add(lambda v: v).alias("TOTAL"))
 

@@ -4,23 +4,15 @@ from pyspark.sql import Window as W, functions as F
 
 from tidemark.operators import evaluation as evl, lineage as ln
 from tidemark.plans.ranking import _AP, _WCURVE, keys, top_sql
-from tidemark.plans.registry import query
+from tidemark.plans.registry import hash_sql, query, row_sql
 
 KEY = ["PATIENT_ID", "END_DT"]
 
 
-_ROW = " || ".join(f"coalesce('v' || length({c}) || ':' || {c}, 'n;')" for c in ("FAMILY", "CODE", "CATEGORY"))
-_PART = "CAST(sum(CAST('0x' || substr(h, {0}, 15) AS BIGINT)) AS VARCHAR)"
-
-
-@query("n01_relation_hash", "FAMILY:s ROWS:i HASH:s", "code_map", f"""SELECT FAMILY, count(*) AS ROWS, {_PART.format(1)} || '-' || {_PART.format(16)} AS HASH
-  FROM (SELECT FAMILY, sha256({_ROW}) AS h FROM code_map) GROUP BY 1""")
+@query("n01_relation_hash", "FAMILY:s ROWS:i HASH:s", "code_map", f"""SELECT FAMILY, count(*) AS ROWS, {hash_sql('h')} AS HASH
+  FROM (SELECT FAMILY, {row_sql('FAMILY', 'CODE', 'CATEGORY')} AS h FROM code_map) GROUP BY 1""")
 def n01(t):
-    parts = None
-    for name in ("RX", "PX", "DX"):
-        one = ln.relation_hash(t.code_map.select("FAMILY", "CODE", "CATEGORY").filter(F.col("FAMILY") == name)).withColumn("FAMILY", F.lit(name))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    return ln.relation_hash(t.code_map.select("FAMILY", "CODE", "CATEGORY"), "FAMILY")
 
 
 _DIGEST = """SELECT sum(n) AS ROWS, sha256(string_agg(h, chr(10) ORDER BY c)) AS DIGEST FROM (SELECT substr(b, 1, 3) AS c, sha256(string_agg(h, chr(10) ORDER BY b)) AS h, sum(n) AS n FROM (

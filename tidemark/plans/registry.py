@@ -46,3 +46,13 @@ def query(name: str, columns: str, needs: str = "", sql: str | None = None):
         CATALOG[name] = Spec(name, tuple(tuple(c.split(":")) for c in columns.split()), plan, sql, needs)
         return plan
     return keep
+
+
+def row_sql(*columns: str) -> str:
+    """SQL of a row's SHA-256 over text columns with lengths, nulls keeping their place."""
+    return "sha256(" + " || ".join(f"coalesce('v' || length({c}) || ':' || {c}, 'n;')" for c in columns) + ")"
+
+
+def hash_sql(row: str) -> str:
+    """SQL of the order-free hash of rows: two sums over parts of each row's SHA-256."""
+    return " || '-' || ".join(f"CAST(sum(CAST('0x' || substr({row}, {at}, 15) AS BIGINT)) AS VARCHAR)" for at in (1, 16))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import hash_int
 from tidemark.operators import evaluation as evl
 from tidemark.plans.registry import query
 from tidemark.sources import sinks, tables
@@ -100,12 +99,19 @@ def a13(t):
     return tables.budget_report(t.lineitem.select("l_orderkey"), 5000)
 
 
-@query("a14_resumable_extraction", "PATIENT_ID:s END_DT:d FILLS:i LAST_FILL:d", "snapshots rx", _KEYED)
+_BATCHES = 4
+
+
+@query("a14_resumable_extraction", "PATIENT_ID:s END_DT:d FILLS:i LAST_FILL:d BATCH:i RUN:s", "snapshots rx", f"""SELECT *, CASE WHEN BATCH < 2 THEN 'first' ELSE 'second' END AS RUN FROM (
+  SELECT *, CAST('0x' || substr(sha256(PATIENT_ID || '|' || CAST(END_DT AS VARCHAR)), 1, 15) AS BIGINT) % {_BATCHES} AS BATCH FROM ({_KEYED}))""")
 def a14(t):
     keys = t.snapshots.select("PATIENT_ID", "END_DT")
+    store = resume.BatchStore(t.spark, sinks.scratch_path(t.spark, "fills"), "PATIENT_ID string, END_DT date, FILLS long, LAST_FILL date",
+                              ["PATIENT_ID", "END_DT"], _BATCHES, "fills of twelve months")
     extract = keyed_fills(t)
-    store = extract(keys.filter(F.pmod(hash_int(F.col("PATIENT_ID")), F.lit(3)) == 0))
-    return resume.complete(keys, store, extract, ["PATIENT_ID", "END_DT"])
+    store.run(keys, extract, "first", most=2)  # as far as a run came that was cut short
+    store.run(keys, extract, "second")
+    return store.read().withColumnsRenamed({"batch": "BATCH", "run": "RUN"})
 
 
 @query("a15_complete_entities", "PATIENT_ID:s END_DT:d", "snapshots", """SELECT PATIENT_ID, END_DT FROM snapshots WHERE PATIENT_ID NOT IN
