@@ -44,12 +44,14 @@ def words(text):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_matches_sql(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in want.description]
-    got = queries.QUERIES[name](spark, FOLDER).select(columns).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want.fetchall()), key=str)
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
+    got = queries.QUERIES[name](spark, FOLDER)
+    assert dict(got.dtypes) == {c[0]: kinds[str(c[1])] for c in want.description}  # the whole schema, not the SQL's part of it
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.fetchall()), key=str)
 
 
 def test_exact_dedup_edges(edges, empty):
@@ -237,7 +239,20 @@ def test_jaccard_edges(edges, empty):
     assert got[(0, 0)] == 0 and got[(2, 0)] == 2 and got[(4, 1)] == got[(5, 1)] == 4
     assert got[(8, 56)] == got[(7, 58)] == got[(6, 56)] == got[(None, 56)] == 6 and got[(10, 19_997)] == 9
     assert ngram_join.jaccard_join(empty).collect() == []
-    assert len(ngram_join.keep_one(edges).collect()) == len([r for r in ngram_join.jaccard_join(edges).collect() if r.doc_id is None or r.doc_id == r.component_id])
+    kept = ngram_join.keep_one(edges)
+    assert kept.columns == edges.columns
+    # One row of each group stays: the one of smallest id, one of repeated rows; texts without words and unlike texts under a used id stay.
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "a b c"), (6, SHARED), (9, LONG),
+        (11, EDGES[11][1]), (6, "other text under a used id")], key=str)
+    assert ngram_join.keep_one(empty).collect() == []
+
+
+def test_keep_one_goes_by_row(spark):
+    like, unlike = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, like, "x"), (1, like, "y"), (2, like, "z"), (2, unlike, "z"), (None, unlike + " more", "n"), (None, None, "n"), (None, None, "n")],
+                                 "doc_id long, text string, component string")
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, like), (2, unlike), (None, None), (None, None)], key=str)
 
 
 def test_jaccard_chain_of_near_copies(spark):

@@ -11,11 +11,19 @@ c AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS k FROM b),
 d AS (SELECT doc_id, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END AS a, ends[k] AS z, lines FROM c),
 e AS (SELECT doc_id, a, z, array_to_string(lines[a:z], chr(10)) AS body FROM d WHERE z > a),
 f AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, a) AS n FROM e),
-g AS (SELECT doc_id, flatten(list(range(a, z + 1))) AS gone FROM f WHERE n > 1 GROUP BY doc_id)
-SELECT b.doc_id, len(lines)::BIGINT AS n_lines, len(ends)::BIGINT AS n_chunks, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)),
-  lambda i: lines[i]), chr(10))) AS kept_sha256
-FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+g AS (SELECT doc_id, flatten(list(range(a, z + 1))) AS gone FROM f WHERE n > 1 GROUP BY doc_id),
+p AS (SELECT doc_id, i, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i
+  FROM (SELECT doc_id, i, lines[i] || chr(10) || lines[i + 1] AS body FROM (SELECT doc_id, lines, unnest(range(1, len(lines))) AS i FROM l))
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS FIRST, i)),
+r AS (SELECT doc_id, list_distinct(flatten(list([i, i + 1]))) AS gone FROM p
+  WHERE first_doc IS DISTINCT FROM doc_id OR first_i + 2 <= i GROUP BY doc_id)
+SELECT b.doc_id, len(lines)::BIGINT AS n_lines, len(ends)::BIGINT AS n_chunks, coalesce(len(g.gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(g.gone, []), i)),
+  lambda i: lines[i]), chr(10))) AS kept_sha256,
+  coalesce(len(r.gone), 0)::BIGINT AS n_repeated,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(r.gone, []), i)),
+  lambda i: lines[i]), chr(10))) AS unrepeated_sha256
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id LEFT JOIN r ON b.doc_id = r.doc_id
 """
 
 SUBSTRINGS = rf"""
