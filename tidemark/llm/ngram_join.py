@@ -1,7 +1,8 @@
 """N-gram Jaccard join: sets of word n-grams, prefix filtering in a rare-first order, each pair verified once.
 
-1. N-grams are counted over all documents in a table of fixed size (hash buckets). The order of n-grams is by bucket count, then
-   hash: rare first up to bucket collisions, and the same total order everywhere, which is all the prefix filter needs.
+1. N-grams are counted over all documents in a table of fixed size (hash buckets; 16 MB, whatever the input), which tasks fill and
+   which are added in blocks, near ones first. The order of n-grams is by bucket count, then hash: rare first up to bucket
+   collisions, and the same total order everywhere, which is all the prefix filter needs.
 2. Every document becomes its set size, a 128-bit set key, its prefix and the counts of its set in 64 hash ranges. Equal sets are
    one class from here on and only one row of a class goes on.
 3. Prefix n-grams are grouped by hash. One that two classes hold gives a pair. One that more hold is compared in a star with its
@@ -16,9 +17,11 @@ Sides that grow with the corpus meet in merge joins at every size.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -28,7 +31,11 @@ from tidemark.llm import wordhash
 from tidemark.llm.common import Scratch, keep
 
 WORDS, PERCENT = 5, 75
-SKETCH = 1 << 16
+SKETCH_BITS = 22
+SKETCH = 1 << SKETCH_BITS
+#: Counts travel and are added in blocks of this many; partial tables of this many tasks first.
+SKETCH_BLOCK = 1 << 16
+SKETCH_TREE = 64
 RANGES = 64
 _TABLE = wordhash.separators()
 _U = np.uint64
@@ -53,18 +60,44 @@ def sets_of(column: pa.Array, begin: int, end: int, width: int) -> tuple[np.ndar
     return row[new], hashes[new]
 
 
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for a, b in wordhash.slices(batch.column(0)):
-                counts += np.bincount((sets_of(batch.column(0), a, b, width)[1] >> _U(48)).astype(np.int64), minlength=SKETCH)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["bucket", "count"])
+                seen, times = np.unique(_buckets(sets_of(batch.column(0), a, b, width)[1]), return_counts=True)
+                counts[seen] += times.astype(np.uint32)
+        blocks = counts.reshape(-1, SKETCH_BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), TaskContext.get().partitionId() // SKETCH_TREE)),
+                                          pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], names=["block", "part", "counts"])
 
     return run
 
 
+def _add_counts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SKETCH_BLOCK, np.uint32)
+    for packed in rows["counts"]:
+        part = np.frombuffer(zlib.decompress(packed), np.uint32)
+        total = np.where(total > ~part, np.uint32(2**32 - 1), total + part)  # a full counter stays full: only the order hangs on it
+    return pd.DataFrame({"block": [key[0]], "part": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def gram_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """The table of bucket counts; SKETCH numbers come to the driver."""
+    shape = "block long, part long, counts binary"
+    parts = texts.select("text").mapInArrow(_sketch(width), shape)
+    near = parts.groupBy("block", "part").applyInPandas(_add_counts, shape)
+    counts = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint32)
+    for block, _, packed in near.groupBy("block").applyInPandas(_add_counts, shape).collect():
+        counts[block] = np.frombuffer(zlib.decompress(packed), np.uint32)
+    return counts.ravel()
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
@@ -84,7 +117,7 @@ def _sets(sketch, width: int, percent: int):
                     key_a[full] = np.add.reduceat(wordhash.mix(hashes), begins[full])
                     key_b[full] = np.add.reduceat(wordhash.mix(hashes ^ _U(0x9E3779B97F4A7C15)), begins[full])
                 ranges = np.bincount(row * RANGES + (hashes >> _U(42)).astype(np.int64) % RANGES, minlength=(b - a) * RANGES)
-                order = np.argsort((row << 40) + np.minimum(counts[(hashes >> _U(48)).astype(np.int64)], (1 << 40) - 1), kind="stable")
+                order = np.argsort((row << 40) + counts[_buckets(hashes)].astype(np.int64), kind="stable")
                 place = np.arange(len(row)) - begins[row]
                 take = np.where(n > 0, prefix_length(n, percent), 0)
                 prefix = hashes[order][place < take[row]]
@@ -162,14 +195,9 @@ class Join:
         self.scratch = Scratch(self.spark, "join")
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
                                  F.coalesce("text", F.lit("")).cast("string").alias("text"))
-        counted = (self.texts.select("text").mapInArrow(_sketch(width), "bucket long, count long")
-                   .groupBy("bucket").agg(F.sum("count").alias("count")).collect())  # at most SKETCH rows
-        sketch = np.zeros(SKETCH, np.int64)
-        for bucket, count in counted:
-            sketch[bucket] = count
-        shared = self.spark.sparkContext.broadcast(sketch)
+        shared = self.spark.sparkContext.broadcast(gram_counts(self.texts, width))
         wide = self.scratch.keep(self.texts.mapInArrow(_sets(shared, width, percent), _SETS), "wide")
-        self.sets = self.scratch.keep(wide.select("row_key", "doc_id", "n", "key_a", "key_b"), "sets")
+        self.sets = self.scratch.keep(wide.select("row_key", "doc_id", "text_key", "n", "key_a", "key_b"), "sets")
         self.classes = self.scratch.keep(self.sets.where("n > 0").groupBy("key_a", "key_b", "n").agg(
             F.min("row_key").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "classes")
         self.reps = self.scratch.keep(wide.join(self.classes.select("rep").hint("merge"), F.col("row_key") == F.col("rep"), "left_semi")
@@ -245,10 +273,11 @@ class Join:
         named = keep_(self.classes.join(parts.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
         drop("classes")
         lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        answer = keep_(named.join(keep_(lowest, "lowest"), "component").select("key_a", "key_b", "n", "component_id", (F.col("component") == F.col("rep")).alias("leads"), "rep"), "answer")
+        answer = keep_(named.join(keep_(lowest, "lowest"), "component").select("key_a", "key_b", "n", "component_id", "component"), "answer")
         drop("named", "lowest")
-        rows = self.sets.select("row_key", "doc_id", "n", "key_a", "key_b").join(answer.hint("merge"), ["key_a", "key_b", "n"], "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+        rows = self.sets.drop("row_key").join(answer.hint("merge"), ["key_a", "key_b", "n"], "left")
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                           "text_key", "component")
 
 
 def jaccard_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -259,14 +288,25 @@ def jaccard_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     class. Null ids are passed over for component_id unless a component has no other. Other columns are not read. An empty
     input gives an empty result.
     """
-    return Join(docs, width, percent).result().drop("row_key")
+    return Join(docs, width, percent).result().drop("text_key", "component")
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, less the rows whose component has a row of smaller doc_id.
+    """docs, all columns, with one row of each component: that of the smallest doc_id (null last, then by a hash of the text).
 
-    Rows that repeat the id that stays are dropped but for one; rows without words or id stay.
+    Rows go by id and text together, so a text unlike the others stays under whatever id. Of rows alike in both one stays, any of them.
+    Rows without words all stay. An empty input gives an empty result; columns may have any names but tidemark_id, tidemark_key,
+    tidemark_stays and tidemark_text.
     """
-    found = jaccard_join(docs, width, percent)
-    gone = keep(found.where("doc_id > component_id").select(F.col("doc_id").alias("tidemark_gone")).distinct(), "join-gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("tidemark_gone"), "left_anti")
+    rows = Join(docs, width, percent).result().where("n_shingles > 0")
+    places = keep(rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("times")), "join-places")
+    best = places.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    marked = places.join(best.hint("merge"), "component").withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))
+    act = keep(marked.where("not stays or times > 1").select(F.col("doc_id").alias("tidemark_id"), F.col("text_key").alias("tidemark_key"),
+                                                             F.col("stays").alias("tidemark_stays")), "join-act")
+    keyed = docs.withColumn("tidemark_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("tidemark_id")) & (F.col("tidemark_text") == F.col("tidemark_key"))
+    single = keyed.join(act.hint("merge"), same, "left_anti").select(*docs.columns)
+    repeated = keyed.join(act.where("tidemark_stays"), same).groupBy("tidemark_id", "tidemark_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(repeated.select("row.*"))
