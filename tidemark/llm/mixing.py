@@ -26,6 +26,8 @@ from tidemark.llm.common import WORD, Scratch, fresh_path, keep, words
 
 BLOCK = 128
 SHARD_BLOCKS = 4096
+#: Slots that one task draws.
+PART_SLOTS = 1 << 16
 #: The shards are written in so many passes, so that a part of the mix only is in shuffle files at once.
 WAVES = 4
 #: Weights by rank of the source, repeating.
@@ -152,10 +154,11 @@ def plan(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 0,
                    .withColumn("slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")))
     all_slots = with_blocks.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, math.ceil(all_slots / shard_blocks))
-    parts = with_blocks.select(
-        "source_no", "blocks", F.explode(F.sequence(F.lit(0), F.least(F.lit(shards), F.ceil(F.col("slots") / 1_000_000)) - 1)).alias("part"),
-        F.least(F.lit(shards), F.ceil(F.col("slots") / 1_000_000)).alias("parts"), "slots", F.lit(shards).alias("shards"))
-    slots = (parts.where("slots > 0").repartition("source_no", "part")
+    cut = F.least(F.lit(shards), F.ceil(F.col("slots") / PART_SLOTS))
+    parts = with_blocks.where("slots > 0").select("source_no", "blocks", F.explode(F.sequence(F.lit(0), cut - 1)).alias("part"),
+                                                  cut.alias("parts"), "slots", F.lit(shards).alias("shards"))
+    # A row here is some thousand slots later on: adaptive execution, which sees small rows, keeps a stated number of partitions.
+    slots = (parts.repartition(all_slots // PART_SLOTS + 8, "source_no", "part")
              .mapInPandas(_slots(seed), "source_no long, shard long, slot long, block long"))
     described = sizes.join(targets, "source_key").select("row_key", "doc_id", "source", "size", "source_size", "target")
     return described, pieces, slots
@@ -173,12 +176,14 @@ def write_shards(docs: DataFrame, pieces: DataFrame, slots: DataFrame, waves: in
     scratch = Scratch(spark, "mix")
     # Both sides grow with the input. Sizes after Python are guesses, so the planner is told not to broadcast.
     placed = scratch.keep(pieces.join(slots.hint("merge"), ["source_no", "block"]).drop("block"), "placed")
-    wanted = placed.groupBy("doc_id", "text_key").agg(F.collect_list(
+    # Plain columns without nulls as the key (the text's hash covers the source, another key apart): texts are shuffled by it once, for
+    # the join and for taking one of the rows alike in id and text, which hold their pieces together.
+    whole = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    wanted = placed.groupBy(*whole, "text_key").agg(F.collect_list(
         F.struct("row_key", "source_no", "shard", "slot", "at", "first", "words")).alias("pieces"))
-    texts = docs.select(F.col("doc_id").alias("id"), text_key().alias("key"), "text").where(word_count(F.col("text")) > 0)
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))
-    # Rows alike in id and text hold their pieces together, so one of them is enough.
-    rows = texts.join(wanted.hint("merge"), same).dropDuplicates(["doc_id", "text_key"])
+    texts = docs.select(*whole, text_key(), "text").where(word_count(F.col("text")) > 0)
+    key = ["id", "none", "text_key"]
+    rows = texts.join(wanted.hint("merge"), key).dropDuplicates(key)
 
     def cut(own: Column) -> Column:
         part = lambda p: F.slice(own, (p["first"] + 1).cast("int"), p["words"].cast("int"))
