@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import month_end_cutoffs
-from tidemark.operators import association as asc, events as ev, features as ft, resample as rs, selection as sel, sequences as sq
+from tidemark.operators import association as asc, evaluation as evl, events as ev, features as ft, resample as rs, selection as sel, sequences as sq
 from tidemark.streaming.resume import BatchStore
 
 D = dt.date
@@ -116,3 +116,22 @@ def test_fold_ledger_leaves_the_held_out_fold_out(spark):
     other = sel.fold_ledger(asc.sparse_histogram(asc.sparse_rows(poisoned, ("A", "B")), "FOLD", "RESP", weight="WEIGHT"), 3)
     assert {r.FEATURE: tuple(r) for r in other.filter("HOLDOUT = 0").collect()} == {f: tuple(got[0, f]) for f in "AB"}
     assert sel.candidate_sizes(48, (16, 32, 64)) == [16, 32, 48]
+
+
+def test_filter_list_rules(spark):
+    ranking = spark.createDataFrame([(f, i, mi) for i, (f, mi) in enumerate((("a", .9), ("b", .8), ("c", .7), ("d", .6), ("e", .5), ("f", .0), ("g", .0)), 1)], "FEATURE string, RANK int, MI double")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("c", "f")], "FEATURE_A string, FEATURE_B string")
+    got = {r.FEATURE: (r.STATE, r.REDUNDANT_WITH) for r in sel.filter_list(ranking, pairs, 2).collect()}
+    # b leaves because of a, so c stays; d is over the limit and makes e no longer redundant, which is over it as well.
+    assert got == {"a": ("kept", None), "b": ("redundant", "a"), "c": ("kept", None), "d": ("over_limit", None), "e": ("over_limit", None),
+                   "f": ("redundant", "c"), "g": ("zero_information", None)}
+    assert {r.FEATURE: r.STATE for r in sel.filter_list(ranking, pairs, 9).collect()}["e"] == "redundant"
+
+
+def test_duplicate_latest_keys_are_refused(spark):
+    rows = spark.createDataFrame([("a", D(2024, 1, 31), 1), ("a", D(2024, 2, 29), 0), ("b", D(2024, 1, 31), 1)], "PATIENT_ID string, END_DT date, RESP int")
+    assert sorted(tuple(r) for r in evl.latest_snapshot(rows).collect()) == [("a", D(2024, 2, 29), 0), ("b", D(2024, 1, 31), 1)]
+    older = rows.unionByName(rows.filter("END_DT < '2024-02-01' AND PATIENT_ID = 'a'"))
+    assert evl.latest_snapshot(older).count() == 2 and len(evl.latest_snapshot(older).collect()) == 2
+    with pytest.raises(Exception, match="duplicate latest key"):
+        evl.latest_snapshot(rows.unionByName(rows.filter("PATIENT_ID = 'b'"))).collect()

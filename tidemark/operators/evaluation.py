@@ -196,3 +196,11 @@ def best_by(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
     """Winner per group: the row with the smallest order tuple, by one aggregation without sorting."""
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.groupBy(*groups).agg(F.min_by(row, F.struct(*order)).alias("_w")).select("_w.*")
+
+
+def latest_snapshot(rows: DataFrame, label: str = "RESP") -> DataFrame:
+    """The latest snapshot of each entity. A latest key that stands there twice is refused when the result is read, not picked from."""
+    per = rows.groupBy("PATIENT_ID", "END_DT").agg(F.max(label).alias(label), F.count("*").alias("_n"))
+    last = per.groupBy("PATIENT_ID").agg(F.max("END_DT").alias("END_DT"), F.max_by(label, "END_DT").alias(label), F.max_by("_n", "END_DT").alias("_n"))
+    refused = F.raise_error(F.concat(F.lit("duplicate latest key of entity "), F.col("PATIENT_ID")))
+    return last.select("PATIENT_ID", "END_DT", F.when(F.col("_n") > 1, refused.cast(rows.schema[label].dataType)).otherwise(F.col(label)).alias(label))

@@ -82,6 +82,25 @@ def greedy_prune(ranking: DataFrame, pairs: DataFrame) -> DataFrame:
             "FEATURE", "RANK", F.when(is_open & kept, "redundant").when(is_open & ~waiting, "kept").otherwise(F.col("STATE")).alias("STATE")))
 
 
+def filter_list(ranking: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """Filter selection in rank order: STATE kept, redundant (with a better kept feature), zero_information or over_limit.
+
+    ranking: FEATURE, RANK, MI. Features without information and those after the limit are not kept, so they make no other redundant.
+    """
+    informed = ranking.filter(F.round("MI", 9) > 0)
+    chosen = greedy_prune(informed, pairs).filter("STATE = 'kept'").orderBy("RANK").limit(limit).select("FEATURE", "RANK")
+    chosen = settle(chosen)
+    sym = pairs.select(F.col("FEATURE_A").alias("a"), F.col("FEATURE_B").alias("b"))
+    sym = sym.unionByName(sym.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = (sym.join(chosen.select(F.col("FEATURE").alias("b"), F.col("RANK").alias("rb")), "b")
+            .join(ranking.select(F.col("FEATURE").alias("a"), F.col("RANK").alias("ra")), "a").filter("rb < ra"))
+    by = near.groupBy(F.col("a").alias("FEATURE")).agg(F.min_by("b", "rb").alias("BY"))
+    all_ = ranking.join(by, "FEATURE", "left").join(chosen.select("FEATURE", F.lit(True).alias("kept")), "FEATURE", "left")
+    state = (F.when(F.col("kept"), "kept").when(F.col("BY").isNotNull(), "redundant").when(F.round("MI", 9) <= 0, "zero_information")
+             .otherwise("over_limit"))
+    return all_.select("FEATURE", "RANK", state.alias("STATE"), F.when(state == "redundant", F.col("BY")).alias("REDUNDANT_WITH"))
+
+
 def stratified_folds(entities: DataFrame, k: int, seed: str, label: str = "RESP") -> DataFrame:
     """Balanced folds of entities within each label stratum, by hash order."""
     keyed = entities.withColumn("_h", hash_int(F.concat(F.lit(seed + "|"), "PATIENT_ID")))

@@ -13,6 +13,8 @@ from tidemark.plans.relations import VOCABULARY, sql_list
 from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
+# The longest filter, wrapper and embedded lists.
+FILTER_LIST, WRAPPER_LIST, EMBEDDED_LIST = 100, 50, 100
 TRAIN = "SPLIT = 'train'"
 _WD = "(SELECT *, 1.0 / count(*) OVER (PARTITION BY PATIENT_ID, FEATURE) AS w FROM dense WHERE SPLIT = 'train')"
 
@@ -206,17 +208,18 @@ def _pairs_sql(value, threshold):
       JOIN (SELECT *, {value} AS v, list_position({sql_list(VOCABULARY)}, FEATURE) AS i FROM dense WHERE SPLIT = 'train') b ON a.PATIENT_ID = b.PATIENT_ID AND a.END_DT = b.END_DT AND a.i < b.i GROUP BY 1, 2 HAVING abs(corr(a.v, b.v)) >= {threshold}"""
 
 
-_GREEDY = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT FEATURE, row_number() OVER (ORDER BY round(MI, 9) DESC, FEATURE) AS RANK FROM ({_DMI})), e AS MATERIALIZED (SELECT FEATURE_A AS a, FEATURE_B AS b FROM ({_pairs_sql(_R, 0.3)})),
-  s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), nb AS MATERIALIZED (SELECT o.FEATURE, o.RANK, coalesce((SELECT list(b) FROM s WHERE a = o.FEATURE), []) AS n FROM o),
+_GREEDY = f"""WITH RECURSIVE o AS MATERIALIZED (SELECT FEATURE, MI, row_number() OVER (ORDER BY round(MI, 9) DESC, FEATURE) AS RANK FROM ({_DMI})), e AS MATERIALIZED (SELECT FEATURE_A AS a, FEATURE_B AS b FROM ({_pairs_sql(_R, 0.3)})),
+  s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e), nb AS MATERIALIZED (SELECT o.FEATURE, o.MI, o.RANK, coalesce((SELECT list(b) FROM s WHERE a = o.FEATURE), []) AS n FROM o),
   g(r, kept, FEATURE, STATE, REDUNDANT_WITH) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) UNION ALL
-  SELECT nb.RANK, CASE WHEN list_has_any(g.kept, nb.n) THEN g.kept ELSE list_append(g.kept, nb.FEATURE) END, nb.FEATURE, CASE WHEN list_has_any(g.kept, nb.n) THEN 'redundant' ELSE 'kept' END, list_filter(g.kept, lambda x: list_contains(nb.n, x))[1] FROM g JOIN nb ON nb.RANK = g.r + 1)
+  SELECT nb.RANK, CASE WHEN list_has_any(g.kept, nb.n) OR round(MI, 9) <= 0 OR len(g.kept) >= {FILTER_LIST} THEN g.kept ELSE list_append(g.kept, nb.FEATURE) END, nb.FEATURE,
+  CASE WHEN list_has_any(g.kept, nb.n) THEN 'redundant' WHEN round(MI, 9) <= 0 THEN 'zero_information' WHEN len(g.kept) >= {FILTER_LIST} THEN 'over_limit' ELSE 'kept' END, list_filter(g.kept, lambda x: list_contains(nb.n, x))[1] FROM g JOIN nb ON nb.RANK = g.r + 1)
   SELECT FEATURE, r AS RANK, STATE, REDUNDANT_WITH FROM g WHERE r > 0"""
 
 
 @query("j16_greedy_redundancy", "FEATURE:s RANK:i STATE:s REDUNDANT_WITH:s", "dense", _GREEDY)
 def j16(t):
-    order = mi_ranking(t).select("FEATURE", F.col("POSITION").alias("RANK"))
-    return sel.greedy_prune(order, rank_pairs(t, 0.3))
+    order = settle(mi_ranking(t).select("FEATURE", F.col("POSITION").alias("RANK"), "MI"))
+    return sel.filter_list(order, settle(rank_pairs(t, 0.3)), FILTER_LIST)
 
 
 @query("j17_correlated_pairs", "METHOD:s FEATURE_A:s FEATURE_B:s CORRELATION:f", "dense", f"SELECT 'spearman' AS METHOD, * FROM ({_pairs_sql(_R, 0.35)}) UNION ALL SELECT 'pearson', * FROM ({_pairs_sql('VALUE', 0.35)})")
@@ -315,9 +318,8 @@ def cv_rows(t):
 
 
 FOLDS = 3
-# Feature counts tried by the grouped proxy, and the longest filter, wrapper and embedded lists.
+# Feature counts tried by the grouped proxy.
 PROXY_SIZES = (16, 32, 64, 128, 256, 512, 1028)
-FILTER_LIST, WRAPPER_LIST, EMBEDDED_LIST = 100, 50, 100
 
 
 def fold_ledger(t):
@@ -380,7 +382,7 @@ def j27(t):
 
 @query("j28_strategy_report", "FEATURE:s STRATEGIES:i FILTER:b WRAPPER:b EMBEDDED:b")
 def j28(t):
-    chosen = (j16(t).filter("STATE = 'kept'").orderBy("RANK").limit(FILTER_LIST).select("FEATURE", F.lit("filter").alias("s"))
+    chosen = (j16(t).filter("STATE = 'kept'").select("FEATURE", F.lit("filter").alias("s"))
               .unionByName(eliminated(t, WRAPPER_LIST).filter("SELECTED").select("FEATURE", F.lit("wrapper").alias("s")))
               .unionByName(embedded(t).orderBy("MEAN_RANK", "FEATURE").limit(EMBEDDED_LIST).select("FEATURE", F.lit("embedded").alias("s"))))
     has = lambda n: F.bool_or(F.col("s") == n).alias(n.upper())

@@ -18,7 +18,7 @@ def keys():
 _TIE = """sha256('["' || PATIENT_ID || '","' || CAST(END_DT AS VARCHAR) || '"]')"""
 RANKED = f"SELECT *, row_number() OVER (ORDER BY P_RESP1 DESC, {_TIE}, PATIENT_ID, END_DT) AS RANK, count(*) OVER () AS N FROM scored"
 DECILED = f"SELECT *, CAST(floor((RANK - 1) * 10 / N) + 1 AS INTEGER) AS DECILE FROM ({RANKED})"
-_DECILE_TABLE = f"""SELECT *, POSITIVES / ROWS AS RATE, POSITIVES / tp AS SHARE, (POSITIVES / ROWS) / (tp / tn) AS LIFT, CUM_POSITIVES / tp AS CUM_RECALL,
+DECILE_TABLE = f"""SELECT *, POSITIVES / ROWS AS RATE, POSITIVES / tp AS SHARE, (POSITIVES / ROWS) / (tp / tn) AS LIFT, CUM_POSITIVES / tp AS CUM_RECALL,
   CUM_POSITIVES / CUM_ROWS AS CUM_PRECISION, (CUM_POSITIVES / CUM_ROWS) / (tp / tn) AS CUM_LIFT FROM (
   SELECT *, sum(ROWS) OVER (ORDER BY DECILE) AS CUM_ROWS, sum(POSITIVES) OVER (ORDER BY DECILE) AS CUM_POSITIVES, sum(POSITIVES) OVER () AS tp, sum(ROWS) OVER () AS tn
   FROM (SELECT DECILE, count(*) AS ROWS, sum(RESP) AS POSITIVES, min(P_RESP1) AS MIN_SCORE, max(P_RESP1) AS MAX_SCORE FROM ({DECILED}) GROUP BY DECILE))"""
@@ -30,7 +30,7 @@ K_SQL = "greatest(1, (N * {p} + 99) // 100)"
 @query("e01_latest_snapshot", "PATIENT_ID:s END_DT:d RESP:i", "snapshots", """SELECT PATIENT_ID, END_DT, RESP FROM (
   SELECT *, row_number() OVER (PARTITION BY PATIENT_ID ORDER BY END_DT DESC) AS rn FROM snapshots) WHERE rn = 1""")
 def e01(t):
-    return evl.best_by(t.snapshots, ["PATIENT_ID"], [F.datediff(F.lit("1900-01-01"), "END_DT")])
+    return evl.latest_snapshot(t.snapshots)
 
 
 @query("e02_snapshot_gaps", "PAIRS:i MIN_GAP:i MAX_GAP:i MEAN_GAP:f MEDIAN_GAP:f UNDER_30:i UP_TO_90:i", "snapshots", """SELECT count(g) AS PAIRS, min(g) AS MIN_GAP, max(g) AS MAX_GAP,
@@ -71,7 +71,7 @@ def e06(t):
     return evl.decile_table(t.scored, "P_RESP1").withColumn("DECILE", 11 - F.col("DECILE"))
 
 
-@query("e07_decile_running_totals", "DECILE:i CUM_ROWS:i CUM_POSITIVES:i", "scored", f"SELECT * FROM ({_DECILE_TABLE})")
+@query("e07_decile_running_totals", "DECILE:i CUM_ROWS:i CUM_POSITIVES:i", "scored", f"SELECT * FROM ({DECILE_TABLE})")
 def e07(t):
     return evl.decile_table(t.scored, "P_RESP1")
 
@@ -200,13 +200,13 @@ def f08(t):
     return evl.boundary_ties(t.scored, "P_RESP1")
 
 
-@query("k01_decile_table", "DECILE:i ROWS:i POSITIVES:i RATE:f SHARE:f LIFT:f CUM_ROWS:i CUM_POSITIVES:i CUM_RECALL:f CUM_PRECISION:f CUM_LIFT:f", "scored", _DECILE_TABLE)
+@query("k01_decile_table", "DECILE:i ROWS:i POSITIVES:i RATE:f SHARE:f LIFT:f CUM_ROWS:i CUM_POSITIVES:i CUM_RECALL:f CUM_PRECISION:f CUM_LIFT:f", "scored", DECILE_TABLE)
 def k01(t):
     return evl.decile_table(t.scored, "P_RESP1")
 
 
 @query("k02_top_k_table", "PERCENT:i SELECTED:i CAPTURED:i RECALL:f PRECISION:f LIFT:f", "scored", f"""SELECT DECILE * 10 AS PERCENT, CUM_ROWS AS SELECTED, CUM_POSITIVES AS CAPTURED,
-  CUM_RECALL AS RECALL, CUM_PRECISION AS PRECISION, CUM_LIFT AS LIFT FROM ({_DECILE_TABLE}) WHERE DECILE <= 3""")
+  CUM_RECALL AS RECALL, CUM_PRECISION AS PRECISION, CUM_LIFT AS LIFT FROM ({DECILE_TABLE}) WHERE DECILE <= 3""")
 def k02(t):
     return evl.top_k_table(evl.decile_table(t.scored, "P_RESP1"))
 

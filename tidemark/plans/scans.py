@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as evl
+from tidemark.plans.ranking import DECILE_TABLE
 from tidemark.plans.registry import query
 from tidemark.sources import sinks, tables
 from tidemark.streaming import resume
@@ -121,7 +122,7 @@ def a15(t):
     return resume.complete_entities(t.snapshots, done, "PATIENT_ID", ["PATIENT_ID", "END_DT"]).select("PATIENT_ID", "END_DT")
 
 
-@query("a16_report_sink", "DECILE:i ROWS:i POSITIVES:i LIFT:f")
+@query("a16_report_sink", "DECILE:i ROWS:i POSITIVES:i LIFT:f", "scored", DECILE_TABLE.replace("FROM scored", "FROM scored WHERE SPLIT = 'test'"))
 def a16(t):
     path = sinks.scratch_path(t.spark, "deciles")
     table = evl.decile_table(t.scored.filter("SPLIT = 'test'"), "P_RESP1").select("DECILE", "ROWS", "POSITIVES", "LIFT")
