@@ -199,6 +199,24 @@ def test_token_round_trip(spark, edges, empty):
     assert token_output.token_output(empty).collect() == []
 
 
+def test_token_ids_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    with open(token_output.default_vocabulary(), encoding="utf-8") as file:
+        vocabulary = file.read()
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    letters = list(" \n\t '" "''sstmdrevll aB129é!?.,-ñß\x85\xa0\x1c中ſI ")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(20_000)]
+    texts += [None, "", "a  ", "a\n ", "x<|endoftext|>y", "don't can't we'll 'tis 'sup x'really", "\n\n's", " 's", "e" * 5000, "中" * 700]
+    monkeypatch.setattr(token_output, "GROUP_WORDS", 999)
+    got = token_output.WordEncoder(vocabulary).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        token_output.WordEncoder(vocabulary.replace('"type":"ByteLevel","add_prefix_space":false', '"type":"ByteLevel","add_prefix_space":true'))
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 5000, 700_000])
 def test_coder_round_trip_and_damage(n):
     ids = np.random.default_rng(n).geometric(0.01, n).astype(np.uint32) % 3000

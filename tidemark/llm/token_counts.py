@@ -76,7 +76,7 @@ class PairTable:
 
 
 class Merger:
-    """Counts the symbols that remain of many sequences at once."""
+    """Merges the symbols of many sequences at once."""
 
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
@@ -88,10 +88,16 @@ class Merger:
         self.ordered = bool((np.maximum(lowest[left], lowest[right]) < np.arange(len(made))).all()) if len(made) else True
 
     def survivors(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Symbols left of each sequence; symbols holds them end to end, every length is 1 or more."""
+        """How many symbols are left of each sequence; symbols holds them end to end, every length is 1 or more."""
+        return self.merge(symbols, lengths)[1]
+
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of all sequences end to end, and how many each has."""
         out = np.array(lengths, np.int64)
         live = np.flatnonzero(out > 1)
-        symbols = symbols[np.repeat(out > 1, out)]
+        result, left = symbols.copy(), np.ones(len(symbols), bool)
+        home = np.flatnonzero(np.repeat(out > 1, out))  # place of each live symbol in the result
+        symbols = symbols[home]
         sizes = out[live]
         ranks = self._ranks(symbols, sizes)
         while len(live):
@@ -101,7 +107,8 @@ class Merger:
             if not going.all():  # finished sequences leave with what they have
                 out[live[~going]] = sizes[~going]
                 keep = np.repeat(going, sizes)
-                symbols, ranks, live, sizes, least = symbols[keep], ranks[keep], live[going], sizes[going], least[going]
+                symbols, ranks, home = symbols[keep], ranks[keep], home[keep]
+                live, sizes, least = live[going], sizes[going], least[going]
                 if not len(live):
                     break
                 begins = np.cumsum(sizes) - sizes
@@ -116,7 +123,8 @@ class Merger:
                 chosen = np.ones(len(hits), bool)
                 chosen[1:] = owner[1:] != owner[:-1]
             hits, owner = hits[chosen], owner[chosen]
-            symbols[hits] = self.table.made[ranks[hits]]
+            symbols[hits] = result[home[hits]] = self.table.made[ranks[hits]]
+            left[home[hits + 1]] = False
             stay = np.ones(len(symbols), bool)
             stay[hits + 1] = False
             # A pair's rank stands at its left symbol: it changes at the merged symbol and at the one before it.
@@ -124,13 +132,13 @@ class Merger:
             before = hits - 1
             before = before[before >= 0]
             ranks[before] = -1
-            symbols, ranks = symbols[stay], ranks[stay]
+            symbols, ranks, home = symbols[stay], ranks[stay], home[stay]
             sizes = sizes - np.bincount(owner, minlength=len(sizes))
             ends = np.cumsum(sizes) - 1
             ranks[ends] = NEVER
             stale = np.flatnonzero(ranks == -1)
             ranks[stale] = self.table.rank(symbols[stale], symbols[stale + 1])
-        return out
+        return result[left], out
 
     def _ranks(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         ranks = np.full(len(symbols), NEVER)
@@ -225,7 +233,7 @@ class TokenCounter:
                 of += [i] * len(pieces)
             texts = pa.concat_arrays([chunks.filter(pa.array(~marked)), pa.array(parts, chunks.type)])
             owners = np.concatenate([owners[~marked], np.array(of, np.int64)])
-        codes, lengths = _code_points(texts)
+        codes, lengths = code_points(texts)
         small = np.minimum(codes, TABLED - 1)
         odd = (codes >= TABLED) | self.slow[small]
         ends = np.cumsum(lengths)
@@ -305,7 +313,7 @@ class TokenCounter:
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points end to end, and how many each text has."""
     lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)

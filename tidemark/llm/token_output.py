@@ -1,6 +1,7 @@
 """Token ids in a binary format: range asymmetric numeral coding with one shared frequency table.
 
-1. Every task encodes whole texts and keeps the ids packed, one row per document (16 bits an id, 32 for large vocabularies).
+1. Every task encodes whole texts by their distinct words, merged as arrays, and keeps the ids packed, one row per document
+   (16 bits an id, 32 for large vocabularies).
 2. Ids are counted over all documents; the counts, scaled to 2**SCALE with at least 1 for each id that occurs, are the shared
    static table. It has one entry per vocabulary id, so it is small whatever the input, and travels as a broadcast.
 3. Documents are put in ascending id order by range partitions. Each partition is cut into blocks of whole documents. A block is
@@ -11,6 +12,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import sys
 import zlib
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, keep
+from tidemark.llm.token_counts import BLANK, LETTER, NUMBER, OTHER, TABLED, Merger, code_points
 
 END_ID = 0
 SCALE = 18
@@ -35,140 +38,170 @@ LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _HEAD = "<4sIIQQII"
 _MAGIC = b"TRA1"
-#: Two spaces around any white space: there a space may belong to the token before it, so such texts are encoded whole.
+#: A space between white space, or between white space and the end: it may belong to the token before it, so such texts go whole.
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
-_ODD = f"{_BLANK} {_BLANK}"
-CACHE_WORDS = 1_000_000
-#: The byte-level alphabet writes bytes 127 to 160 and 173 as code points from 289 on, other bytes over 127 as they are.
-BYTE_LETTERS = {b: 289 + b - 127 for b in range(127, 161)} | {173: 323}
+_ODD = f"{_BLANK} (?:{_BLANK}|$)"
+#: Texts are encoded in groups of about this many bytes, words in groups of this many.
+GROUP_BYTES = 8 << 20
+GROUP_WORDS = 100_000
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte: itself where it prints, else one of those from code point 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
 class WordEncoder:
-    """Encodes texts word by word through a bounded cache; ids equal those of encoding each text whole.
+    """Encodes texts by their distinct words, all at once; ids equal those of encoding each text whole.
 
     Between two characters that are not white space, a single space always begins a new piece of the byte-level tokenizer, so a
-    text is the sequence of its pieces " word". Texts where that does not hold go to the tokenizer whole.
+    text is the sequence of its pieces " word". Texts where that does not hold go to the tokenizer whole. Words of Latin characters
+    are cut into pieces by table look-ups and merged as arrays; words with other characters go to the tokenizer, many at a time.
     """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
+        raw = json.loads(vocabulary)
+        step, model = raw.get("pre_tokenizer") or {}, raw["model"]
+        if (raw.get("normalizer") or step.get("type") != "ByteLevel" or step.get("add_prefix_space") or not step.get("use_regex", True)
+                or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges")
+                or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")):
+            raise ValueError("a vocabulary of another form: token_output handles byte-level byte pair vocabularies")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.spaced = np.zeros(self.size + 1, bool)
         for token, number in self.tokenizer.get_vocab().items():
-            self.spaced[number] = token.startswith("Ġ")
-        self.model = self.tokenizer.model
-        self.tails = {c: ids[0] for c in ".," if len(ids := self._whole(c)) == 1}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.cache: tuple[dict[str, int], dict[str, int]] = ({}, {})  # first words, others
-        self.pool: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        self.known = 0
+            self.spaced[number] = token.startswith("\u0120")
+        self.merger = Merger(model["vocab"], model["merges"])
+        self.symbols = np.array([model["vocab"][c] for c in byte_letters()], np.int32)
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.classes = np.full(TABLED, BLANK, np.uint8)
+        for code in range(TABLED):
+            for sample, kind in (("x", LETTER), ("1", NUMBER), ("!", OTHER)):
+                if len(cut(sample + chr(code))) == 1:
+                    self.classes[code] = kind
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[str], spaced: bool) -> None:
-        """Put words into the cache, as pieces that begin with a space or (first words of texts) without.
-
-        Latin letters are one piece of the tokenizer, and a stop or comma after them another: these go to its model at once. Other
-        spaced pieces without edge white space are encoded many at a time, the rest singly.
-        """
-        lead, lead_model = (" ", "Ġ") if spaced else ("", "")
-        tokenize, tails = self.model.tokenize, self.tails
-        plain, ids, lengths, joint, single = [], [], [], [], []
-        for word in words:
-            tail = tails.get(word[-1:])
-            body = word if tail is None else word[:-1]
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-                if not body.isascii():
-                    body = body.encode().decode("latin-1").translate(BYTE_LETTERS)
-                found = [t.id for t in tokenize(lead_model + body)]
-                if tail is not None:
-                    found.append(tail)
-                plain.append(word)
-                ids += found
-                lengths.append(len(found))
-            elif spaced and word and not word[0].isspace() and not word[-1].isspace():
-                joint.append(word)
-            else:
-                single.append(word)
-        if plain:
-            self._add(plain, np.array(ids, np.uint32), np.array(lengths), spaced)
-        for i in range(0, len(joint), 300):
-            part = joint[i:i + 300]
-            found = np.array(self._whole(" " + " ".join(part)), np.uint32)
+    def _ids(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has; the words follow a space or (first words of texts) do not."""
+        parts, sizes = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), GROUP_WORDS):
+            ids, counts = self._group(words.slice(at, GROUP_WORDS), spaced)
+            parts.append(ids.astype(self.kind))
+            sizes.append(counts)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _group(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        if spaced:
+            words = pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type))
+        codes, lengths = code_points(words)
+        odd_rows = np.unique(np.searchsorted(np.cumsum(lengths), np.flatnonzero(codes >= TABLED), "right"))
+        plain = np.ones(len(words), bool)
+        plain[odd_rows] = False
+        symbols, sizes, of = self._pieces(codes[np.repeat(plain, lengths)], lengths[plain])
+        ids, left = self.merger.merge(symbols, sizes)
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.bincount(of, left, minlength=int(plain.sum())).astype(np.int64)
+        if not len(odd_rows):
+            return ids, counts
+        found = self._by_library([words[int(i)].as_py() for i in odd_rows])
+        counts[odd_rows] = [len(x) for x in found]
+        out = np.empty(int(counts.sum()), np.int64)
+        mine = np.repeat(plain, counts)
+        out[mine] = ids
+        out[~mine] = np.concatenate(found)
+        return out, counts
+
+    def _pieces(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First symbols and sizes of the tokenizer's pieces, and the word of each."""
+        if not len(codes):
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        kind = self.classes[codes]
+        first = np.zeros(len(codes) + 1, bool)
+        first[np.cumsum(lengths) - lengths] = True  # a zero length repeats a place or lands behind the end
+        first = first[:-1]
+        starts = first.copy()
+        starts[1:] |= kind[1:] != kind[:-1]
+        # White space leaves its last character to what follows it in the word; of these a space opens the next piece.
+        last = np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] != BLANK) & ~first[1:])
+        starts[last] = True
+        opens = last[codes[last] == ord(" ")] + 1
+        starts[opens] = False
+        # Contractions: an apostrophe that opens a piece, with its letters.
+        for ending in ("s", "t", "m", "d", "re", "ve", "ll"):
+            n = len(ending)
+            if len(codes) <= n:
+                continue
+            at = (codes[:-n] == ord("'")) & starts[:-n]
+            for i, c in enumerate(ending, 1):
+                at &= (codes[i:len(codes) - n + i] == ord(c)) & ~first[i:len(codes) - n + i]
+            at = np.flatnonzero(at)
+            starts[at + 1] = False
+            after = at + n + 1
+            starts[after[after < len(codes)]] = True
+        wide = codes >= 128
+        width = 1 + wide.astype(np.int64)
+        place = np.cumsum(width) - width
+        data = np.empty(int(width.sum()), np.uint8)
+        data[place] = np.where(wide, 0xC0 | (codes >> 6), codes)
+        data[place[wide] + 1] = 0x80 | (codes[wide] & 0x3F)
+        begins = np.flatnonzero(starts)
+        word = np.repeat(np.arange(len(lengths)), lengths)[begins]
+        return self.symbols[data], np.diff(np.append(place[begins], len(data))), word
+
+    def _by_library(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word, with its space; those that begin with one and have no other white space at an edge go many at a time."""
+        out: list = [None] * len(words)
+        joint = [i for i, w in enumerate(words) if w[:1] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
+        for at in range(0, len(joint), 300):
+            part = joint[at:at + 300]
+            found = np.array(self._whole("".join(words[i] for i in part)), np.int64)
             begins = np.flatnonzero(self.spaced[found])
             if len(begins) == len(part) and begins[0] == 0:
-                self._add(part, found, np.diff(np.append(begins, len(found))), spaced)
-            else:
-                single += part
-        for word in single:
-            found = np.array(self._whole(lead + word), np.uint32)
-            self._add([word], found, np.array([len(found)]), spaced)
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, spaced: bool) -> None:
-        self.cache[spaced].update(zip(words, range(self.known, self.known + len(words))))
-        self.known += len(words)
-        self.pool.append(ids.astype(self.kind))
-        self.lengths.append(lengths.astype(np.int32))
-
-    def _codes(self, words: list[str], spaced: bool) -> np.ndarray:
-        get = self.cache[spaced].get
-        codes = np.array([get(w, -1) for w in words], np.int32)
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            unknown = [words[i] for i in new]
-            self._learn(list(dict.fromkeys(unknown)), spaced)
-            codes[new] = [get(w) for w in unknown]
-        return codes
+                for i, ids in zip(part, np.split(found, begins[1:])):
+                    out[i] = ids
+        return [np.array(self._whole(w), np.int64) if x is None else x for w, x in zip(words, out)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
-        if self.known > CACHE_WORDS:
-            self._clear()
+        if not len(texts):
+            return []
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
         lists = pc.split_pattern(texts, " ")
         bounds = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy()
+        index = coded.indices.to_numpy().astype(np.int64)
         first = np.zeros(len(index), bool)
         first[bounds[:-1]] = True
-        heads = lists.values.take(pa.array(bounds[:-1])).to_pylist() if len(texts) else []
-        used = np.zeros(len(distinct), bool)
+        used = np.zeros(len(coded.dictionary), bool)
         used[index[~first]] = True
-        if used.all():
-            codes = self._codes(distinct, True)[index]
-        else:
-            wanted = np.flatnonzero(used)
-            of = np.zeros(len(distinct), np.int32)
-            of[wanted] = self._codes([distinct[i] for i in wanted], True)
-            codes = of[index]
-        codes[first] = self._codes(heads, False)
-        pool, lengths = np.concatenate(self.pool or [np.empty(0, self.kind)]), np.concatenate(self.lengths or [np.empty(0, np.int32)])
-        self.pool, self.lengths = [pool], [lengths]
-        begins = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        counts = lengths[codes]
+        place = np.cumsum(used) - 1
+        pool, sizes = self._ids(coded.dictionary.filter(pa.array(used)), True)
+        head_pool, head_sizes = self._ids(lists.values.take(pa.array(bounds[:-1])), False)
+        codes = place[index]
+        codes[first] = len(sizes) + np.arange(len(texts))
+        pool, sizes = np.concatenate([pool, head_pool]), np.concatenate([sizes, head_sizes])
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[codes]
         ends = np.cumsum(counts)
-        place = np.repeat((begins[codes] - (ends - counts)).astype(np.int32), counts)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = pool[place]
+        ids = pool[np.repeat(begins[codes] - (ends - counts), counts) + np.arange(counts.sum())]
         edge = np.concatenate(([0], ends))[bounds]
         out = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
         for i in odd:
-            out[i] = np.array(self._whole(texts[i].as_py()), self.kind)
+            out[i] = np.array(self._whole(texts[int(i)].as_py()), self.kind)
         return out
 
 
 def worker_encoder(vocabulary: str) -> WordEncoder:
-    """The encoder of this worker process, with the words it has learned in earlier tasks.
+    """The encoder of this worker process: its tables are made once, no text or word is kept.
 
     Functions of this folder come to a worker by value and so have no module there; the process keeps one for the encoder.
     """
@@ -185,8 +218,11 @@ def _encode(vocabulary, kind: str):
         encoder = worker_encoder(vocabulary.value)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):  # about 2 million words
-                part = batch.slice(at, 4000)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            groups = (np.cumsum(sizes) - sizes) // GROUP_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(edges[:-1], edges[1:]):
+                part = batch.slice(at, end - at)
                 packed = [np.append(ids, ids.dtype.type(END_ID)).astype(kind, copy=False) for ids in encoder.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(key, key + len(packed))), part.column(0), pa.array([len(x) for x in packed], pa.int64()),
