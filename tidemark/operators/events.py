@@ -42,15 +42,19 @@ def map_codes(days: DataFrame, mapping: DataFrame) -> DataFrame:
     return days.join(mapping, ["FAMILY", "CODE"])
 
 
-def occurrences(rx: DataFrame, mx: DataFrame) -> DataFrame:
-    """(PATIENT_ID, EVENT_DATE, FAMILY, CODE): one scan per source, several codes per row expanded in place."""
+def medical_codes() -> Column:
+    """(FAMILY, CODE) of every code of a medical row: its procedure and each non-blank diagnosis token."""
     def coded(family, code):
         return F.struct(F.lit(family).alias("FAMILY"), clean_code(code, F.lit(family)).alias("CODE"))
     tokens = F.filter(F.split("DIAGNOSIS_CODES", "\\|"), lambda x: F.trim(x) != "")
-    both = F.concat(F.array(coded("PX", F.col("PROCEDURE_CODE"))), F.transform(tokens, lambda x: coded("DX", x)))
+    return F.concat(F.array(coded("PX", F.col("PROCEDURE_CODE"))), F.transform(tokens, lambda x: coded("DX", x)))
+
+
+def occurrences(rx: DataFrame, mx: DataFrame) -> DataFrame:
+    """(PATIENT_ID, EVENT_DATE, FAMILY, CODE): one scan per source, several codes per row expanded in place."""
     first = rx.select("PATIENT_ID", F.col("FILL_DATE").alias("EVENT_DATE"), F.lit("RX").alias("FAMILY"),
                       clean_code(F.col("NDC11"), F.lit("RX")).alias("CODE"))
-    return first.unionByName(mx.select("PATIENT_ID", F.col("SERVICE_DATE").alias("EVENT_DATE"), F.inline(both)))
+    return first.unionByName(mx.select("PATIENT_ID", F.col("SERVICE_DATE").alias("EVENT_DATE"), F.inline(medical_codes())))
 
 
 def window_months(snapshots: DataFrame, steps: int) -> DataFrame:

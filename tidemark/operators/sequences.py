@@ -15,12 +15,12 @@ def window_sum(low: int, high: int, value: str = "VALUE", step: str = "TIME_STEP
 
 
 def representation(counts: DataFrame, kind: str) -> DataFrame:
-    """Tall forms of a 12-step sequence: monthly, without_step0, quarterly, annual, windows, flattened."""
+    """Tall forms of a 12-step sequence: monthly, without_step0, quarterly, annual, windows, flattened (a column per step and category)."""
     by = [*KEY, "CATEGORY"]
     step = F.col("TIME_STEP")
     if kind in ("monthly", "without_step0", "flattened"):
         rows = counts if kind != "without_step0" else counts.filter(step > 0)
-        part = F.format_string("m%02d", step)
+        part = F.format_string("m%02d", step) if kind != "flattened" else F.format_string("m%02d_%s", step, "CATEGORY")
         return rows.select(*by, part.alias("PART"), "VALUE")
     if kind == "quarterly":
         return counts.groupBy(*by, F.concat(F.lit("q"), F.floor(step / 3).cast("string")).alias("PART")).agg(F.sum("VALUE").alias("VALUE"))

@@ -17,6 +17,26 @@ def terms(text: Column, stop_words: list[str] = ()) -> Column:
     return F.concat(words, pairs)
 
 
+def document_codes(rows: DataFrame, doc: list[str], codes: str, event: str, date: str) -> DataFrame:
+    """Per document and code of `codes`, an array of (FAMILY, CODE): EVENTS (distinct ids), NULL_EVENT_ROWS, LAST_EVENT.
+
+    Rows are reduced to distinct events before they are counted. An event without an id is no event but is reported.
+    """
+    keys = [*doc, "FAMILY", "CODE"]
+    each = rows.select(*doc, event, date, F.inline(codes)).filter("trim(CODE) <> ''")
+    once = each.groupBy(*keys, event).agg(F.count("*").alias("_n"), F.max(date).alias("_d"))
+    return once.groupBy(*keys).agg(F.count(event).alias("EVENTS"), F.sum(F.when(F.col(event).isNull(), F.col("_n")).otherwise(0)).alias("NULL_EVENT_ROWS"),
+                                   F.max("_d").alias("LAST_EVENT"))
+
+
+def document_coverage(rows: DataFrame, documents: DataFrame, doc: list[str], event: str, date: str) -> DataFrame:
+    """The same three numbers per document, whatever its codes; documents without rows have 0 events."""
+    once = rows.groupBy(*doc, event).agg(F.count("*").alias("_n"), F.max(date).alias("_d"))
+    seen = once.groupBy(*doc).agg(F.count(event).alias("EVENTS"), F.sum(F.when(F.col(event).isNull(), F.col("_n")).otherwise(0)).alias("NULL_EVENT_ROWS"),
+                                  F.max("_d").alias("LAST_EVENT"))
+    return documents.select(*doc).join(seen, doc, "left").fillna(0, ["EVENTS", "NULL_EVENT_ROWS"])
+
+
 def weighted_terms(rows: DataFrame, doc: list[str], text: str, weight: str, stop_words: list[str] = ()) -> DataFrame:
     """Event-weighted term counts per document. Each distinct description is tokenised once."""
     names = rows.select(text).distinct().withColumn("TERM", F.explode(terms(F.col(text), stop_words)))

@@ -81,12 +81,13 @@ def i06(t):
 
 @query("i07_representations", "KIND:s PART:s ROWS:i TOTAL:i", "counts", """SELECT 'monthly' AS KIND, printf('m%02d', TIME_STEP) AS PART, count(*) AS ROWS, sum(VALUE) AS TOTAL FROM counts GROUP BY 2
   UNION ALL SELECT 'without_step0', printf('m%02d', TIME_STEP), count(*), sum(VALUE) FROM counts WHERE TIME_STEP > 0 GROUP BY 2
+  UNION ALL SELECT 'flattened', printf('m%02d_%s', TIME_STEP, CATEGORY), count(*), sum(VALUE) FROM counts GROUP BY 2
   UNION ALL SELECT 'quarterly', 'q' || TIME_STEP // 3, count(DISTINCT (PATIENT_ID, END_DT, CATEGORY)), sum(VALUE) FROM counts GROUP BY 2
   UNION ALL SELECT 'annual', 'annual', count(DISTINCT (PATIENT_ID, END_DT, CATEGORY)), sum(VALUE) FROM counts
   UNION ALL SELECT 'windows', 'w' || w, count(DISTINCT (PATIENT_ID, END_DT, CATEGORY)), sum(VALUE) FROM counts, (SELECT unnest([1, 3, 6, 12]) AS w) WHERE TIME_STEP < w GROUP BY 2""")
 def i07(t):
     parts = None
-    for kind in ("monthly", "without_step0", "quarterly", "annual", "windows"):
+    for kind in ("monthly", "without_step0", "flattened", "quarterly", "annual", "windows"):
         rows = sq.representation(t.counts, kind).groupBy(F.lit(kind).alias("KIND"), "PART").agg(F.count("*").alias("ROWS"), F.sum("VALUE").alias("TOTAL"))
         parts = rows if parts is None else parts.unionByName(rows)
     return parts

@@ -9,6 +9,7 @@ from tidemark.session import settle
 
 KEY = ["PATIENT_ID", "END_DT"]
 DOC = ["PATIENT_ID", "AS_OF_DATE"]
+CODE = ["FAMILY", "CODE"]
 MAX_TERMS = 256
 # Stop words of the example queries; callers pass their own list.
 STOP_WORDS = ["the", "of", "and", "la", "le", "de", "new"]
@@ -16,10 +17,16 @@ STOP_WORDS = ["the", "of", "and", "la", "le", "de", "new"]
 RELATIONS.update({
     "grid": ("snapshots", """SELECT PATIENT_ID, END_DT, i AS TIME_STEP, CASE WHEN i = 0 THEN END_DT ELSE last_day(CAST(date_trunc('month', END_DT) - to_months(CAST(i AS INTEGER)) AS DATE)) END AS AS_OF_DATE FROM (SELECT *, unnest(range(12)) AS i FROM snapshots)"""),
     "docs": ("grid manifest", "SELECT DISTINCT g.PATIENT_ID, AS_OF_DATE, SPLIT FROM grid g JOIN (SELECT DISTINCT PATIENT_ID, SPLIT FROM manifest) m ON m.PATIENT_ID = g.PATIENT_ID"),
-    "doc_codes": ("docs rx", """SELECT d.PATIENT_ID, AS_OF_DATE, SPLIT, NDC11 AS CODE, count(DISTINCT EVENT_ID) AS EVENTS, max(FILL_DATE) AS LAST_EVENT FROM docs d JOIN rx r ON r.PATIENT_ID = d.PATIENT_ID AND FILL_DATE BETWEEN date_trunc('month', AS_OF_DATE) AND AS_OF_DATE GROUP BY 1, 2, 3, 4"""),
+    # Some rows are given no event id, and two codes no description.
+    "doc_rows": ("docs mx", """SELECT d.PATIENT_ID, AS_OF_DATE, SPLIT, CASE WHEN NPI NOT LIKE '%7' THEN EVENT_ID END AS EVENT_ID, SERVICE_DATE, PROCEDURE_CODE, DIAGNOSIS_CODES FROM docs d JOIN mx m ON m.PATIENT_ID = d.PATIENT_ID AND SERVICE_DATE BETWEEN date_trunc('month', AS_OF_DATE) AND AS_OF_DATE"""),
+    "doc_codes": ("doc_rows", """SELECT PATIENT_ID, AS_OF_DATE, SPLIT, FAMILY, CODE, count(DISTINCT EVENT_ID) AS EVENTS, count(*) FILTER (EVENT_ID IS NULL) AS NULL_EVENT_ROWS, max(SERVICE_DATE) AS LAST_EVENT FROM (
+      SELECT *, 'PX' AS FAMILY, upper(trim(PROCEDURE_CODE)) AS CODE FROM doc_rows WHERE trim(PROCEDURE_CODE) <> '' UNION ALL
+      SELECT * EXCLUDE (tok), 'DX', replace(upper(trim(tok)), '.', '') FROM (SELECT *, unnest(string_split(DIAGNOSIS_CODES, '|')) AS tok FROM doc_rows) WHERE trim(tok) <> '') GROUP BY 1, 2, 3, 4, 5"""),
+    "code_names": ("", """SELECT FAMILY, CODE, min(d) AS DESCRIPTION, count(DISTINCT d) AS VARIANTS FROM (SELECT 'PX' AS FAMILY, upper(p_brand) AS CODE, p_type || ' ' || p_name AS d FROM part
+      UNION ALL SELECT 'DX', upper(w), p_type || ' ' || p_name FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part)) WHERE CODE NOT IN ('OLD', 'BRAND#9') GROUP BY 1, 2"""),
     "names": ("", "SELECT CAST(p_partkey AS VARCHAR) AS CODE, p_name AS DESCRIPTION FROM part WHERE p_partkey % 9 <> 0"),
-    "name_terms": ("names", """SELECT CODE, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS TERM FROM (SELECT CODE, list_filter(regexp_extract_all(lower(DESCRIPTION), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'la', 'le', 'de', 'new')) AS w FROM names)"""),
-    "doc_terms": ("doc_codes name_terms", "SELECT PATIENT_ID, AS_OF_DATE, SPLIT, TERM, sum(EVENTS) AS TF FROM doc_codes JOIN name_terms USING (CODE) GROUP BY 1, 2, 3, 4"),
+    "name_terms": ("code_names", """SELECT FAMILY, CODE, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS TERM FROM (SELECT FAMILY, CODE, list_filter(regexp_extract_all(lower(DESCRIPTION), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'la', 'le', 'de', 'new')) AS w FROM code_names)"""),
+    "doc_terms": ("doc_codes name_terms", "SELECT PATIENT_ID, AS_OF_DATE, SPLIT, TERM, sum(EVENTS) AS TF FROM doc_codes JOIN name_terms USING (FAMILY, CODE) WHERE EVENTS > 0 GROUP BY 1, 2, 3, 4"),
     "voc": ("doc_terms docs", f"""SELECT TERM, FREQUENCY, DF, ln((1 + n) / (1 + DF)) + 1 AS IDF FROM (SELECT TERM, sum(TF) AS FREQUENCY, count(*) AS DF FROM doc_terms WHERE SPLIT = 'train' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {MAX_TERMS}), (SELECT count(*) AS n FROM docs WHERE SPLIT = 'train')"""),
     "tfidf": ("doc_terms voc", "SELECT PATIENT_ID, AS_OF_DATE, SPLIT, TERM, x / sqrt(sum(x * x) OVER (PARTITION BY PATIENT_ID, AS_OF_DATE)) AS TFIDF FROM (SELECT d.*, (1 + ln(TF)) * IDF AS x FROM doc_terms d JOIN voc USING (TERM))"),
     "positions": ("grid tfidf", "SELECT g.PATIENT_ID, g.END_DT, TIME_STEP, g.AS_OF_DATE, TERM, TFIDF FROM grid g JOIN tfidf f ON f.PATIENT_ID = g.PATIENT_ID AND f.AS_OF_DATE = g.AS_OF_DATE"),
@@ -35,17 +42,24 @@ def docs(t):
     return ft.distinct_requests(grid(t)).join(t.manifest.select("PATIENT_ID", "SPLIT").distinct(), "PATIENT_ID")
 
 
-def doc_events(t):
-    """Distinct (document, code, event), from day-level rows joined on entity and month."""
-    once = t.rx.select("PATIENT_ID", "FILL_DATE", F.col("NDC11").alias("CODE"), "EVENT_ID").distinct()
-    req = docs(t).withColumnRenamed("AS_OF_DATE", "END_DT")
-    hit = ev.asof_join(req, once, "FILL_DATE", 1)
-    return hit.groupBy("PATIENT_ID", F.col("END_DT").alias("AS_OF_DATE"), "SPLIT", "CODE", "EVENT_ID").agg(F.max("FILL_DATE").alias("d"))
+def doc_rows(t):
+    """Medical rows of each document's month up to its date, joined on entity and month with their codes still together."""
+    event = F.when(~F.col("NPI").like("%7"), F.col("EVENT_ID")).alias("EVENT_ID")
+    rows = t.mx.select("PATIENT_ID", "SERVICE_DATE", event, ev.medical_codes().alias("CODES"))
+    return ev.asof_join(docs(t).withColumnRenamed("AS_OF_DATE", "END_DT"), rows, "SERVICE_DATE", 1).withColumnRenamed("END_DT", "AS_OF_DATE")
 
 
-def doc_codes(t):
-    """Distinct events per (document, code)."""
-    return doc_events(t).groupBy(*DOC, "SPLIT", "CODE").agg(F.count("*").alias("EVENTS"), F.max("d").alias("LAST_EVENT"))
+def doc_codes(t, rows=None):
+    """Distinct events per (document, family, code)."""
+    return tx.document_codes(rows or doc_rows(t), [*DOC, "SPLIT"], "CODES", "EVENT_ID", "SERVICE_DATE")
+
+
+def code_names(t):
+    """One description per (family, code), the first by order, and how many it has."""
+    codes = F.concat(F.array(F.struct(F.lit("PX").alias("FAMILY"), F.upper("p_brand").alias("CODE"))),
+                     F.transform(F.split("p_name", " "), lambda w: F.struct(F.lit("DX").alias("FAMILY"), F.upper(w).alias("CODE"))))
+    once = t.part.select(F.concat_ws(" ", "p_type", "p_name").alias("d"), F.inline(codes)).filter("CODE NOT IN ('OLD', 'BRAND#9')").distinct()
+    return once.groupBy(*CODE).agg(F.min("d").alias("DESCRIPTION"), F.count("*").alias("VARIANTS"))
 
 
 def names(t):
@@ -53,7 +67,7 @@ def names(t):
 
 
 def doc_terms(t):
-    rows = doc_codes(t).join(names(t), "CODE").groupBy(*DOC, "SPLIT", "DESCRIPTION").agg(F.sum("EVENTS").alias("EVENTS"))
+    rows = doc_codes(t).filter("EVENTS > 0").join(code_names(t), CODE).groupBy(*DOC, "SPLIT", "DESCRIPTION").agg(F.sum("EVENTS").alias("EVENTS"))
     # Read by the vocabulary and by the transform, so kept once.
     return settle(tx.weighted_terms(rows, [*DOC, "SPLIT"], "DESCRIPTION", "EVENTS", STOP_WORDS))
 
@@ -71,15 +85,13 @@ def positions(t):
     return tx.fan_out(grid(t), tfidf(t))
 
 
-@query("m01_monthly_documents", "ROW_KIND:s PATIENT_ID:s AS_OF_DATE:d CODE:s DESCRIPTION:s EVENTS:i LAST_EVENT:d", "doc_codes docs rx names", """SELECT 'FEATURE' AS ROW_KIND, PATIENT_ID, AS_OF_DATE, CODE, DESCRIPTION, EVENTS, LAST_EVENT FROM doc_codes LEFT JOIN names USING (CODE)
-  UNION ALL SELECT 'COVERAGE', d.PATIENT_ID, d.AS_OF_DATE, NULL, NULL, count(DISTINCT EVENT_ID), max(FILL_DATE) FROM docs d LEFT JOIN rx r ON r.PATIENT_ID = d.PATIENT_ID AND FILL_DATE BETWEEN date_trunc('month', AS_OF_DATE) AND AS_OF_DATE GROUP BY 2, 3""")
+@query("m01_monthly_documents", "ROW_KIND:s PATIENT_ID:s AS_OF_DATE:d FAMILY:s CODE:s DESCRIPTION:s VARIANTS:i EVENTS:i NULL_EVENT_ROWS:i LAST_EVENT:d", "doc_codes docs doc_rows code_names", """SELECT 'FEATURE' AS ROW_KIND, PATIENT_ID, AS_OF_DATE, FAMILY, CODE, DESCRIPTION, coalesce(VARIANTS, 0) AS VARIANTS, EVENTS, NULL_EVENT_ROWS, LAST_EVENT FROM doc_codes LEFT JOIN code_names USING (FAMILY, CODE)
+  UNION ALL SELECT 'COVERAGE', d.PATIENT_ID, d.AS_OF_DATE, NULL, NULL, NULL, 0, count(DISTINCT EVENT_ID), count(r.PATIENT_ID) - count(EVENT_ID), max(SERVICE_DATE) FROM docs d LEFT JOIN doc_rows r ON r.PATIENT_ID = d.PATIENT_ID AND r.AS_OF_DATE = d.AS_OF_DATE GROUP BY d.PATIENT_ID, d.AS_OF_DATE""")
 def m01(t):
-    feature = doc_codes(t).join(names(t), "CODE", "left").select(F.lit("FEATURE").alias("ROW_KIND"), *DOC, "CODE", "DESCRIPTION", "EVENTS", "LAST_EVENT")
-    # An event id may carry several codes, so document totals count ids, not code counts.
-    ids = doc_events(t).groupBy(*DOC, "EVENT_ID").agg(F.max("d").alias("d"))
-    seen = ids.groupBy(*DOC).agg(F.count("*").alias("EVENTS"), F.max("d").alias("LAST_EVENT"))
-    cover = docs(t).select(*DOC).join(seen, DOC, "left").fillna(0, ["EVENTS"]).withColumn("ROW_KIND", F.lit("COVERAGE"))
-    return feature.unionByName(cover, allowMissingColumns=True)
+    rows = settle(doc_rows(t))
+    feature = doc_codes(t, rows).join(code_names(t), CODE, "left").fillna(0, ["VARIANTS"]).withColumn("ROW_KIND", F.lit("FEATURE")).drop("SPLIT")
+    cover = tx.document_coverage(rows, docs(t), DOC, "EVENT_ID", "SERVICE_DATE")
+    return feature.unionByName(cover.withColumns({"ROW_KIND": F.lit("COVERAGE"), "VARIANTS": F.lit(0)}), allowMissingColumns=True)
 
 
 _TEXT_TERMS = """SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS TERM FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x NOT IN ('the', 'of', 'and', 'la', 'le', 'de', 'new')) AS w FROM documents)"""
@@ -123,10 +135,10 @@ def m08(t):
     return tx.trend(positions(t), t.snapshots)
 
 
-@query("m09_monthly_coverage", "TIME_STEP:i ACTIVE:i MAPPED:i SELECTED:i", "grid doc_codes names tfidf", """SELECT TIME_STEP, count(DISTINCT CASE WHEN a THEN PATIENT_ID END) AS ACTIVE, count(DISTINCT CASE WHEN m THEN PATIENT_ID END) AS MAPPED, count(DISTINCT CASE WHEN s THEN PATIENT_ID END) AS SELECTED FROM (SELECT g.PATIENT_ID, TIME_STEP, c.PATIENT_ID IS NOT NULL AS a, coalesce(c.m, FALSE) AS m, f.PATIENT_ID IS NOT NULL AS s FROM grid g
-  LEFT JOIN (SELECT PATIENT_ID, AS_OF_DATE, bool_or(DESCRIPTION IS NOT NULL) AS m FROM doc_codes LEFT JOIN names USING (CODE) GROUP BY 1, 2) c ON c.PATIENT_ID = g.PATIENT_ID AND c.AS_OF_DATE = g.AS_OF_DATE LEFT JOIN (SELECT DISTINCT PATIENT_ID, AS_OF_DATE FROM tfidf) f ON f.PATIENT_ID = g.PATIENT_ID AND f.AS_OF_DATE = g.AS_OF_DATE) GROUP BY 1""")
+@query("m09_monthly_coverage", "TIME_STEP:i ACTIVE:i MAPPED:i SELECTED:i", "grid doc_codes code_names tfidf", """SELECT TIME_STEP, count(DISTINCT CASE WHEN a THEN PATIENT_ID END) AS ACTIVE, count(DISTINCT CASE WHEN m THEN PATIENT_ID END) AS MAPPED, count(DISTINCT CASE WHEN s THEN PATIENT_ID END) AS SELECTED FROM (SELECT g.PATIENT_ID, TIME_STEP, c.PATIENT_ID IS NOT NULL AS a, coalesce(c.m, FALSE) AS m, f.PATIENT_ID IS NOT NULL AS s FROM grid g
+  LEFT JOIN (SELECT PATIENT_ID, AS_OF_DATE, bool_or(DESCRIPTION IS NOT NULL) AS m FROM doc_codes LEFT JOIN code_names USING (FAMILY, CODE) GROUP BY 1, 2) c ON c.PATIENT_ID = g.PATIENT_ID AND c.AS_OF_DATE = g.AS_OF_DATE LEFT JOIN (SELECT DISTINCT PATIENT_ID, AS_OF_DATE FROM tfidf) f ON f.PATIENT_ID = g.PATIENT_ID AND f.AS_OF_DATE = g.AS_OF_DATE) GROUP BY 1""")
 def m09(t):
-    codes = doc_codes(t).join(names(t), "CODE", "left").groupBy(*DOC).agg(F.max(F.col("DESCRIPTION").isNotNull().cast("int")).alias("m"))
+    codes = doc_codes(t).join(code_names(t), CODE, "left").groupBy(*DOC).agg(F.max(F.col("DESCRIPTION").isNotNull().cast("int")).alias("m"))
     chosen = tfidf(t).select(*DOC).distinct().withColumn("s", F.lit(1))
     j = grid(t).join(codes.withColumn("a", F.lit(1)), DOC, "left").join(chosen, DOC, "left")
     # Entities are reduced to one row per step before counting.
