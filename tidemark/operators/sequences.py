@@ -33,6 +33,13 @@ def representation(counts: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown representation {kind}")
 
 
+def mask_groups(periods: DataFrame, observed: str) -> DataFrame:
+    """MASK of each snapshot by its periods' flag: all_padded, partly_covered or fully_covered."""
+    per = periods.groupBy(*KEY).agg(F.count_if(observed).alias("_n"), F.count("*").alias("_all"))
+    group = F.when(F.col("_n") == 0, "all_padded").when(F.col("_n") == F.col("_all"), "fully_covered").otherwise("partly_covered")
+    return per.select(*KEY, group.alias("MASK"))
+
+
 def block_summaries(counts: DataFrame, by: list[str]) -> DataFrame:
     """log1p sums of four blocks and of the newest 1, 3, 6 and 12 steps."""
     spans = [(f"BLOCK_{i}", 3 * i, 3 * i + 3) for i in range(4)] + [(f"NEWEST_{n}", 0, n) for n in (1, 3, 6, 12)]

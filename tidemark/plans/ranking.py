@@ -3,7 +3,8 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions.scalar import hash_int, key_hash
-from tidemark.operators import evaluation as evl, features as ft, ordering as od
+from tidemark.operators import evaluation as evl, events as ev, features as ft, ordering as od, sequences as sq
+from tidemark.plans.aggregates import COVER_SQL
 from tidemark.plans.registry import query
 
 KEY = ["PATIENT_ID", "END_DT"]
@@ -279,16 +280,20 @@ def k11(t):
     return evl.best_f1(evl.curve(t.scored, "P_RESP1"), "P_RESP1")
 
 
-_MEMBERS = """SELECT *, unnest(CASE WHEN END_DT = m THEN ['all', 'latest'] ELSE ['all', 'earlier'] END) AS GRP FROM (SELECT *, max(END_DT) OVER (PARTITION BY PATIENT_ID) AS m FROM scored)"""
+# Entities whose id is a multiple of 6 are given no enrolment, so all their periods are padding.
+_ENROLLED = "CAST(PATIENT_ID AS BIGINT) % 6 <> 0"
+_MEMBERS = f"""SELECT *, unnest(['all', CASE WHEN END_DT = m THEN 'latest' ELSE 'earlier' END, CASE coalesce(n, 0) WHEN 0 THEN 'all_padded' WHEN 12 THEN 'fully_covered' ELSE 'partly_covered' END]) AS GRP FROM (SELECT s.*, n, max(s.END_DT) OVER (PARTITION BY s.PATIENT_ID) AS m FROM scored s
+  LEFT JOIN (SELECT PATIENT_ID, END_DT, count(*) AS n FROM ({COVER_SQL}) WHERE COVERED AND {_ENROLLED} GROUP BY 1, 2) c ON c.PATIENT_ID = s.PATIENT_ID AND c.END_DT = s.END_DT)"""
 
 
-@query("k12_subpopulation_metrics", "GRP:s ROWS:i POSITIVES:i AP:f AUC:f BRIER:f", "scored", f"""SELECT c.GRP, max(tp + tn) AS ROWS, max(tp) AS POSITIVES, {_AP} AS AP, {_AUC} AS AUC, max(b) AS BRIER FROM (
+@query("k12_subpopulation_metrics", "GRP:s ROWS:i POSITIVES:i AP:f AUC:f BRIER:f", "scored enrollment", f"""SELECT c.GRP, max(tp + tn) AS ROWS, max(tp) AS POSITIVES, {_AP} AS AP, {_AUC} AS AUC, max(b) AS BRIER FROM (
   SELECT *, sum(p) OVER (PARTITION BY GRP ORDER BY s DESC) AS cp, sum(n) OVER (PARTITION BY GRP ORDER BY s DESC) AS cn, sum(p) OVER (PARTITION BY GRP) AS tp, sum(n) OVER (PARTITION BY GRP) AS tn FROM (
   SELECT GRP, P_RESP1 AS s, sum(RESP) AS p, sum(1 - RESP) AS n FROM ({_MEMBERS}) GROUP BY 1, 2)) c JOIN (SELECT GRP, avg((P_RESP1 - RESP) * (P_RESP1 - RESP)) AS b FROM ({_MEMBERS}) GROUP BY 1) b USING (GRP) GROUP BY c.GRP""")
 def k12(t):
     latest = t.scored.groupBy("PATIENT_ID").agg(F.max("END_DT").alias("m"))
-    member = F.explode(F.array(F.lit("all"), F.when(F.col("END_DT") == F.col("m"), "latest").otherwise("earlier")))
-    rows = t.scored.join(latest, "PATIENT_ID").withColumn("GRP", member)
+    mask = ev.interval_overlap(ft.period_grid(t.snapshots), t.enrollment.filter(_ENROLLED), "START_DATE", "END_DATE")
+    member = F.explode(F.array(F.lit("all"), F.when(F.col("END_DT") == F.col("m"), "latest").otherwise("earlier"), F.col("MASK")))
+    rows = t.scored.join(latest, "PATIENT_ID").join(sq.mask_groups(mask, "COVERED"), KEY).withColumn("GRP", member)
     return evl.curve_metrics(evl.curve(rows, "P_RESP1", groups=("GRP",)), ("GRP",)).join(
         evl.probability_losses(rows, "P_RESP1", groups=("GRP",)), "GRP")
 
