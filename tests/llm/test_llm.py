@@ -347,3 +347,25 @@ def test_pipeline(spark):
         before = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert out.count() == before
+
+
+def test_number_tables_do_not_meet_number_items(spark):
+    """Windows of placeholders alone stay out of the index; one with enough words beside the numbers is still found."""
+    rng = np.random.default_rng(1)
+
+    def numbers(n):
+        return " ".join(str(x) for x in rng.integers(100, 10**8, n))
+
+    told = "the sum of all {} {} {} {} {} {} {} makes a total here"
+    docs = [*(numbers(600) for _ in range(20)), "start now " + told.format(*range(11, 18)) + " and so on"]
+    items = [*(numbers(100) for _ in range(10)), told.format(*range(31, 38))]
+    kept = []
+    keep = decontaminate.keep
+    try:
+        decontaminate.keep = lambda df, name, *rest: kept.append((name, keep(df, name, *rest))) or kept[-1][1]
+        got = decontaminate.contaminated(spark.createDataFrame(rows(*docs), DOC),
+                                         spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    finally:
+        decontaminate.keep = keep
+    assert [tuple(r) for r in got] == [(20, 10, False)]
+    assert sum(t.count() for name, t in kept if name == "bench-hits") < 20

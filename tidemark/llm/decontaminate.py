@@ -69,6 +69,20 @@ def hashes(column: str, length: Column | int, stride: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.xxhash64(F.slice(column, i + 1, length))))
 
 
+def literals(window: Column) -> Column:
+    return F.size(F.filter(window, lambda t: ~t.isin(*_PLACES)))
+
+
+def telling(item: str, at: Column | str, probe: int) -> Column:
+    """Whether some window of the item around its probe at `at` has the literals that a match needs.
+
+    Runs of placeholders, as in tables of numbers, would meet each other at every place and be refused afterwards.
+    """
+    at, length = F.col(at), F.least(F.size(item), F.lit(WINDOW))
+    first, last = F.greatest(at + probe - length, F.lit(0)), F.least(at, F.size(item) - length)
+    return F.exists(F.sequence(first, last), lambda s: literals(F.slice(item, s + 1, length)) >= LEAST_LITERALS)
+
+
 def identity(docs: DataFrame) -> list[Column]:
     """Key of a row: rows alike in it are alike in all that matters here."""
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")]
@@ -95,7 +109,8 @@ def _matches(docs: DataFrame, items: DataFrame, template) -> DataFrame:
     for length, stride in [(PROBE, STRIDE), *((n, 1) for n in short)]:
         probe = length if stride == 1 else PROBE
         wanted = F.size("item") == length if stride == 1 else F.size("item") >= WINDOW
-        index = keep(bench.where(wanted).select("item_key", F.posexplode(hashes("item", probe, 1)).alias("item_at", "gram")), "bench-index")
+        places = bench.where(wanted).select("item_key", "item", F.posexplode(hashes("item", probe, 1)).alias("item_at", "gram"))
+        index = keep(places.where(telling("item", "item_at", probe)).drop("item"), "bench-index")
         hits = (grams.select("doc_id", "text_key", F.posexplode(hashes("doc", probe, stride)).alias("n", "gram"))
                 .join(index, "gram").select("doc_id", "text_key", (F.col("n") * stride).alias("doc_at"), "item_key", "item_at"))
         found = hits if found is None else found.unionByName(hits)
@@ -124,8 +139,7 @@ def _matches(docs: DataFrame, items: DataFrame, template) -> DataFrame:
         pairs = F.array_distinct(slots(look))
         one_to_one = ((F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))))
                       & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"])))))
-        literals = F.size(look["item"]) - F.size(slots(look))
-        return (look["doc"] == look["item"]) & one_to_one & (literals >= LEAST_LITERALS)
+        return (look["doc"] == look["item"]) & one_to_one & (literals(look["item"]) >= LEAST_LITERALS)
 
     good = F.filter("looks", agrees)
     rows = rows.select("doc_id", "text_key", "item_id", "item_key", good.alias("good")).where(F.size("good") > 0)
