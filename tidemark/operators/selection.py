@@ -1,6 +1,6 @@
 """Vocabularies, feature lists, redundancy and model-based selection."""
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -129,10 +129,10 @@ def _design(columns: list[int], center: list[float] | None = None, scale: list[f
     return F.transform(want, lambda z: (F.element_at("X", z["i"]) - z["m"]) / z["s"])
 
 
-def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0, iterations: int = 1000, center=None, scale=None):
+def _fit(rows: DataFrame, columns: list[int], reg: float, mix: float = 0.0, iterations: int = 1000, center=None, scale=None, standard=True):
     data = rows.select(F.col("RESP").cast("double").alias("label"), F.col("WEIGHT").cast("double").alias("w"),
                        array_to_vector(_design(columns, center, scale)).alias("features"))
-    return LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=mix, maxIter=iterations, tol=1e-6).fit(data)
+    return LogisticRegression(weightCol="w", regParam=reg, elasticNetParam=mix, maxIter=iterations, tol=1e-6, standardization=standard).fit(data)
 
 
 def score_rows(rows: DataFrame, coefficients, columns: list[int], intercept: float, center=None, scale=None) -> DataFrame:
@@ -198,26 +198,6 @@ def grouped_cv(rows: DataFrame, ledger: DataFrame, names: list[str], folds: int,
     return ap.select(*groups, "AP").join(lift.select(*groups, "LIFT"), list(groups))
 
 
-def eliminate(rows: DataFrame, columns: list[int], keep: int, reg: float, step: float = 0.25) -> list[tuple[int, int]]:
-    """Recursive elimination: drop the smallest absolute coefficients until `keep` remain, in steps of a fixed share of the first count.
-
-    Returns (column, rank) with rank 1 for the survivors; only coefficients reach the driver.
-    """
-    rows = settle(rows)
-    left, rank, removed = list(columns), {}, []
-    size = max(1, int(step * len(columns)))
-    while len(left) > keep:
-        model = _fit(rows, left, reg)
-        n = min(size, len(left) - keep)
-        out = sorted(range(len(left)), key=lambda i: (abs(model.coefficients[i]), left[i]))[:n]
-        removed.append([left[i] for i in out])
-        left = [c for i, c in enumerate(left) if i not in set(out)]
-    for k, group in enumerate(reversed(removed), 2):
-        rank.update({c: k for c in group})
-    rank.update({c: 1 for c in left})
-    return [(c, rank[c]) for c in columns]
-
-
 def balanced(rows: DataFrame) -> DataFrame:
     """Rows with WEIGHT scaled so that both classes weigh the same; only the class totals reach the driver."""
     totals = {r.RESP: r.w for r in rows.groupBy("RESP").agg(F.sum("WEIGHT").alias("w")).collect()}
@@ -225,13 +205,3 @@ def balanced(rows: DataFrame) -> DataFrame:
     for label, weight in totals.items():
         factor = F.when(F.col("RESP") == label, sum(totals.values()) / (len(totals) * weight)).otherwise(factor)
     return rows.withColumn("WEIGHT", F.col("WEIGHT") * factor)
-
-
-def embedded_ranks(rows: DataFrame, columns: list[int], reg: float, seed: int = 42, trees: int = 128, depth: int = 6,
-                   leaf: int = 15) -> list[tuple[int, float, float]]:
-    """(column, |elastic-net coefficient|, forest importance) of two models fitted with balanced classes."""
-    rows = settle(balanced(rows))
-    net = _fit(rows, columns, reg, 0.5)
-    data = rows.select(F.col("RESP").cast("double").alias("label"), F.col("WEIGHT").cast("double").alias("w"), array_to_vector("X").alias("features"))
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="w", minInstancesPerNode=leaf).fit(data)
-    return [(c, abs(float(net.coefficients[i])), float(forest.featureImportances[c])) for i, c in enumerate(columns)]

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions.scalar import hash_int
-from tidemark.operators import association as asc, evaluation as evl, features as ft, ordering as od, selection as sel, sequences as sq
+from tidemark.operators import association as asc, evaluation as evl, features as ft, ordering as od, selection as sel, sequences as sq, strategies as sg
 from tidemark.operators.ordering import attach
 from tidemark.plans.aggregates import PANEL_TALL, panel_tall
 from tidemark.plans.monthly import _HISTORY, _SEQ, DESCRIPTOR_SQL, history, masked
@@ -358,35 +358,110 @@ def j25(t):
     return sel.one_standard_error(table)
 
 
-@query("j26_recursive_elimination", "FEATURE:s RFE_RANK:i SELECTED:b")
+# Latest snapshot of each training entity, folds within its label, and the scopes (-1: all rows) that a row belongs to.
+_LATEST = f"""SELECT d.PATIENT_ID, d.RESP, d.FEATURE, d.VALUE, ln(1 + d.VALUE) AS x, SCOPE FROM dense d JOIN (
+  SELECT *, (row_number() OVER (PARTITION BY RESP ORDER BY CAST('0x' || substr(sha256('folds|' || PATIENT_ID), 1, 15) AS BIGINT), PATIENT_ID) - 1) % {FOLDS} AS FOLD
+  FROM (SELECT PATIENT_ID, max(END_DT) AS END_DT, arg_max(RESP, END_DT) AS RESP FROM manifest WHERE SPLIT = 'train' GROUP BY 1)) f
+  ON f.PATIENT_ID = d.PATIENT_ID AND f.END_DT = d.END_DT JOIN (SELECT unnest(range(-1, {FOLDS})) AS SCOPE) s ON SCOPE <> FOLD"""
+_LEDGER = f"""b AS MATERIALIZED (SELECT SCOPE, FEATURE, count(*) AS OBSERVED, count(*) FILTER (VALUE <> 0) AS NONZERO, min(VALUE) AS LOW, max(VALUE) AS HIGH, avg(x) AS CENTER,
+    CASE WHEN min(VALUE) = max(VALUE) THEN 1.0 ELSE stddev_pop(x) END AS SCALE, avg(x) FILTER (RESP = 1) - avg(x) FILTER (RESP = 0) AS gap, string_agg(VALUE, ',' ORDER BY PATIENT_ID) AS content FROM x GROUP BY 1, 2),
+  mi AS (SELECT SCOPE, FEATURE, sum(w / t * ln(w * t / (p * y))) AS MI FROM (SELECT *, sum(w) OVER (PARTITION BY SCOPE, FEATURE) AS t, sum(w) OVER (PARTITION BY SCOPE, FEATURE, VALUE) AS p, sum(w) OVER (PARTITION BY SCOPE, FEATURE, RESP) AS y
+    FROM (SELECT SCOPE, FEATURE, VALUE, RESP, count(*)::DOUBLE AS w FROM x GROUP BY 1, 2, 3, 4)) GROUP BY 1, 2),
+  q AS (SELECT b.*, MI, gap / SCALE AS EFFECT, CASE WHEN HIGH > 0 THEN nullif(min(b.FEATURE) OVER (PARTITION BY b.SCOPE, content), b.FEATURE) END AS DUPLICATE_OF FROM b JOIN mi ON mi.SCOPE = b.SCOPE AND mi.FEATURE = b.FEATURE),
+  g AS (SELECT *, CASE WHEN OBSERVED < {asc.MIN_OBSERVED} THEN 'insufficient_observations' WHEN LOW = HIGH THEN 'constant_observed_values' WHEN NONZERO < {asc.MIN_NONZERO} THEN 'insufficient_nonzero_support' WHEN DUPLICATE_OF IS NOT NULL THEN 'exact_duplicate' ELSE 'eligible' END AS QUALITY_REASON FROM q),
+  lg AS MATERIALIZED (SELECT *, CASE WHEN QUALITY_REASON = 'eligible' THEN row_number() OVER (PARTITION BY SCOPE, QUALITY_REASON = 'eligible' ORDER BY round(MI, 9) DESC, FEATURE) END AS RANK FROM g)"""
+#: Redundancy of the compared filter lists; low enough that some features of the data are redundant.
+NEAR = 0.3
+#: Length of the compared embedded lists; short enough to cut.
+SHORT_LIST = 12
+
+
+def latest_sparse(t):
+    """The latest snapshot of each training entity with its fold, numbered once."""
+    train = t.packed.filter(TRAIN)
+    last = train.groupBy("PATIENT_ID").agg(F.max("END_DT").alias("END_DT"))
+    rows = train.join(last, KEY, "left_semi").select(*KEY, "RESP", "COUNTS")
+    fold = sel.stratified_folds(rows.select("PATIENT_ID", "RESP"), FOLDS, "folds").select("PATIENT_ID", "FOLD")
+    return asc.sparse_rows(rows.join(fold, "PATIENT_ID"), VOCABULARY)
+
+
+def scope_fits(sparse, ledger, scopes, settings):
+    names = F.array(*[F.lit(v) for v in VOCABULARY])
+    x = F.transform(names, lambda n: F.log1p(F.coalesce(F.try_element_at("COUNTS", n), F.lit(0)).cast("double")))
+    rows = settle(sparse.rows.select(*KEY, "RESP", "FOLD", x.alias("X")))
+    found = sg.states(ledger)
+    return {s: sg.ScopeFits(rows, s, list(VOCABULARY), found[s], settings) for s in scopes}
+
+
+@query("j28_fold_ledger", "SCOPE:i FEATURE:s OBSERVED:i NONZERO:i LOW:f HIGH:f QUALITY_REASON:s DUPLICATE_OF:s CENTER:f SCALE:f EFFECT:f MI:f RANK:i", "dense manifest", f"WITH x AS MATERIALIZED ({_LATEST}), {_LEDGER} SELECT * FROM lg")
+def j28a(t):
+    return sg.scope_ledger(latest_sparse(t), FOLDS)
+
+
+@query("j28_fold_filter_lists", "SCOPE:i FEATURE:s RANK:i SELECTED:b REASON:s REDUNDANT_WITH:s", "dense manifest", f"""WITH RECURSIVE x AS MATERIALIZED ({_LATEST}), {_LEDGER},
+  r AS MATERIALIZED (SELECT SCOPE, FEATURE, PATIENT_ID, rank() OVER (PARTITION BY SCOPE, FEATURE ORDER BY VALUE) + (count(*) OVER (PARTITION BY SCOPE, FEATURE, VALUE) - 1) / 2.0 AS v FROM x),
+  e AS MATERIALIZED (SELECT a.SCOPE, a.FEATURE AS a, b.FEATURE AS b FROM r a JOIN r b ON a.SCOPE = b.SCOPE AND a.PATIENT_ID = b.PATIENT_ID AND a.FEATURE < b.FEATURE GROUP BY 1, 2, 3 HAVING abs(corr(a.v, b.v)) >= {NEAR}),
+  s AS MATERIALIZED (SELECT SCOPE, a, b FROM e UNION SELECT SCOPE, b, a FROM e),
+  nb AS MATERIALIZED (SELECT SCOPE, FEATURE, MI, RANK, coalesce((SELECT list(b) FROM s WHERE a = FEATURE AND s.SCOPE = lg.SCOPE), []) AS n FROM lg WHERE RANK IS NOT NULL),
+  w(SCOPE, i, kept, FEATURE, REASON, REDUNDANT_WITH) AS (SELECT DISTINCT SCOPE, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM nb UNION ALL
+  SELECT nb.SCOPE, nb.RANK, CASE WHEN list_has_any(w.kept, nb.n) OR round(MI, 9) <= 0 OR len(w.kept) >= {FILTER_LIST} THEN w.kept ELSE list_append(w.kept, nb.FEATURE) END, nb.FEATURE,
+  CASE WHEN list_has_any(w.kept, nb.n) THEN 'spearman_redundancy' WHEN round(MI, 9) <= 0 THEN 'zero_estimated_mutual_information' WHEN len(w.kept) >= {FILTER_LIST} THEN 'below_selection_cutoff' ELSE 'selected' END,
+  list_filter(w.kept, lambda z: list_contains(nb.n, z))[1] FROM w JOIN nb ON nb.SCOPE = w.SCOPE AND nb.RANK = w.i + 1)
+  SELECT SCOPE, FEATURE, i AS RANK, REASON = 'selected' AS SELECTED, REASON, REDUNDANT_WITH FROM w WHERE i > 0""")
+def j28b(t):
+    sparse = latest_sparse(t)
+    return sg.filter_lists(sg.scope_ledger(sparse, FOLDS), sg.scope_pairs(sparse, list(range(sg.WHOLE, FOLDS)), NEAR), FILTER_LIST)
+
+
+@query("j28_fold_frequency", "FEATURE:s SELECTED:b FOLD_SELECTION_COUNT:i FOLD_SELECTION_FREQUENCY:f FOLD_ELIGIBILITY_FREQUENCY:f", "dense manifest", f"""WITH x AS MATERIALIZED ({_LATEST}), {_LEDGER},
+  c AS (SELECT SCOPE, FEATURE, round(abs(EFFECT), 9) AS c, round(MI, 9) AS i, abs(EFFECT) <= 1e-8 AND MI <= 0 AS dead FROM lg WHERE RANK IS NOT NULL),
+  m AS (SELECT *, (rank() OVER (PARTITION BY SCOPE ORDER BY c DESC) + (count(*) OVER (PARTITION BY SCOPE, c) - 1) / 2.0 + rank() OVER (PARTITION BY SCOPE ORDER BY i DESC) + (count(*) OVER (PARTITION BY SCOPE, i) - 1) / 2.0) / 2 AS mr FROM c),
+  p AS (SELECT SCOPE, FEATURE, NOT dead AND row_number() OVER (PARTITION BY SCOPE, dead ORDER BY mr, FEATURE) <= {SHORT_LIST} AS s FROM m)
+  SELECT l.FEATURE, coalesce(bool_or(s) FILTER (l.SCOPE = -1), false) AS SELECTED, count(*) FILTER (s AND l.SCOPE >= 0) AS FOLD_SELECTION_COUNT, count(*) FILTER (s AND l.SCOPE >= 0) / {FOLDS}.0 AS FOLD_SELECTION_FREQUENCY,
+  count(*) FILTER (l.SCOPE >= 0 AND RANK IS NOT NULL) / {FOLDS}.0 AS FOLD_ELIGIBILITY_FREQUENCY FROM lg l JOIN p ON p.SCOPE = l.SCOPE AND p.FEATURE = l.FEATURE GROUP BY 1""")
+def j28c(t):
+    """The two components are the class effect and the information here, which SQL can state; j28 takes those of the fitted models."""
+    ledger = settle(sg.scope_ledger(latest_sparse(t), FOLDS))
+    parts = ledger.filter("RANK IS NOT NULL").select("SCOPE", "FEATURE", F.col("EFFECT").alias("COEFFICIENT"), F.col("MI").alias("IMPORTANCE"))
+    return sg.fold_frequency(sg.embedded_lists(parts, SHORT_LIST), ledger, FOLDS)
+
+
+def whole_fits(t, settings):
+    sparse = latest_sparse(t)
+    ledger = settle(sg.scope_ledger(sparse, FOLDS).filter(F.col("SCOPE") == sg.WHOLE))
+    return scope_fits(sparse, ledger, [sg.WHOLE], settings)
+
+
+@query("j26_recursive_elimination", "FEATURE:s SHORTLIST_MI:f RFE_RANK:i FINAL_ABS_COEFFICIENT:f RANK:i SELECTED:b")
 def j26(t):
-    return eliminated(t, 8)
+    return sg.wrapper_table(whole_fits(t, sg.Settings()), t.spark, 8)
 
 
-def eliminated(t, keep):
-    ranks = sel.eliminate(cv_rows(t), list(range(len(VOCABULARY))), keep, 0.1)
-    return t.rows([(VOCABULARY[c], r) for c, r in ranks], "FEATURE string, RFE_RANK int").withColumn("SELECTED", F.col("RFE_RANK") == 1)
+@query("j27_embedded_mean_rank", "FEATURE:s COEFFICIENT:f IMPORTANCE:f MEAN_RANK:f RANK:i SELECTED:b REASON:s")
+def j27(t):
+    return sg.embedded_table(whole_fits(t, sg.Settings()), t.spark, EMBEDDED_LIST)
 
 
-def embedded(t):
-    parts = sel.embedded_ranks(cv_rows(t), list(range(len(VOCABULARY))), 0.02)
-    table = t.rows([(VOCABULARY[c], a, b) for c, a, b in parts], "FEATURE string, ABS_COEFFICIENT double, TREE_IMPORTANCE double")
-    mid = lambda c: F.rank().over(W.orderBy(F.desc(c))) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
-    return table.withColumn("MEAN_RANK", (mid("ABS_COEFFICIENT") + mid("TREE_IMPORTANCE")) / 2)
+def strategies(t, scopes):
+    """(choices, ledger, fits) of the three strategies in the given scopes."""
+    settings = sg.Settings(filter_list=FILTER_LIST, wrapper_list=WRAPPER_LIST, embedded_list=EMBEDDED_LIST)
+    sparse = latest_sparse(t)
+    ledger = settle(sg.scope_ledger(sparse, FOLDS))
+    fits = scope_fits(sparse, ledger, scopes, settings)
+    return sg.strategy_choices(sparse, ledger, fits, settings), ledger, fits
 
 
-@query("j27_embedded_mean_rank", "FEATURE:s ABS_COEFFICIENT:f TREE_IMPORTANCE:f MEAN_RANK:f")
-def j27(t):
-    return embedded(t)
+@query("j28_strategy_report", "FEATURE:s STRATEGY:s SELECTED:b FOLD_SELECTION_COUNT:i FOLD_SELECTION_FREQUENCY:f FOLD_ELIGIBILITY_FREQUENCY:f STRATEGIES:i")
+def j28(t):
+    choices, ledger, _ = strategies(t, list(range(sg.WHOLE, FOLDS)))
+    table = sg.fold_frequency(choices, ledger, FOLDS, "STRATEGY")
+    return table.join(table.groupBy("FEATURE").agg(F.count_if("SELECTED").alias("STRATEGIES")), "FEATURE")
 
 
-@query("j28_strategy_report", "FEATURE:s STRATEGIES:i FILTER:b WRAPPER:b EMBEDDED:b")
-def j28(t):
-    chosen = (j16(t).filter("STATE = 'kept'").select("FEATURE", F.lit("filter").alias("s"))
-              .unionByName(eliminated(t, WRAPPER_LIST).filter("SELECTED").select("FEATURE", F.lit("wrapper").alias("s")))
-              .unionByName(embedded(t).orderBy("MEAN_RANK", "FEATURE").limit(EMBEDDED_LIST).select("FEATURE", F.lit("embedded").alias("s"))))
-    has = lambda n: F.bool_or(F.col("s") == n).alias(n.upper())
-    return chosen.groupBy("FEATURE").agg(F.count("*").alias("STRATEGIES"), has("filter"), has("wrapper"), has("embedded"))
+@query("j31_strategy_fold_diagnostics", "STRATEGY:s FOLD:i FIT_ROWS:i ROWS:i FEATURES:i AP:f PREVALENCE:f PRECISION:f LIFT:f")
+def j31b(t):
+    choices, _, fits = strategies(t, list(range(FOLDS)))
+    return sg.strategy_diagnostics(choices, fits)
 
 
 @query("j29_fold_accounting", "FOLD:i SNAPSHOTS:i ENTITIES:i POSITIVES:i OVERLAP:i", "manifest", f"""SELECT FOLD, count(*) AS SNAPSHOTS, count(DISTINCT m.PATIENT_ID) AS ENTITIES, sum(m.RESP) AS POSITIVES, 0 AS OVERLAP FROM manifest m JOIN ({FOLD_SQL}) f ON f.PATIENT_ID = m.PATIENT_ID WHERE SPLIT = 'train' GROUP BY 1""")
