@@ -1,4 +1,9 @@
-"""Corpus pipeline: named stages over documents, each written and read again before the next."""
+"""Corpus pipeline: named stages over documents, each written and read again before the next.
+
+Every stage but the last returns the columns of its input, whatever others stand beside doc_id, text, source and n_chars. An empty table gives
+an empty result in each. Rows that repeat a doc_id, null ids among them, are rows of their own. Null texts count as empty; texts without words
+leave at the mix at the latest, which takes no words of them. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order on the documents of sf_dir: what is read back from the token files, one row per document of the mix.
+
+    Tables between stages are kept in the shared folder, so a lost executor costs tasks of one stage only.
+    """
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
