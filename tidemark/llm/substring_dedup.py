@@ -1,15 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by hashes of content-defined reference blocks, in place of a greedy relative Lempel-Ziv parse.
 
-Every document is parsed against the documents of smaller id. The index holds content-defined reference blocks: for each window
-of WINDOW words its anchor is the smallest hash among its GRAM-word grams, and a block is a maximal run of windows with one
-anchor. Equal passages have equal blocks whatever surrounds them.
+Every document is compared with the documents of smaller id. The index holds reference blocks: for each window of WINDOW words its
+anchor is the smallest hash among its GRAM-word grams, and a block is a maximal run of windows with one anchor. Equal passages have
+equal blocks whatever surrounds them. No longest match is extended and nothing reaches over the edge of a block.
 
-* A block that also stands in a smaller document is a factor of at least WINDOW words: all its windows are known there.
-* Blocks differ only at the edges of passages. A block whose anchor occurs elsewhere with other content lies at such a factor
-  boundary, and there each window is looked up by itself.
+* A block that also stands in a smaller document is known: so are all its windows.
+* Blocks differ only at the edges of passages. A block whose anchor occurs elsewhere with other content lies at such an edge, and
+  there each window is looked up by itself.
 
-So a window is looked up alone only near boundaries, the index has about one row for every 18 words, and the result is that of
-comparing all windows. Hashes are of content; block and window keys have 128 bits (anchor and content).
+So a window is looked up alone only near edges, the index has about one row for every 18 words, and the result is that of
+comparing all windows, up to collisions: block and window keys are 128-bit hashes of content, which are not compared byte by byte.
 """
 
 from __future__ import annotations
