@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import queries, ranked_search, token_counts, whitening
+from tidemark.llm import queries, ranked_search, token_counts, whitening, wordhash
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 911}x{i}" for i in range(20_000))
@@ -131,6 +131,18 @@ def test_search_of_ties_and_one_term(spark):
     assert got == [(i, r, r) for i in (1, 2) for r in range(1, 11)]
 
 
+def test_search_beside_very_long_terms(spark):
+    """A term of more than 256 bytes must not change how the other terms beside it are found."""
+    docs = [(1, "alpha beta"), (2, "alpha " + "z" * 300 + " beta beta"), (3, "y" * 700), (4, "gamma alpha")]
+    items = [(1, "alpha beta"), (2, "beta " + "y" * 700), (3, "z" * 300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = ranked_search.search(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_search(docs, items)
+    texts = pa.array(["one two", "x" * 257, "one"])
+    words = [wordhash.Words(texts, a, b, wordhash.separators()).hashes().tolist() for a, b in ((0, 1), (0, 3))]
+    assert words[1][:2] == words[0] and words[1][3] == words[0][0]
+
+
 def test_long_documents_are_cut_between_terms():
     texts = pa.array([LONG.replace(" ", "-"), "a b", LONG], pa.string())
     for limit in (500, 5000):

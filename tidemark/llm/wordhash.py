@@ -49,11 +49,13 @@ _PLACES = factors(256, b"place")
 
 
 def places(n: int) -> np.ndarray:
-    """Factors by place in a word; beyond 256 they repeat, mixed with the round."""
+    """Factors by place in a word, the same prefix for any n; beyond 256 they repeat, mixed with the round."""
     if n <= len(_PLACES):
         return _PLACES
     rounds = np.arange(n, dtype=_U) // _U(len(_PLACES))
-    return mix(np.resize(_PLACES, n) + rounds * _U(0x9E3779B97F4A7C15)) | _U(1)
+    out = mix(np.resize(_PLACES, n) + rounds * _U(0x9E3779B97F4A7C15)) | _U(1)
+    out[:len(_PLACES)] = _PLACES
+    return out
 
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
