@@ -18,8 +18,11 @@ def steps(n: int) -> Column:
 
 
 def spine(snapshots: DataFrame, n: int = 12) -> DataFrame:
-    """Each snapshot once per step, expanded in place."""
-    return snapshots.withColumn("TIME_STEP", steps(n))
+    """Each snapshot once per step, expanded in place.
+
+    Spark sizes the rows as if they were not expanded and would send them to the driver for a broadcast, hence the hint.
+    """
+    return snapshots.withColumn("TIME_STEP", steps(n)).hint("merge")
 
 
 def filled_spine(snapshots: DataFrame, counts: DataFrame, n: int = 12) -> DataFrame:
