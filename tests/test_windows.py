@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import events as ev, features as ft
+from tidemark.operators import events as ev, features as ft, text as tx
 from tidemark.plans.catalog import CATALOG
 from tidemark.plans.relations import Tables
 
@@ -51,3 +51,20 @@ def test_code_maps_by_size(spark):
     small = spark.range(5).withColumnRenamed("id", "CODE")
     assert "broadcast" in ev.sendable(small)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in ev.sendable(small, 4)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_fan_out_by_entity_equals_the_grid(spark):
+    snaps = spark.createDataFrame([("a", D(2024, 3, 31)), ("a", D(2024, 3, 15)), ("a", D(2024, 2, 29)), ("b", D(2024, 1, 1))], "PATIENT_ID string, END_DT date")
+    days = [D(2023, 3, 31), D(2023, 4, 30), D(2024, 2, 29), D(2024, 2, 15), D(2024, 3, 15), D(2024, 3, 31), D(2023, 12, 31), D(2024, 1, 1), D(2024, 1, 31)]
+    values = spark.createDataFrame([(p, d, i) for p in "abc" for i, d in enumerate(days)], "PATIENT_ID string, AS_OF_DATE date, v int")
+    columns = ["PATIENT_ID", "END_DT", "TIME_STEP", "AS_OF_DATE", "v"]
+    want = tx.fan_out(ft.asof_grid(snaps, "month_end_history"), values)
+    assert sorted(tx.fan_out_by_entity(values, snaps).select(columns).collect()) == sorted(want.select(columns).collect()) != []
+
+
+def test_terms_are_not_shuffled(spark):
+    # Before, term rows were shuffled by document, by snapshot and by snapshot and term, and kept as an uncompressed checkpoint.
+    plan = CATALOG["i20_term_sequence_summary"].run(spark, FOLDER)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [line for line in text.splitlines() if " Exchange hashpartitioning" in line and "TERM#" in line.split("hashpartitioning(")[1].split(")")[0] and "END_DT#" in line]

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.functions.calendar import month_start
+from tidemark.operators.events import in_window, snapshots_by_entity, step_of
 from tidemark.operators.ordering import attach
 
 WORD = r"[\p{L}\p{N}_]+"  # fixed value: a token is a run of letters, digits and underscores
@@ -37,10 +39,17 @@ def document_coverage(rows: DataFrame, documents: DataFrame, doc: list[str], eve
     return documents.select(*doc).join(seen, doc, "left").fillna(0, ["EVENTS", "NULL_EVENT_ROWS"])
 
 
-def weighted_terms(rows: DataFrame, doc: list[str], text: str, weight: str, stop_words: list[str] = ()) -> DataFrame:
-    """Event-weighted term counts per document. Each distinct description is tokenised once."""
-    names = rows.select(text).distinct().withColumn("TERM", F.explode(terms(F.col(text), stop_words)))
-    names = names.groupBy(text, "TERM").agg(F.count("*").alias("_k"))
+def text_terms(texts: DataFrame, text: str, stop_words: list[str] = ()) -> DataFrame:
+    """Terms of each distinct text, with their repeats _k."""
+    return texts.select(text).distinct().withColumn("TERM", F.explode(terms(F.col(text), stop_words))).groupBy(text, "TERM").agg(F.count("*").alias("_k"))
+
+
+def weighted_terms(rows: DataFrame, doc: list[str], text: str, weight: str, stop_words: list[str] = (), names: DataFrame | None = None) -> DataFrame:
+    """Event-weighted term counts per document. Each distinct description is tokenised once.
+
+    `names`: text_terms of all texts, where the caller knows them without a pass over the rows.
+    """
+    names = text_terms(rows, text, stop_words) if names is None else names
     return rows.join(names, text).groupBy(*doc, "TERM").agg(F.sum(F.col(weight) * F.col("_k")).alias("TF"))
 
 
@@ -66,6 +75,19 @@ def fan_out(grid: DataFrame, values: DataFrame) -> DataFrame:
     return grid.join(values, ["PATIENT_ID", "AS_OF_DATE"])
 
 
+def fan_out_by_entity(values: DataFrame, snapshots: DataFrame, steps: int = 12) -> DataFrame:
+    """fan_out on the month-end grid, without the grid: one row per document meets the array of its entity's snapshots.
+
+    values: one row per (PATIENT_ID, AS_OF_DATE) and further columns. The result stays partitioned by entity. A snapshot refers to the
+    document of its cutoff and to those of the month ends in its window.
+    """
+    day = F.col("AS_OF_DATE")
+    joined = values.join(snapshots_by_entity(snapshots.select("PATIENT_ID", "END_DT"), steps), "PATIENT_ID")
+    own = F.filter(in_window(day), lambda s: (day == s["END_DT"]) | ((day == F.last_day(day)) & (day < month_start(s["END_DT"]))))
+    rows = joined.withColumn("END_DT", F.explode(F.transform(own, lambda s: s["END_DT"])))
+    return rows.select("PATIENT_ID", "END_DT", step_of("AS_OF_DATE").alias("TIME_STEP"), *[c for c in values.columns if c != "PATIENT_ID"])
+
+
 def salience(positions: DataFrame, snapshots: DataFrame, steps: int = 12) -> DataFrame:
     """Mean TF-IDF over all positions, zeros included, and number of non-zero positions per term."""
     n = snapshots.agg(F.count("*").alias("_s"))
