@@ -68,3 +68,11 @@ def test_terms_are_not_shuffled(spark):
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert not [line for line in text.splitlines() if " Exchange hashpartitioning" in line and "TERM#" in line.split("hashpartitioning(")[1].split(")")[0] and "END_DT#" in line]
+
+
+def test_token_branches_are_shuffled_once(spark):
+    plan = CATALOG["g01_token_branches"].run(spark, FOLDER)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Before, tokens were shuffled by all their columns and once more for the join.
+    assert not [line for line in text.splitlines() if " Exchange hashpartitioning" in line and "ENTITY_KEY#" in line.split("hashpartitioning(")[1].split(")")[0]]

@@ -217,7 +217,9 @@ def tokens(t):
 @query("g01_token_branches", "PATIENT_ID:s END_DT:d CATEGORY:s VALUE:i RECENT_VALUE:i MAX_EVENT_DATE:d", "snapshots rx", f"""SELECT s.PATIENT_ID, s.END_DT, CATEGORY, count(DISTINCT ENTITY_KEY) AS VALUE, count(DISTINCT CASE WHEN FILL_DATE BETWEEN END_DT - INTERVAL 4 MONTH
   AND END_DT - INTERVAL 1 MONTH THEN ENTITY_KEY END) AS RECENT_VALUE, max(FILL_DATE) AS MAX_EVENT_DATE FROM snapshots s JOIN ({_TOKENS}) k ON k.PATIENT_ID = s.PATIENT_ID AND FILL_DATE BETWEEN END_DT - INTERVAL 12 MONTH AND END_DT GROUP BY 1, 2, 3""")
 def g01(t):
-    rows = ev.asof_join(t.snapshots.select(*KEY), tokens(t).distinct(), "EVENT_DATE", 13, F.add_months("END_DT", -12))
+    # Shuffled once, by entity: the distinct rows, the join and the members reuse that partitioning.
+    members = tokens(t).repartition("PATIENT_ID").distinct()
+    rows = ev.asof_join(t.snapshots.select(*KEY), members, "EVENT_DATE", 13, F.add_months("END_DT", -12))
     low, high = recent_window(F.col("END_DT"))
     return ev.distinct_members(rows, "CATEGORY", "ENTITY_KEY", F.col("EVENT_DATE").between(low, high))
 
