@@ -369,3 +369,34 @@ def test_number_tables_do_not_meet_number_items(spark):
         decontaminate.keep = keep
     assert [tuple(r) for r in got] == [(20, 10, False)]
     assert sum(t.count() for name, t in kept if name == "bench-hits") < 20
+
+
+def test_near_copies_cost_a_few_comparisons_a_member(spark, monkeypatch):
+    """Copies of one text, each with its own changes: the head links with some only, yet not all pairs are compared."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(changes):
+        words = list(base)
+        for at in rng.choice(150, changes, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        return " ".join(words)
+    texts = [copy(3 - i % 3) for i in range(300)] + [" ".join(f"y{i}{j}" for j in range(30)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared, verify = [], ngram_join.Join._verified
+
+    def counted(self, pairs, reps, name):
+        compared.append(pairs.count())
+        return verify(self, pairs, reps, name)
+    monkeypatch.setattr(ngram_join.Join, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(docs).collect()}
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [[b for b, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)] for x in sets]
+    low = list(range(len(texts)))
+    for _ in low:
+        new = [min(low[b] for b in near[a]) for a in range(len(texts))]
+        if new == low:
+            break
+        low = new
+    assert [got[i] for i in range(len(texts))] == low
+    assert len(set(low[:300])) < 30 and sum(compared) < 40 * 300

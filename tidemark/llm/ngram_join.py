@@ -6,8 +6,10 @@
 2. Every document becomes its set size, a 128-bit set key, its prefix and the counts of its set in 64 hash ranges. Equal sets are
    one class from here on and only one row of a class goes on.
 3. Prefix n-grams are grouped by hash. One that two classes hold gives a pair. One that more hold is compared in a star with its
-   first class; if some are then still apart, the pairs across components are compared as well, so no link between components is
-   missed while groups of near copies cost one comparison a member.
+   first class. Those whose classes are then still in many components are compared with a few more classes at a time, in rounds
+   that go on while each at least halves what is apart. The pairs still across components are compared one by one, so no link
+   between components is missed while groups of near copies cost a fixed number of comparisons a member and round. Texts that share
+   a rare n-gram without being near copies are not joined up by rounds: they cost all their pairs that pass the filters.
 4. Pairs pass the length filter, the positional filter (where the order is known) and a suffix filter (set counts by hash
    range bound the overlap); what remains is distinct and is verified from the texts.
 5. Links become components by label propagation with shortcuts.
@@ -37,6 +39,8 @@ SKETCH = 1 << SKETCH_BITS
 SKETCH_BLOCK = 1 << 16
 SKETCH_TREE = 64
 RANGES = 64
+#: Rows of an n-gram that all its rows are compared with at a time; with more rows than this outside its largest component it takes such a round.
+HEADS = 8
 _TABLE = wordhash.separators()
 _U = np.uint64
 _SETS = "row_key long, doc_id long, text_key long, n long, key_a long, key_b long, prefix array<bigint>, ranges array<smallint>"
@@ -219,29 +223,71 @@ class Join:
         heads = keep_(many.groupBy("gram").agg(F.min(F.struct("row_key", "n", "place")).alias("head")), "heads")
         star = many.join(heads.hint("merge"), "gram").where("row_key != head.row_key").where(self._may_link("n", "place", "head.n", "head.place"))
         pairs = self._filtered(grams.where("held = 2").select("a", "b").unionByName(star.select(F.col("head.row_key").alias("a"), F.col("row_key").alias("b"))), reps)
-        pairs = keep_(pairs, "pairs")
+        pairs = keep_(pairs, "pairs-0")
         drop("grams", "heads")
-        first = self._verified(pairs, reps, "first")
-        # Grams whose classes are in more than one component still: compare across components.
-        parts = components(first)
-        placed = keep_(many.join(parts.withColumnRenamed("v", "row_key"), "row_key", "left").withColumn("component", F.coalesce("component", "row_key")), "placed")
+        self.found = ["first"]
+        links = self._verified(pairs, reps, "first")
+        left = self._apart(many, links, "left-0")
         drop("many")
-        open_ = keep_(placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"), "open")
-        left = keep_(placed.join(open_, "gram", "left_semi"), "left")
-        drop("placed", "open")
+        # Groups that are still in many components: heads at a time against all, as long as that joins them up.
+        before, number = None, 0
+        while True:
+            wide = left.where(F.col("minor") > HEADS)
+            todo = wide.agg(F.sum("minor")).first()[0] or 0
+            if not todo or before and 2 * todo > before:
+                break
+            before, number = todo, number + 1
+            new = keep_(self._filtered(self._headed(wide, number).join(pairs, ["a", "b"], "left_anti"), reps), f"headed-{number}")
+            self.found.append(f"more-{number}")
+            links = links.unionByName(self._verified(new, reps, f"more-{number}"))
+            pairs = keep_(pairs.unionByName(new), f"pairs-{number}")
+            left = self._apart(left.drop("component", "big", "minor"), links, f"left-{number}")
+            drop(f"headed-{number}", f"pairs-{number - 1}", f"left-{number - 1}")
+        # What is left: all pairs across components. Rows of a gram's largest component meet those of the others only.
         other = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_key", "n", "place", "component")])
-        across = left.join(other, "gram").where("row_key < row_key_b and component != component_b").where(self._may_link("n", "place", "n_b", "place_b"))
-        across = across.select(F.col("row_key").alias("a"), F.col("row_key_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        once = (F.col("component_b") == F.col("big")) | (F.col("row_key") < F.col("row_key_b"))
+        across = left.where("component != big").join(other, "gram").where("component != component_b").where(once).where(self._may_link("n", "place", "n_b", "place_b"))
+        across = across.select(F.least("row_key", "row_key_b").alias("a"), F.greatest("row_key", "row_key_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         across = keep_(self._filtered(across, reps), "across")
-        drop("left", "pairs")
-        second = self._verified(across, reps, "second")
+        drop(f"left-{number}", f"pairs-{number}")
+        self.found.append("last")
+        links = links.unionByName(self._verified(across, reps, "last"))
         drop("across", "slim")
-        return first.unionByName(second)
+        return links
+
+    def _apart(self, held: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Rows of the n-grams whose classes the links leave in several components, with component, the largest one of the n-gram (big)
+        and how many rows are outside it (minor)."""
+        placed = self.scratch.keep(held.join(components(links).withColumnRenamed("v", "row_key"), "row_key", "left")
+                                   .withColumn("component", F.coalesce("component", "row_key")), "placed")
+        sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(
+            F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("members"))
+        sizes = sizes.select("gram", F.col("most.component").alias("big"), (F.col("members") - F.col("most.c")).alias("minor")).where("minor > 0")
+        left = self.scratch.keep(placed.join(sizes.hint("merge"), "gram"), name)
+        self.scratch.drop("placed")
+        return left
+
+    def _headed(self, wide: DataFrame, number: int) -> DataFrame:
+        """Distinct pairs a < b of each row with up to HEADS rows of each of its n-grams, those of other components that may link.
+
+        Heads go by a hash of the row, so n-grams held by the same rows mostly have the same heads; others in each round.
+        """
+        order = F.xxhash64("row_key", F.lit(number))
+        heads = wide.groupBy("gram", F.pmod(order, F.lit(HEADS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "row_key", "n", "place", "component")).alias("head"))
+        heads = heads.groupBy("gram").agg(F.collect_list("head").alias("heads"))
+        fits = F.filter("heads", lambda h: (h["component"] != F.col("component"))
+                        & self._may(F.col("n"), F.col("place"), h["n"], h["place"]))
+        met = wide.join(heads.hint("merge"), "gram").select("row_key", F.transform(fits, lambda h: h["row_key"]).alias("met")).where("size(met) > 0")
+        met = met.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+        met = met.select("row_key", F.explode("met").alias("head"))
+        return met.select(F.least("row_key", "head").alias("a"), F.greatest("row_key", "head").alias("b")).distinct()
 
     def _may_link(self, n: str, place: str, n_b: str, place_b: str) -> Column:
+        return self._may(F.col(n), F.col(place), F.col(n_b), F.col(place_b))
+
+    def _may(self, a: Column, place: Column, b: Column, place_b: Column) -> Column:
         """Length filter, and positional filter for the first n-gram a pair shares: what follows it bounds the overlap."""
-        a, b = F.col(n), F.col(n_b)
-        most = F.least(a - F.col(place), b - F.col(place_b))
+        most = F.least(a - place, b - place_b)
         return long_enough(a, b, self.percent) & (most >= overlap_needed(a, b, self.percent))
 
     def _filtered(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -269,7 +315,7 @@ class Join:
     def result(self) -> DataFrame:
         keep_, drop = self.scratch.keep, self.scratch.drop
         parts = components(self.links())
-        drop("first", "second")
+        drop(*self.found)
         named = keep_(self.classes.join(parts.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
         drop("classes")
         lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
