@@ -12,6 +12,7 @@ import pytest
 
 from tidemark.llm import (decontaminate, exact_dedup, line_dedup, mixing, ngram_join, queries, secret_scan, substring_dedup,
                           token_output, toxicity, warc, wordhash)
+from tidemark.llm.common import keep
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 911}x{i}" for i in range(20_000))
@@ -400,3 +401,52 @@ def test_near_copies_cost_a_few_comparisons_a_member(spark, monkeypatch):
         low = new
     assert [got[i] for i in range(len(texts))] == low
     assert len(set(low[:300])) < 30 and sum(compared) < 40 * 300
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Groups cover all labelled rows, long ones too, and what only one group has seen is learned as well."""
+    rng = np.random.default_rng(1)
+    texts, toxic = [], []
+    for i in range(900):
+        own = [f"word{j}" for j in rng.integers(0, 200, 30)]
+        toxic.append(int(i % 3 == 0))
+        if toxic[-1]:
+            own[int(rng.integers(30))] = f"nasty{rng.integers(30)}"
+        texts.append(" ".join(own))
+    texts[6] = " ".join(["word1"] * 50_000) + " nasty1"
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    kept = []
+    monkeypatch.setattr(toxicity, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    model, thresholds = toxicity.fit(docs, labels, group_rows=100)
+    known = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    taught = kept[0].collect()
+    assert sorted(r.text for r in taught) == sorted(texts[i] for i in known)
+    sizes = collections.Counter(r.part for r in taught)
+    assert len(sizes) == 6 and kept[1].count() == sizes[-1] and max(n for part, n in sizes.items() if part >= 0) < 150
+    got = {r.doc_id: r for r in toxicity.score(docs, model, thresholds).collect()}
+    high, low = ([got[i].score for i in got if got[i].held_out and toxic[i] == y] for y in (1, 0))
+    assert np.mean([a > b for a in high for b in low]) > 0.8  # a group of 100 rows has three steps a round
+
+
+def test_long_texts_pool_in_blocks(monkeypatch):
+    column = pa.array([" ".join(f"w{i % 97}x{i % 13}" for i in range(5000)), "one", ""])
+    model = toxicity.fresh(3)
+    whole = toxicity.logits(model, column, 0, 3)
+    for places in (1 << 16, 64, 1):
+        monkeypatch.setattr(toxicity, "PLACES", places)
+        assert np.allclose([toxicity.logits(model, column, i, i + 1)[0] for i in range(3)], whole, atol=1e-5)
+
+
+def test_language_thresholds_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(lang, float(np.round(np.clip(0.2 + 0.4 * y + rng.normal(0, 0.2), 0, 1), 2)), y) for lang in ("en", "de") for y in rng.integers(0, 2, 80).tolist()]
+    rows += [("fr", 0.3, 0), ("fr", 0.9, 0)]
+    got = toxicity.language_thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int"))
+    assert got["fr"] == 0.7
+
+    def f1(lang, cut):
+        own = [(s >= cut, y) for at, s, y in rows if at == lang]
+        return 2 * sum(said and y for said, y in own) / (sum(said for said, _ in own) + sum(y for _, y in own))
+    for lang in ("en", "de"):
+        assert f1(lang, got[lang]) == pytest.approx(max(f1(lang, c / 1000) for c in range(5, 1000, 10)))
