@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import (decontaminate, exact_dedup, line_dedup, mixing, ngram_join, queries, secret_scan, substring_dedup,
                           token_output, toxicity, warc, wordhash)
@@ -450,3 +451,20 @@ def test_language_thresholds_are_those_of_all_rows(spark):
         return 2 * sum(said and y for said, y in own) / (sum(said for said, _ in own) + sum(y for _, y in own))
     for lang in ("en", "de"):
         assert f1(lang, got[lang]) == pytest.approx(max(f1(lang, c / 1000) for c in range(5, 1000, 10)))
+
+
+def test_toxicity_groups_are_parts_of_their_own(spark, monkeypatch):
+    """An even number of groups: each has about its share of the rows and one file; rows without a label are not shuffled, no row with one is lost."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('w', id, ' text') as text", "'en' as lang")
+    labels = spark.range(0, 4000, 2).selectExpr("cast(id as int) as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    known = labels.where(toxicity.fold(F.col("doc_id")) != 1)
+    near = toxicity.likely_labelled(docs, known)
+    assert near.join(known, "doc_id", "left_anti").count() < 20 and near.join(known, "doc_id").count() == known.count()
+    kept = []
+    monkeypatch.setattr(toxicity, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    toxicity.fit(docs, labels, group_rows=180)
+    taught = kept[0].withColumn("file", F.input_file_name()).groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+    sizes = {r.part: r.n for r in taught}
+    groups = max(sizes) + 1
+    assert sum(sizes.values()) == known.count() and groups % 2 == 0 and sorted(sizes) == [-1, *range(groups)]
+    assert all(r.files == 1 and 90 < r.n < 270 for r in taught if r.part >= 0)

@@ -30,6 +30,8 @@ WORD_ROWS, STEM_ROWS, STEM_BYTES, WIDTH, FILTERS, WIDTHS = 1 << 15, 1 << 13, 4,
 GROUP_ROWS, EPOCHS, ROUNDS = 6000, 8, 6
 #: One row in so many calibrates and is not learned.
 CALIBRATION = 5
+#: Bits of the table of labelled ids, and of one of its rows; it is of this size whatever the input.
+ID_BITS, ID_WORD = 24, 6
 #: Changes travel and are added in blocks of this many numbers; those of this many groups first.
 WEIGHT_BLOCK, WEIGHT_TREE = 1 << 14, 64
 #: Places of a long text that are convolved at a time.
@@ -326,22 +328,36 @@ def _logits(weights):
     return run
 
 
+def likely_labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not in known, so that their texts need not be shuffled; no row that is in known is lost.
+
+    Hashes of the known ids set bits of a table of fixed size, which goes to all tasks.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
+    word, place = F.shiftright(bit, ID_WORD), F.pmod(bit, F.lit(1 << ID_WORD)).cast("int")
+    table = known.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)).select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    near = docs.withColumn("word", word).join(F.broadcast(table), "word")
+    return near.where(F.getbit("bits", place) == 1).select(*docs.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, group_rows: int = GROUP_ROWS) -> tuple[Model, dict[str, float]]:
     """Model and thresholds by language, from all labelled documents outside the held-out fold, whole texts.
 
     Null labels and ids teach nothing; of repeated ids one label is used, and each row of that id teaches. One row in CALIBRATION, by a
-    hash of the id, calibrates. Without labels the model is untrained.
+    hash of the id, calibrates. Without labels the model is untrained. Only texts that a table of fixed size takes to be labelled are shuffled.
     """
     spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 1).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     groups = max(1, -(-known.count() * (CALIBRATION - 1) // (CALIBRATION * group_rows)))
     hashed = F.xxhash64("doc_id", F.lit(seed))
-    part = F.when(F.pmod(hashed, F.lit(CALIBRATION)) == 0, -1).otherwise(F.pmod(F.floor(hashed / CALIBRATION), F.lit(groups)))
+    part = F.when(F.pmod(hashed, F.lit(CALIBRATION)) == 0, -1).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("part")), F.lit(groups)))
     taught = docs.where(fold(F.col("doc_id")) != 1).select("doc_id", F.coalesce("text", F.lit("")).cast("string").alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    # Calibrating rows are dealt out by their id: nothing is added up over their order.
-    taught = taught.join(known, "doc_id").withColumn("part", part).withColumn("deal", F.when(F.col("part") < 0, hashed).otherwise(F.col("part")))
-    taught = keep(taught.repartition(max(groups, 8), "deal").sortWithinPartitions("part", hashed, "doc_id", F.xxhash64("text")).drop("deal", "doc_id"), "toxicity-taught")
+    taught = likely_labelled(taught, known).join(known.hint("merge"), "doc_id").withColumn("part", part.cast("int"))
+    # Each group is one partition. Calibrating rows are dealt out by their id: nothing is added up over their order.
+    files = max(groups, 8)
+    taught = taught.withColumn("deal", F.when(F.col("part") < 0, F.pmod(hashed, F.lit(files))).otherwise(F.col("part")).cast("int"))
+    taught = keep(taught.repartitionById(files, F.col("deal")).sortWithinPartitions("part", hashed, "doc_id", F.xxhash64("text")).drop("deal", "doc_id"), "toxicity-taught")
     learned = taught.where("part >= 0")
     n, ones = learned.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
