@@ -468,3 +468,27 @@ def test_toxicity_groups_are_parts_of_their_own(spark, monkeypatch):
     groups = max(sizes) + 1
     assert sum(sizes.values()) == known.count() and groups % 2 == 0 and sorted(sizes) == [-1, *range(groups)]
     assert all(r.files == 1 and 90 < r.n < 270 for r in taught if r.part >= 0)
+
+
+def test_near_copies_that_do_not_link_are_rarely_compared(spark, monkeypatch):
+    """Texts that share rare n-grams and 0.70 of their sets: the filters in the join drop most of their pairs, and no link is lost."""
+    rng = np.random.default_rng(5)
+    base = [f"base{i}" for i in range(120)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for place in rng.choice(23, 2, replace=False):
+            words[5 * place + 4] = f"own{i}x{place}"
+        texts.append(" ".join(words))
+    texts.append(texts[7] + " more")  # links with one of them
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    compared, verified = [], ngram_join.Join._verified
+    monkeypatch.setattr(ngram_join.Join, "_verified", lambda self, pairs, reps, name: compared.append(pairs.count()) or verified(self, pairs, reps, name))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(spark.createDataFrame(rows(*texts), DOC)).collect()}
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, j in linked:
+            low[i] = low[j] = min(low[i], low[j])
+    assert got == dict(enumerate(low)) and (40, 7) in linked
+    assert sum(compared) < 820 // 2

@@ -3,7 +3,7 @@
 1. N-grams are counted over all documents in a table of fixed size (hash buckets; 16 MB, whatever the input), which tasks fill and
    which are added in blocks, near ones first. The order of n-grams is by bucket count, then hash: rare first up to bucket
    collisions, and the same total order everywhere, which is all the prefix filter needs.
-2. Every document becomes its set size, a 128-bit set key, its prefix and the counts of its set in 64 hash ranges. Equal sets are
+2. Every document becomes its set size, a 128-bit set key, its prefix and the counts of its set in 256 hash ranges. Equal sets are
    one class from here on and only one row of a class goes on.
 3. Prefix n-grams are grouped by hash. One that two classes hold gives a pair. One that more hold is compared in a star with its
    first class. Those whose classes are then still in many components are compared with a few more classes at a time, in rounds
@@ -38,7 +38,7 @@ SKETCH = 1 << SKETCH_BITS
 #: Counts travel and are added in blocks of this many; partial tables of this many tasks first.
 SKETCH_BLOCK = 1 << 16
 SKETCH_TREE = 64
-RANGES = 64
+RANGES = 256
 #: Rows of an n-gram that all its rows are compared with at a time; with more rows than this outside its largest component it takes such a round.
 HEADS = 8
 _TABLE = wordhash.separators()
@@ -243,12 +243,15 @@ class Join:
             pairs = keep_(pairs.unionByName(new), f"pairs-{number}")
             left = self._apart(left.drop("component", "big", "minor"), links, f"left-{number}")
             drop(f"headed-{number}", f"pairs-{number - 1}", f"left-{number - 1}")
-        # What is left: all pairs across components. Rows of a gram's largest component meet those of the others only.
-        other = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_key", "n", "place", "component")])
+        # What is left: all pairs across components. Rows of a gram's largest component meet those of the others only. All filters stand
+        # in the join on the n-gram itself, so that no pair that fails one becomes a row.
+        left = left.join(reps.select("row_key", "ranges").hint("merge"), "row_key")
+        other = left.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("row_key", "n", "place", "component", "ranges")])
         once = (F.col("component_b") == F.col("big")) | (F.col("row_key") < F.col("row_key_b"))
         across = left.where("component != big").join(other, "gram").where("component != component_b").where(once).where(self._may_link("n", "place", "n_b", "place_b"))
+        across = across.where(self._may_overlap("n", "ranges", "n_b", "ranges_b"))
         across = across.select(F.least("row_key", "row_key_b").alias("a"), F.greatest("row_key", "row_key_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        across = keep_(self._filtered(across, reps), "across")
+        across = keep_(across, "across")
         drop(f"left-{number}", f"pairs-{number}")
         self.found.append("last")
         links = links.unionByName(self._verified(across, reps, "last"))
@@ -295,9 +298,13 @@ class Join:
         slim = reps.select("row_key", "n", "ranges").hint("merge")
         rows = pairs.distinct().join(slim.withColumnsRenamed({"row_key": "a", "n": "n_a", "ranges": "r_a"}), "a")
         rows = rows.join(slim.withColumnsRenamed({"row_key": "b", "n": "n_b", "ranges": "r_b"}), "b").where(long_enough(F.col("n_a"), F.col("n_b"), self.percent))
-        bound = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-        bound = F.when(F.array_max("r_a") >= 32767, F.least("n_a", "n_b")).otherwise(bound)  # a count that did not fit bounds nothing
-        return rows.where(bound >= overlap_needed(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b")
+        return rows.where(self._may_overlap("n_a", "r_a", "n_b", "r_b")).select("a", "b")
+
+    def _may_overlap(self, n: str, ranges: str, n_b: str, ranges_b: str) -> Column:
+        """Suffix filter: set counts by hash range bound the overlap."""
+        bound = F.aggregate(F.zip_with(ranges, ranges_b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+        bound = F.when(F.array_max(ranges) >= 32767, F.least(n, n_b)).otherwise(bound)  # a count that did not fit bounds nothing
+        return bound >= overlap_needed(F.col(n), F.col(n_b), self.percent)
 
     def _verified(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         keep_, drop = self.scratch.keep, self.scratch.drop
