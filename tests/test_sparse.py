@@ -62,3 +62,13 @@ def test_gram_sums(both, monkeypatch):
     same(asc.pairs_of(asc.sparse_rank_gram(sparse), NAMES, 0.1), ranked)
     monkeypatch.setattr(asc, "RANK_TABLE", 1)
     assert asc.sparse_rank_gram(sparse) is None
+
+
+def test_duplicate_search_shuffles_candidates_only(spark):
+    """Cells of features whose fingerprint no other feature has leave before the comparison, and the pairs are those of all cells."""
+    rows = spark.range(300).selectExpr("cast(id as string) as PATIENT_ID", "date'2020-01-31' as END_DT", "cast(id % 7 as double) as a", "cast(id % 5 as double) as c",
+                                       "if(id = 3, null, cast(id % 7 as double)) as d")
+    rows = rows.selectExpr("PATIENT_ID", "END_DT", "stack(5, 'A', a, 'B', a, 'C', c, 'D', d, 'E', d) as (FEATURE, VALUE)")
+    found = asc.duplicate_features(rows)
+    assert sorted(map(tuple, found.select("FEATURE", "DUPLICATE_OF").collect())) == [("B", "A"), ("E", "D")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
