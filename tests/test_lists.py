@@ -29,6 +29,15 @@ def small(spark):
     return ev.windowed_lists(snapshots, listed, 12, 3), categories
 
 
+def test_cells_of_lists(small):
+    got = sorted(tuple(r) for r in ev.monthly_cells(*small).collect())
+    march, feb = D(2024, 3, 1), D(2024, 2, 29)
+    assert got == [("a", feb, 0, "DX", "DX_X", 1, feb, feb), ("a", feb, 11, "DX", "DX_X", 1, D(2023, 3, 31), D(2023, 3, 31)), ("a", D(2024, 3, 31), 0, "DX", "DX_X", 1, march, march),
+                   ("a", D(2024, 3, 31), 0, "RX", "RX_Y", 2, march, march), ("a", D(2024, 3, 31), 1, "DX", "DX_X", 1, feb, feb)]
+    pivot = {(r.END_DT, r.TIME_STEP): (r.RX_Y, r.none) for r in ft.pivot_months(*small, ["RX_Y", "none"]).collect()}
+    assert pivot == {(D(2024, 3, 31), 0): (2, 0)}
+
+
 def test_tasks_grow_with_the_orders(spark, monkeypatch):
     # Before, the tasks of the counts were those of the session however large the data, and their aggregation tables spilled.
     monkeypatch.setattr(relations, "ORDERS_A_TASK", 50)

@@ -31,9 +31,12 @@ def filled_spine(snapshots: DataFrame, counts: DataFrame, n: int = 12) -> DataFr
     return spine(snapshots.select(*KEY), n).join(per, [*KEY, "TIME_STEP"], "left").fillna(0, ["VALUE"])
 
 
-def pivot_months(counts: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Wide monthly table over a declared vocabulary."""
-    return counts.groupBy(*KEY, "TIME_STEP").pivot("CATEGORY", vocabulary).agg(F.sum("VALUE")).fillna(0)
+def pivot_months(lists: DataFrame, categories: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Wide monthly table over a declared vocabulary, from event lists: one aggregation, no long table before it."""
+    place = F.array_position(F.array(*[F.lit(v) for v in vocabulary]), F.col("CATEGORY")).cast("int")
+    declared = categories.select("ID", place.alias("_p")).filter("_p > 0")
+    rows = lists.withColumn("ID", F.explode("IDS")).join(F.broadcast(declared), "ID")
+    return rows.groupBy(*KEY, "TIME_STEP").agg(*[F.count_if(F.col("_p") == i).alias(v) for i, v in enumerate(vocabulary, 1)])
 
 
 def assemble(rows: DataFrame, step: str, values: list[str], n: int) -> DataFrame:

@@ -332,7 +332,7 @@ _PIVOT = {v: v.replace("#", "_") for v in VOCABULARY}  # column names without si
        "SELECT PATIENT_ID, END_DT, TIME_STEP, " + ", ".join(f"sum(CASE WHEN CATEGORY = '{v}' THEN VALUE ELSE 0 END) AS {c}" for v, c in _PIVOT.items())
        + f" FROM counts WHERE CATEGORY IN (SELECT unnest({sql_list(_PIVOT)})) GROUP BY 1, 2, 3")
 def d33(t):
-    return ft.pivot_months(t.counts.filter(F.col("CATEGORY").isin(*_PIVOT)), list(_PIVOT)).withColumnsRenamed(_PIVOT)
+    return ft.pivot_months(t.windowed, t.categories, list(_PIVOT)).withColumnsRenamed(_PIVOT)
 
 
 @query("d34_seed_ensemble", "PATIENT_ID:s END_DT:d SCORE:f SEEDS:i COMPLETE:b", "model_scores", """SELECT PATIENT_ID, END_DT, avg(SCORE) AS SCORE, count(DISTINCT MODEL) AS SEEDS, count(DISTINCT MODEL) = 3 AS COMPLETE
