@@ -262,7 +262,7 @@ def d25(t):
 @query("d26_train_support", "FEATURE:s SUPPORT:i", "counts manifest", """SELECT CATEGORY AS FEATURE, count(DISTINCT PATIENT_ID) AS SUPPORT FROM counts WHERE PATIENT_ID IN (SELECT PATIENT_ID FROM manifest WHERE SPLIT = 'train') GROUP BY 1""")
 def d26(t):
     from tidemark.operators.selection import train_support
-    return train_support(t.counts.withColumnRenamed("CATEGORY", "FEATURE"), t.manifest.filter("SPLIT = 'train'"))
+    return train_support(t.seen.withColumnRenamed("CATEGORY", "FEATURE"), t.manifest.filter("SPLIT = 'train'"))
 
 
 @query("d27_sequence_assembly", "PATIENT_ID:s END_DT:d SEQ:s STEPS:i COMPLETE:b", "snapshots counts vocab", f"""SELECT s.PATIENT_ID, s.END_DT, string_agg(coalesce(v, ''), '|' ORDER BY i) AS SEQ, count(*) AS STEPS, TRUE AS COMPLETE
