@@ -176,7 +176,7 @@ def f04(t):
 def f05(t):
     from tidemark.operators.selection import capped_vocabulary, train_support
     train = t.manifest.filter("SPLIT = 'train'")
-    return capped_vocabulary(train_support(t.counts.withColumnRenamed("CATEGORY", "FEATURE"), train), 21, reserved=1)
+    return capped_vocabulary(train_support(t.seen.withColumnRenamed("CATEGORY", "FEATURE"), train), 21, reserved=1)
 
 
 @query("f06_term_cap", "TERM:s FREQUENCY:i", "", """SELECT w AS TERM, count(*) AS FREQUENCY FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part JOIN lineitem ON l_partkey = p_partkey)
