@@ -53,3 +53,11 @@ def test_one_scan_and_one_aggregation(spark):
     # Before, lines were scanned once per source, occurrences shuffled one by one and grouped twice.
     assert text.count("l_shipdate") > 0 and len(re.findall(r"FileScan parquet \[l_", text)) == 1
     assert not re.search(r"hashpartitioning\([^)]*CATEGORY", text.split("Generate explode(IDS")[0])
+
+
+@pytest.mark.parametrize("name", ["d26_train_support", "f05_vocabulary_cap", "j30_core_feature_set", "d05_recent_percentage", "d33_fixed_pivot"])
+def test_no_monthly_cells_where_none_are_asked_for(spark, name):
+    # Before, each of these grouped all occurrences by snapshot, step, family and category first.
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(CATALOG[name].run(spark, FOLDER)))
+    grouped = [{re.sub(r"#\d+L?", "", k).strip().split(" ")[-1] for k in found.split(",")} for found in keys]
+    assert not [g for g in grouped if {"END_DT", "ID"} <= g or {"END_DT", "CATEGORY"} <= g]

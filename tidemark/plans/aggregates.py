@@ -54,7 +54,8 @@ def d04(t):
   THEN floor(100.0 * RECENT / ANNUAL + 0.5) ELSE 0 END AS RECENT_PERCENT FROM (SELECT PATIENT_ID, END_DT, sum(VALUE) AS ANNUAL,
   sum(CASE WHEN TIME_STEP BETWEEN 1 AND 3 THEN VALUE ELSE 0 END) AS RECENT FROM counts GROUP BY 1, 2)""")
 def d05(t):
-    s = t.counts.groupBy(*KEY).agg(F.sum("VALUE").alias("ANNUAL"), F.sum(F.when(F.col("TIME_STEP").between(1, 3), F.col("VALUE")).otherwise(0)).alias("RECENT"))
+    n = F.size("IDS")
+    s = t.windowed.groupBy(*KEY).agg(F.sum(n).alias("ANNUAL"), F.sum(F.when(F.col("TIME_STEP").between(1, 3), n).otherwise(0)).alias("RECENT"))
     ready = (F.col("ANNUAL") > 6) & (F.col("RECENT") > 2)
     return s.withColumn("RECENT_PERCENT", F.when(ready, F.floor(100.0 * F.col("RECENT") / F.col("ANNUAL") + 0.5)).otherwise(0))
 
