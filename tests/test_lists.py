@@ -61,3 +61,16 @@ def test_no_monthly_cells_where_none_are_asked_for(spark, name):
     keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(CATALOG[name].run(spark, FOLDER)))
     grouped = [{re.sub(r"#\d+L?", "", k).strip().split(" ")[-1] for k in found.split(",")} for found in keys]
     assert not [g for g in grouped if {"END_DT", "ID"} <= g or {"END_DT", "CATEGORY"} <= g]
+
+
+def test_wide_block_summaries(spark):
+    rows = spark.createDataFrame([("a", [1.0, None, None, 4.0], [True, False, False, True]), ("b", [None, None, None, None], [False, False, True, False])], "k string, v array<double>, h array<boolean>")
+    at = lambda c, i: F.col(c)[i] if i < 4 else F.lit(None).cast("double") if c == "v" else F.lit(False)
+    got = {r.k: r for r in sq.wide_block_summaries(rows, ["k"], [at("v", i) for i in range(12)], [at("h", i) for i in range(12)]).collect()}
+    assert [got["a"].BLOCK_0, got["a"].BLOCK_1, got["a"].NEWEST_12] == pytest.approx([math.log(2), math.log(5), math.log(6)])
+    assert got["b"].BLOCK_0 is None and got["b"].BLOCK_1 == 0.0 and got["b"].NEWEST_1 == 0.0 and got["b"].NEWEST_12 is None
+
+
+def test_summaries_read_the_counts_once(spark):
+    # Before, the counts were computed for the medians and once more for the sums.
+    assert not re.search(r"FileScan parquet \[l_", plan(CATALOG["i08_temporal_summaries"].run(spark, FOLDER)))

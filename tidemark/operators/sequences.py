@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 KEY = ["PATIENT_ID", "END_DT"]
 # Least-squares weights of twelve months, newest first: (5.5 - step) / 143.
 SLOPE_MID, SLOPE_NORM = 5.5, 143.0
+STEPS = 12
 
 
 def window_sum(low: int, high: int, value: str = "VALUE", step: str = "TIME_STEP") -> Column:
@@ -40,10 +41,17 @@ def mask_groups(periods: DataFrame, observed: str) -> DataFrame:
     return per.select(*KEY, group.alias("MASK"))
 
 
-def block_summaries(counts: DataFrame, by: list[str]) -> DataFrame:
-    """log1p sums of four blocks and of the newest 1, 3, 6 and 12 steps."""
+def wide_block_summaries(rows: DataFrame, by: list[str], values: list[Column], held: list[Column]) -> DataFrame:
+    """log1p sums of four blocks and of the newest 1, 3, 6 and 12 steps, from rows with a value for each step (null: no cell, or unknown).
+
+    `held` says which steps have a cell. A sum of unknown values only is null where no other step of the row has a cell.
+    """
     spans = [(f"BLOCK_{i}", 3 * i, 3 * i + 3) for i in range(4)] + [(f"NEWEST_{n}", 0, n) for n in (1, 3, 6, 12)]
-    return counts.groupBy(*by).agg(*[F.log1p(window_sum(a, b)).alias(n) for n, a, b in spans])
+
+    def total(low, high):
+        known = F.coalesce(*values[low:high], *[F.when(h, F.lit(0.0)) for h in held[:low] + held[high:]], F.lit(None).cast("double"))
+        return F.when(known.isNotNull(), sum((F.coalesce(v, F.lit(0.0)) for v in values[low:high]), F.lit(0.0)))
+    return rows.select(*by, *[F.log1p(total(a, b)).alias(n) for n, a, b in spans])
 
 
 def timing(counts: DataFrame, by: list[str], complete: Column | None = None) -> DataFrame:
