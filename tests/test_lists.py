@@ -74,3 +74,11 @@ def test_wide_block_summaries(spark):
 def test_summaries_read_the_counts_once(spark):
     # Before, the counts were computed for the medians and once more for the sums.
     assert not re.search(r"FileScan parquet \[l_", plan(CATALOG["i08_temporal_summaries"].run(spark, FOLDER)))
+
+
+def test_vectors_are_made_in_place(spark):
+    rows = spark.createDataFrame([({"B": 2},), (None,)], "COUNTS map<string,long>")
+    assert [r.X for r in rows.select(asc.log_vector(["A", "B"]).alias("X")).collect()] == [[0.0, pytest.approx(math.log(3))], [0.0, 0.0]]
+    from tidemark.plans.associations import cv_rows
+    # Before, every snapshot was written out as one row per feature and gathered again.
+    assert "collect_list(struct(FEATURE" not in plan(cv_rows(Tables(spark, FOLDER)))
