@@ -171,11 +171,13 @@ def train(model: Model, rows: list, labels: np.ndarray, share: float, epochs: in
                 for k, width in enumerate(WIDTHS):
                     own = back[k * FILTERS:(k + 1) * FILTERS]
                     grads[2 + len(WIDTHS) + k] += own
+                    # Only a filter with a response has its place at a word; a text without words has no place to look at.
+                    told = np.flatnonzero(own)
                     for j in range(width):
-                        place = where[k] + j
-                        used = np.flatnonzero((own != 0) & real[place])
+                        used = told[real[where[k][told] + j]]
                         if len(used):
-                            at_word, at_stem, by = word[place[used]], stem[place[used]], own[used]
+                            place = where[k][used] + j
+                            at_word, at_stem, by = word[place], stem[place], own[used]
                             grads[2 + k][j, :, used] += by[:, None] * (model.words[at_word] + model.stems[at_stem])
                             touched.append((at_word, at_stem, by[:, None] * model.filters[k][j][:, used].T))
             if touched:
