@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from tidemark.llm import toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,3 +31,12 @@ def test_op8_fits_and_scores_them(spark):
     model, thresholds = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     got = {r.doc_id: r for r in toxicity.score(docs, model, thresholds).collect()}
     assert len(got) == 120 and len({got[i].score for i in range(120) if i % 6 < 4}) == 1 and got[5].score > got[4].score
+
+
+def test_pipeline_stage_keeps_them(spark, tmp_path):
+    docs, labels = table()
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    name, stage = corpus_pipeline.STAGES[0]
+    kept = {r.doc_id for r in stage(spark, corpus_pipeline.table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()}
+    assert name == "toxicity" and kept >= {i for i in range(120) if i % 6 == 4}
