@@ -4,9 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import resample as rs
+from tidemark.operators import resample as rs, sequences as sq
+from tidemark.plans.catalog import CATALOG
 
 D = dt.date
+FOLDER = "/root/testdata/sf0.001"
 
 
 def lines(df, name):
@@ -23,3 +25,27 @@ def test_picks_of_draws_are_not_broadcast(spark):
     assert plan.count("Exchange hashpartitioning(SLOT#") == 3 and "Exchange hashpartitioning(DRAW#" not in plan
     got = {r.DRAW: r.n for r in draws.groupBy("DRAW").agg(F.sum("M").alias("n")).collect()}
     assert got == {d: 7 for d in range(5)}
+
+
+def months(rows):
+    """(k, id, {step: count}) as rows with M0 .. M11."""
+    return [(k, i, *[counts.get(s, 0) for s in range(12)]) for k, i, counts in rows]
+
+
+MONTHS = ", ".join(f"M{i} int" for i in range(12))
+
+
+def test_all_forms_are_counted_in_one_pass(spark):
+    cells = [("a", 1, {0: 2, 2: 1, 11: 4}), ("a", 2, {5: 3}), ("b", 1, {0: 1, 1: 1}), ("c", 2, {3: 7, 4: 1})]
+    wide = spark.createDataFrame(months(cells), f"PATIENT_ID string, ID int, {MONTHS}")
+    names = spark.createDataFrame([(1, "X"), (2, "Y"), (3, "Z")], "ID int, CATEGORY string")
+    got = sorted(map(tuple, sq.representation_totals(wide, "ID", "CATEGORY", names).select("KIND", "PART", "ROWS", "TOTAL").collect()))
+    tall = spark.createDataFrame([(k, D(2024, 1, 31), "XY"[i - 1], s, n) for k, i, own in cells for s, n in own.items()],
+                                 "PATIENT_ID string, END_DT date, CATEGORY string, TIME_STEP int, VALUE int")
+    want = []
+    for kind in ("monthly", "without_step0", "flattened", "quarterly", "annual", "windows"):
+        rows = sq.representation(tall, kind).groupBy("PART").agg(F.count("*").alias("n"), F.sum("VALUE").alias("t"))
+        want += [(kind, r.PART, r.n, r.t) for r in rows.collect()]
+    assert got == sorted(want)
+    plan = CATALOG["i07_representations"].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate#") and sum("Relation" in line and "l_linenumber" in line for line in plan.splitlines()) == 1  # before, six scans

@@ -34,6 +34,43 @@ def representation(counts: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown representation {kind}")
 
 
+def representation_totals(cells: DataFrame, by: str, name: str, names: DataFrame) -> DataFrame:
+    """ROWS and TOTAL of each PART of all forms of `representation` (KIND), from rows with the monthly counts M0, M1, .. of a snapshot and category.
+
+    `by` is the column of `cells` that stands for the category; `names` gives its name. Counts of all parts are gathered per category in
+    one pass; only these few rows are named and dealt out to the parts.
+    """
+    spans = {f"q{q}": (3 * q, 3 * q + 3) for q in range(STEPS // 3)} | {f"w{w}": (0, w) for w in (1, 3, 6, 12)}
+    spans |= {f"m{i}": (i, i + 1) for i in range(STEPS)}
+    total = lambda a, b: sum((F.col(f"M{i}") for i in range(a + 1, b)), F.col(f"M{a}"))
+    distinct = {at: part for part, at in spans.items()}  # some spans stand for several parts
+    per = cells.groupBy(by).agg(*[F.count_if(total(a, b) > 0).alias(f"_n_{a}_{b}") for a, b in distinct], *[F.sum(f"M{i}").alias(f"_t{i}") for i in range(STEPS)])
+    per = per.join(F.broadcast(names), by)
+
+    def part(kind, label, a, b):
+        amount = sum((F.col(f"_t{i}") for i in range(a + 1, b)), F.col(f"_t{a}"))
+        return F.struct(F.lit(kind).alias("KIND"), label.alias("PART"), F.col(f"_n_{a}_{b}").alias("ROWS"), amount.alias("TOTAL"))
+    month = lambda i: F.lit(f"m{i:02d}")
+    parts = [part("monthly", month(i), i, i + 1) for i in range(STEPS)] + [part("without_step0", month(i), i, i + 1) for i in range(1, STEPS)]
+    parts += [part("flattened", F.concat_ws("_", month(i), name), i, i + 1) for i in range(STEPS)]
+    parts += [part("quarterly", F.lit(k), *at) for k, at in spans.items() if k[0] == "q"] + [part("annual", F.lit("annual"), 0, STEPS)]
+    parts += [part("windows", F.lit(k), *at) for k, at in spans.items() if k[0] == "w"]
+    rows = per.select(F.inline(F.array(*parts))).filter("ROWS > 0")
+    return rows.groupBy("KIND", "PART").agg(F.sum("ROWS").alias("ROWS"), F.sum("TOTAL").alias("TOTAL"))
+
+
+def block_summaries(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of `wide_block_summaries` from the counts M0, M1, .. of rows without unknown values; 0 where there is no cell.
+
+    Sums are built from each other, so that the code made for a row stays small enough to be compiled.
+    """
+    blocks = rows.select(*by, F.col("M0").alias("_first"), *[sum((F.col(f"M{3 * i + j}") for j in (1, 2)), F.col(f"M{3 * i}")).alias(f"_b{i}") for i in range(4)])
+    b = [F.col(f"_b{i}") for i in range(4)]
+    newest = {1: F.col("_first"), 3: b[0], 6: b[0] + b[1], 12: b[0] + b[1] + b[2] + b[3]}
+    return blocks.select(*by, *[F.log1p(x.cast("double")).alias(f"BLOCK_{i}") for i, x in enumerate(b)],
+                         *[F.log1p(x.cast("double")).alias(f"NEWEST_{n}") for n, x in newest.items()])
+
+
 def mask_groups(periods: DataFrame, observed: str) -> DataFrame:
     """MASK of each snapshot by its periods' flag: all_padded, partly_covered or fully_covered."""
     per = periods.groupBy(*KEY).agg(F.count_if(observed).alias("_n"), F.count("*").alias("_all"))
