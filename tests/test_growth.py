@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import resample as rs, sequences as sq
+from tidemark.operators import resample as rs, sequences as sq, text as tx
+from tidemark.plans import texts
 from tidemark.plans.catalog import CATALOG
+from tidemark.plans.relations import Tables
 
 D = dt.date
 FOLDER = "/root/testdata/sf0.001"
@@ -63,3 +65,41 @@ def test_only_unknown_values_meet_their_median(spark):
     # Before, all rows were joined with the medians, in code too long to be compiled.
     joined = plan[plan.index("Join"):]
     assert "Union" in plan and "DX_OLD" in joined and "Join" not in plan[:plan.index("Union")]
+
+
+def test_term_sums_in_arrays_equal_those_of_positions(spark, monkeypatch):
+    columns = {name: [c for c, _ in CATALOG[name].columns] for name in ("i20_term_sequence_summary", "m08_term_trend")}
+    run = lambda name: CATALOG[name].run(spark, FOLDER).select(columns[name])
+    fast = {name: run(name) for name in columns}
+    # Before, every (snapshot, step, term) was a row.
+    assert all("MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString() and "TFIDF#" not in df._jdf.queryExecution().optimizedPlan().toString() for df in fast.values())
+    fast = {name: sorted(map(tuple, df.collect())) for name, df in fast.items()}
+    monkeypatch.setattr(tx, "WORK_NUMBERS", 1)  # a snapshot at a time
+    assert sorted(map(tuple, run("m08_term_trend").collect())) == fast["m08_term_trend"]
+    monkeypatch.setattr(tx, "MATRIX_NUMBERS", 0)  # from rows of positions
+    for name in columns:
+        assert sorted(map(tuple, run(name).collect())) == fast[name] != []
+
+
+def test_events_of_documents_count_once_a_code(spark, tmp_path):
+    day = dt.datetime(1998, 3, 5)
+    tables = {
+        "customer": ([(1,)], "c_custkey long"),
+        "orders": ([(i, 1, "O", 1.0, d, "1-URGENT") for i, d in ((1, day), (1, dt.datetime(1998, 3, 7)), (2, day), (9, dt.datetime(1998, 12, 31)), (None, day))],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "part": ([(1, "red hot red", "Brand#1", "BIG", 1, 1.0), (2, "red", "Brand#2", "BIG", 1, 1.0), (3, None, None, None, None, None)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        # The first line stands there twice, and its order has two dates of one month; the second and fourth of order 2 have no event id, the last no part.
+        "lineitem": ([(1, 1, 5, 1), (1, 1, 5, 1), (2, 2, 5, 1), (2, 1, 17, 2), (2, 1, 5, 3), (2, 1, None, 4), (2, 7, 5, 5)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    }
+    for name, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        if name == "lineitem":
+            df = df.selectExpr("*", "1D l_quantity", "1D l_extendedprice", "0D l_discount", "0D l_tax", "'R' l_returnflag", "'F' l_linestatus", "timestamp_ntz'1998-03-06' l_shipdate")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    got = {(str(r.AS_OF_DATE), r.DESCRIPTION): r.EVENTS for r in texts.described(t).collect()}
+    # Lines 1 and 3 of the first part have three codes each, the line of the second part has two.
+    old = texts.doc_codes(t).filter("EVENTS > 0").join(texts.code_names(t), ["FAMILY", "CODE"]).groupBy("AS_OF_DATE", "DESCRIPTION").agg(F.sum("EVENTS").alias("n"))
+    assert got == {(str(r.AS_OF_DATE), r.DESCRIPTION): r.n for r in old.collect()} and sum(got.values()) == 8
